@@ -45,14 +45,15 @@ def base32_sha1(content: Column) -> Column:
 
 
 def classify(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """payload_digest and the id of the response, for each digest; a staged table.
+    """The digest and the id of its response, for each digest of more than one row; a staged table.
 
     Of rows with equal payloads of at least least_bytes bytes the largest id is the
     response. The rows are counted on each partition first, so a payload that a third
-    of all rows share is no hot key here.
+    of all rows share is no hot key here. Payloads that occur once need no entry, so
+    the table is small where few pages repeat, and the pages then need no shuffle.
     """
     light = pages.select(F.col(id_col).alias("id"), base32_sha1(F.coalesce(payload_col, F.lit(""))).alias("digest"), F.coalesce(F.octet_length(payload_col), F.lit(0)).alias("n"))
-    return stage(light.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first_id")), "warc-responses")
+    return stage(light.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "warc-responses")
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
