@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import chat_format, decontaminate, mixing, omh_dedup, quality_ledger, sharding, token_counts, toxicity, url_reputation, warc
 from gridloom.llm._shared import table
+from gridloom.llm.oracles import oracle_sql  # noqa: F401  part of the registry
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,3 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_token_counts, op2_quality_ledger, op3_warc_salvage, op4_benchmark_decontamination, op5_url_reputation, op6_source_mixing, op7_order_minhash, op8_toxicity_nnpu, op9_chat_format, op10_balanced_sharding]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -1,0 +1,45 @@
+"""The registered queries against their SQL, and the pipeline from end to end."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from gridloom.llm import decontaminate, omh_dedup
+from gridloom.llm.queries import oracle_sql, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, db, name):
+    got = queries()[name](spark, SF)
+    cols = sorted(got.columns)
+    want = db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*cols).collect())
+
+
+def test_all_are_registered():
+    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
+    assert "pipeline" in entry.queries()
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF).cache()
+    assert set(docs.columns) <= set(out.columns)
+    ids = {r.doc_id for r in out.select("doc_id").collect()}
+    assert ids <= {r.doc_id for r in docs.select("doc_id").collect()}
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+    distinct = out.select(*docs.columns).dropDuplicates(["doc_id"])
+    assert decontaminate.leaks(distinct, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+    assert {r.class_size for r in omh_dedup.near_duplicates(distinct).collect()} == {1}
