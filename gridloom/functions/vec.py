@@ -138,3 +138,43 @@ def unpack_label(v: Column) -> tuple[Column, Column]:
 
 def pack_label(semantic: Column, instance: Column) -> Column:
     return semantic + F.shiftleft(instance.cast("long"), 16).bitwiseAND(0xFFFF0000)
+
+
+def quaternion(m: Column) -> Column:
+    """(w, x, y, z) with w >= 0 of a rotation matrix given as array<array<double>>: the top eigenvector
+    of the symmetric 4 x 4 form, by numpy on Arrow batches.
+    """
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for r in rows:
+            (a, b, c), (d, e, f), (g, h, i) = (list(x) for x in r)
+            k = np.array([[a - e - i, 0, 0, 0], [d + b, e - a - i, 0, 0], [g + c, h + f, i - a - e, 0], [h - f, c - g, d - b, a + e + i]]) / 3.0
+            _, v = np.linalg.eigh(k)
+            q = v[[3, 0, 1, 2], -1]
+            out.append((q if q[0] >= 0 else -q).tolist())
+        return pd.Series(out)
+
+    return run(m)
+
+
+def rigid_inverse(m: Column) -> Column:
+    """Inverse of a 4 x 4 rotation and translation: the transpose, and the translation turned back."""
+    at = lambda r, c: F.get(F.get(m, F.lit(r)), F.lit(c))
+    rows = [F.array(*[at(c, r) for c in range(3)], -(at(0, r) * at(0, 3) + at(1, r) * at(1, 3) + at(2, r) * at(2, 3))) for r in range(3)]
+    return F.array(*rows, F.array(*[F.lit(float(v)) for v in (0, 0, 0, 1)]))
+
+
+def instance_key(instance: Column) -> Column:
+    """The id under which side files keep an instance: class 10 and the instance in the upper half."""
+    return 10 + F.shiftleft(instance.cast("long"), 16).bitwiseAND(0xFFFF0000)
+
+
+def palette(key: Column, seed: int = 0) -> Column:
+    """A colour for each value: a hue from its hash, full saturation, as struct<r,g,b> in [0, 1]."""
+    hue = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(360)) / 60.0
+    channel = lambda shift: F.least(F.greatest(F.abs((hue + shift) % 6 - 3) - 1, F.lit(0.0)), F.lit(1.0))
+    return F.struct(channel(0).alias("r"), channel(4).alias("g"), channel(2).alias("b"))

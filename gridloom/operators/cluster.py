@@ -111,3 +111,19 @@ def progressive_crop(points: DataFrame, click: int, scales: list[float], affinit
         first = crop if first is None else first
         out.append(crop)
     return out
+
+
+def fit_sample_label_all(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", most: int = 300_000, dims: int | None = None, seed: int = 0) -> DataFrame:
+    """Cluster label and membership of all rows by centres fitted to at most `most` rows, after PCA if dims is given.
+
+    Stands in for a projection and density clustering that Spark has no distributed form of.
+    """
+    from gridloom.operators.sample import subsample
+    from gridloom.operators.vector import assign_codes, fit_codebook, pca
+
+    rows, col = vectors, vec
+    if dims:
+        rows, col = pca(vectors, dims, vec), "projection"
+    book = fit_codebook(subsample(rows, most, key, seed), k, col, seed)
+    out = assign_codes(rows, book, col)
+    return out.withColumnRenamed("code", "label").withColumn("prob", 1 / (1 + F.col("code_distance"))).drop("code_distance")

@@ -214,3 +214,17 @@ def resize_nearest(pixels: DataFrame, value: str, size: tuple[int, int], to: tup
     at = rows.select("row", "col", F.floor(F.col("row") * h / nh).cast("int").alias("r"), F.floor(F.col("col") * w / nw).cast("int").alias("c"))
     source = pixels.select("image_id", F.col("row").alias("r"), F.col("col").alias("c"), value)
     return source.join(at, ["r", "c"]).select("image_id", "row", "col", value)
+
+
+def resize_bilinear(pixels: DataFrame, value: str, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Bilinear resize (pixel centres aligned): each target reads its four neighbours by a join and adds them by weight."""
+    (h, w), (nh, nw) = size, to
+    rows = pixels.sparkSession.range(nh * nw).select(F.floor(F.col("id") / nw).cast("int").alias("row"), (F.col("id") % nw).cast("int").alias("col"))
+    y = F.greatest((F.col("row") + 0.5) * (h / nh) - 0.5, F.lit(0.0))
+    x = F.greatest((F.col("col") + 0.5) * (w / nw) - 0.5, F.lit(0.0))
+    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    at = rows.select("row", "col", y.alias("y"), x.alias("x"), near.alias("d"))
+    side = lambda c, d: F.when(d == 1, F.col(c) - F.floor(c)).otherwise(1 - (F.col(c) - F.floor(c)))
+    at = at.select("row", "col", F.least(F.floor("y") + F.col("d.a"), F.lit(h - 1)).cast("int").alias("r"), F.least(F.floor("x") + F.col("d.b"), F.lit(w - 1)).cast("int").alias("c"), (side("y", F.col("d.a")) * side("x", F.col("d.b"))).alias("w"))
+    source = pixels.select("image_id", F.col("row").alias("r"), F.col("col").alias("c"), value)
+    return source.join(at, ["r", "c"]).groupBy("image_id", "row", "col").agg(F.sum(F.col(value) * F.col("w")).alias(value))

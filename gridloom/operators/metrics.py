@@ -105,3 +105,16 @@ def summary(df: DataFrame, scene: str, value: str) -> DataFrame:
     """Mean of each scene, and overall (null scene) the unweighted mean of the scenes' means."""
     means = df.groupBy(scene).agg(F.avg(value).alias(value))
     return means.unionByName(means.agg(F.avg(value).alias(value)).withColumn(scene, F.lit(None).cast(dict(df.dtypes)[scene])))
+
+
+def loss_image(pixels: DataFrame, loss: str, image: str = "image_id") -> DataFrame:
+    """Summed loss of each pixel over the largest sum of its image."""
+    sums = pixels.groupBy(image, "row", "col").agg(F.sum(loss).alias("sum"))
+    tops = sums.groupBy(image).agg(F.max("sum").alias("top"))
+    return sums.join(tops, image).select(image, "row", "col", F.coalesce(F.try_divide("sum", "top"), F.lit(0.0)).alias("loss"))
+
+
+def instance_cosine(features: DataFrame, embeddings: DataFrame, key: list[str], vec: str = "vec") -> DataFrame:
+    """1 - cosine of each instance's feature and the embedding of the same id."""
+    met = features.join(embeddings.select(*key, F.col(vec).alias("__other")), key)
+    return met.withColumn("distance", 1 - cosine(F.col(vec), F.col("__other"))).drop("__other")

@@ -157,3 +157,39 @@ class Snapshots:
 
     def crop(self, ids: DataFrame, key: str = "pid") -> DataFrame:
         return self.push(self.df.join(ids, key, "left_semi"))
+
+
+def gather(rows: DataFrame, values: DataFrame, key: list[str], default: dict | None = None) -> DataFrame:
+    """Values by id (and batch): a join in place of fancy indexing with offsets; misses get the defaults or are dropped."""
+    if default is None:
+        return rows.join(values, key)
+    return rows.join(values, key, "left").fillna(default)
+
+
+def crop_box(points: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
+    cond = F.lit(True)
+    for a, lo, hi in zip("xyz", low, high, strict=True):
+        cond = cond & F.col(a).between(lo, hi)
+    return points.where(cond)
+
+
+def has_colors(mesh: DataFrame, cols: tuple[str, ...] = ("r", "g", "b")) -> bool:
+    """Whether a mesh has colour columns with a value in them."""
+    return all(c in mesh.columns for c in cols) and mesh.where(" and ".join(f"{c} is not null" for c in cols)).limit(1).count() == 1
+
+
+def run_scenes(scenes: DataFrame, done: DataFrame | None, run, key: str = "scene") -> dict[str, str]:
+    """Run each scene that is not done; name -> done, skipped or the error. One failure does not stop the others."""
+    names = [r[0] for r in scenes.select(key).distinct().orderBy(key).collect()]
+    past = {r[0] for r in done.select(key).distinct().collect()} if done is not None else set()
+    out = {}
+    for name in names:
+        if name in past:
+            out[name] = "skipped"
+            continue
+        try:
+            run(name)
+            out[name] = "done"
+        except Exception as failed:
+            out[name] = f"failed: {failed}"
+    return out

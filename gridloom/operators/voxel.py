@@ -198,3 +198,36 @@ def surface_cases(voxels: DataFrame, value: str) -> DataFrame:
     cells = sent.select("batch_id", *[(F.col(c) - F.col(f"d.d{c}")).alias(c) for c in CELL], F.when(F.col("v") < 0, F.col("d.bit")).otherwise(0).alias("bit"))
     cases = cells.groupBy(*KEY).agg(F.count("*").alias("corners"), F.sum("bit").alias("case"))
     return cases.where("corners = 8 and case not in (0, 255)").select(*KEY, "case")
+
+
+def concat_features(a: DataFrame, b: DataFrame, left: str, right: str, name: str = "features") -> DataFrame:
+    """Channel arrays of two grids on their common cells, one after the other."""
+    return a.select(*KEY, left).join(b.select(*KEY, F.col(right).alias("__right")), KEY).select(*KEY, F.concat(left, "__right").alias(name))
+
+
+def assert_unique(voxels: DataFrame) -> DataFrame:
+    """The same rows; reading them fails if a cell occurs twice."""
+    again = voxels.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if again.count():
+        raise ValueError(f"cell occurs more than once: {again.first()}")
+    return voxels
+
+
+def point_encoder(points: DataFrame, grid: DataFrame, layers, depth: int = 2, feature: str = "feature") -> DataFrame:
+    """Cell features from points: a dense layer, then `depth` rounds of cell maxima sent back and joined to
+    the point's own channels through a further layer, then cell means; cells without points get zeros.
+
+    layers: depth + 1 lists of (weights, bias) for vector.mlp; points carry i, j, k and the array
+    `feature`; points outside the grid are ignored.
+    """
+    from gridloom.operators.vector import mlp
+
+    rows = points.join(grid.select(*KEY), KEY, "left_semi").withColumn("h", mlp(F.col(feature), layers[0]))
+    widths = [len(layer[-1][1]) for layer in layers]
+    for n in range(1, depth + 1):
+        pooled = rows.groupBy(*KEY).agg(*[F.max(F.col("h")[c]).alias(f"m{c}") for c in range(widths[n - 1])])
+        both = rows.join(pooled, KEY).withColumn("h", F.concat("h", F.array(*[f"m{c}" for c in range(widths[n - 1])])))
+        rows = both.withColumn("h", mlp(F.col("h"), layers[n])).drop(*[f"m{c}" for c in range(widths[n - 1])])
+    means = rows.groupBy(*KEY).agg(F.array(*[F.avg(F.col("h")[c]) for c in range(widths[depth])]).alias(feature))
+    zero = F.array(*[F.lit(0.0)] * widths[depth])
+    return grid.select(*KEY).join(means, KEY, "left").withColumn(feature, F.coalesce(feature, zero))

@@ -457,3 +457,44 @@ def n5(spark, d):
     rng = np.random.default_rng(0)
     layers = [(rng.normal(size=(64, 32)), np.zeros(32)), (rng.normal(size=(32, 8)), np.zeros(8))]
     return vectors(spark, d).select("vec_id", F.size(vector.mlp(vec.dbl(F.col("embedding")), layers, True)).alias("k"))
+
+
+@query("J13_J14_gather", "SELECT l_orderkey, l_partkey, l_suppkey, s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
+def j13(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    return relational.gather(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), s, ["l_suppkey"]).groupBy("l_orderkey", "l_partkey", "l_suppkey", "s_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("J18_instance_cosine", f"SELECT a.vec_id, round(1-{DOT}/(sqrt(list_dot_product(a.embedding::DOUBLE[],a.embedding::DOUBLE[]))*sqrt(list_dot_product(b.embedding::DOUBLE[],b.embedding::DOUBLE[]))),6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 2")
+def j18(spark, d):
+    a = vectors(spark, d).select("vec_id", F.col("embedding").alias("vec"))
+    b = a.withColumn("vec_id", F.col("vec_id") - 2)
+    return metrics.instance_cosine(a, b, ["vec_id"]).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("A29_loss_image", f"WITH {DENSE}, t AS (SELECT image_id, max(value) AS m FROM dense GROUP BY 1) SELECT image_id, row, col, value::DOUBLE/m AS loss FROM dense JOIN t USING (image_id)")
+def a29(spark, d):
+    return metrics.loss_image(dense(spark, d), "value")
+
+
+@query("F14_crop_box", f"WITH {PTS} SELECT pid FROM pts WHERE x BETWEEN 100 AND 900 AND y BETWEEN 200 AND 1800 AND z BETWEEN 0 AND 3000")
+def f14(spark, d):
+    return relational.crop_box(points(spark, d), (100.0, 200.0, 0.0), (900.0, 1800.0, 3000.0)).select("pid")
+
+
+@query("X20_resize_bilinear")
+def x20b(spark, d):
+    return mask.resize_bilinear(dense(spark, d), "value", (52, 22), (26, 11))
+
+
+@query("S4_embedding_keys", "SELECT vec_id, 10 + ((label << 16) & 4294901760) AS key, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),4) AS n FROM embeddings")
+def s4(spark, d):
+    from gridloom.sources.readers import semantic_embeddings
+
+    e = semantic_embeddings(vectors(spark, d), "label")
+    return e.select("vec_id", "key", F.round(vec.norm(F.col("embedding")), 4).alias("n"))
+
+
+@query("C7_fit_sample_label_all")
+def c7(spark, d):
+    return cluster.coherence(cluster.fit_sample_label_all(vectors(spark, d).drop("label"), 8, dims=16)).select("label", "n", "coherence")

@@ -293,3 +293,30 @@ def scene_dirs(spark: SparkSession, root: str, suffix: str) -> list[str]:
 
 def checksum(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def semantic_embeddings(df: DataFrame, instance: str = "instance", vec: str = "embedding") -> DataFrame:
+    """Side-file rows keyed as the packed labels are, with unit vectors (a zero vector stays as it is)."""
+    from gridloom.functions.vec import dbl, instance_key, norm
+
+    n = norm(F.col(vec))
+    return df.withColumn("key", instance_key(F.col(instance))).withColumn(vec, F.transform(dbl(F.col(vec)), lambda x: F.coalesce(F.try_divide(x, n), x)))
+
+
+def split_sequences(frames: DataFrame, splits: dict[str, list[int]], split: str, col: str = "sequence") -> DataFrame:
+    """Frames of a split's sequences; `all` takes those of every split."""
+    wanted = [s for v in splits.values() for s in v] if split == "all" else splits[split]
+    return frames.where(F.col(col).isin(wanted))
+
+
+def cached_level(spark: SparkSession, path: str, level: int | None = None, widen: tuple[str, ...] = ()) -> DataFrame:
+    """A cached table, one of its levels (a partition column, so only that is read), narrow integers widened."""
+    out = spark.read.parquet(path)
+    if level is not None:
+        out = out.where(F.col("level") == level)
+    return out.withColumns({c: F.col(c).cast("int") for c in widen}) if widen else out
+
+
+def grouped(spark: SparkSession, path: str, model_type: str) -> DataFrame:
+    """Ragged arrays of one group of an appended store (see sinks.append_groups)."""
+    return spark.read.parquet(path).where(F.col("model_type") == model_type)

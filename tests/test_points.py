@@ -249,3 +249,52 @@ def test_undo(spark):
     s = relational.Snapshots(p)
     assert s.crop(p.where("pid < 2").select("pid")).count() == 2
     assert s.undo().count() == 4
+
+
+def test_point_encoder_empty_cells_and_outside_points(spark):
+    rng = np.random.default_rng(3)
+    layers = [[(rng.normal(size=(3, 4)), np.zeros(4))]] + [[(rng.normal(size=(8, 4)), np.zeros(4))] for _ in range(2)]
+    p = voxel.keys(points(spark, [(0.5, 0.5, 0.5), (0.6, 0.5, 0.5), (9.5, 9.5, 9.5)]), 1.0).withColumn("feature", F.array("x", "y", "z"))
+    grid = voxel.voxelize(points(spark, [(0.5, 0.5, 0.5), (5.5, 0.5, 0.5)]), 1.0)
+    got = {r.i: r.feature for r in voxel.point_encoder(p, grid, layers).collect()}
+    h = np.array([[0.5, 0.5, 0.5], [0.6, 0.5, 0.5]]) @ layers[0][0][0]
+    for n in (1, 2):
+        h = np.concatenate([h, np.repeat(h.max(0, keepdims=True), 2, 0)], 1) @ layers[n][0][0]
+    assert np.allclose(got[0], h.mean(0)) and got[5] == [0.0] * 4
+
+
+def test_quaternion_round_trip(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(10):
+        q = rng.normal(size=4)
+        q /= np.linalg.norm(q)
+        rows.append((n, *(q if q[0] >= 0 else -q).tolist()))
+    df = spark.createDataFrame(rows, "n long, w double, x double, y double, z double")
+    r = vec.rotation(*[F.col(c) for c in "wxyz"])
+    got = df.withColumn("m", F.array(*[F.array(*row) for row in r])).withColumn("q", vec.quaternion(F.col("m"))).orderBy("n").collect()
+    for g, want in zip(got, rows, strict=True):
+        assert np.allclose(g.q, want[1:], atol=1e-6)
+
+
+def test_rigid_inverse(spark):
+    m = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in ([0, -1, 0, 5], [1, 0, 0, 6], [0, 0, 1, 7], [0, 0, 0, 1])])
+    got = spark.range(1).select(vec.matmul(m, vec.rigid_inverse(m)).alias("p")).first().p
+    assert np.allclose(got, np.eye(4))
+
+
+def test_unique_cells(spark):
+    g = voxel.voxelize(points(spark, [(0, 0, 0), (1, 1, 1)]), 1.0)
+    assert voxel.assert_unique(g).count() == 2
+    with pytest.raises(ValueError):
+        voxel.assert_unique(g.unionByName(g))
+
+
+def test_scene_runs_skip_and_report(spark):
+    scenes = spark.createDataFrame([("a",), ("b",), ("c",)], "scene string")
+
+    def run(name):
+        if name == "c":
+            raise RuntimeError("no")
+
+    assert relational.run_scenes(scenes, scenes.where("scene = 'a'"), run) == {"a": "skipped", "b": "done", "c": "failed: no"}
