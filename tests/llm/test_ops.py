@@ -48,6 +48,8 @@ def test_pieces_do_not_change_counts(name):
     encode, may_cut = token_counts.load(name)
     texts = ["the quick brown fox's 12 jumps, over it " * 40, "a\u0301 b\u0301 c d", "<|endoftext|> x " * 30]
     assert token_counts.lengths(texts, encode, may_cut, 64, 16) == encode(texts)
+    if may_cut:
+        assert token_counts.lengths(texts, token_counts.memoized(encode, 5), may_cut, 64, 16) == encode(texts)
 
 
 def brute_repeats(ws: list[str]) -> int:
