@@ -183,6 +183,16 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     assert small == set(got)
 
 
+def test_decontamination_with_odd_benchmarks(spark):
+    text = " ".join(words(11, 30))
+    docs = docs_of(spark, [text, None])
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.leaks(docs, empty).count() == 0 and decontaminate.clean(docs, empty).count() == 2
+    odd = spark.createDataFrame([(None, text), (3, text), (4, "...")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id or -1) for r in decontaminate.leaks(docs, odd).collect()) == [(0, -1), (0, 3)]
+    assert decontaminate.leaks(docs.limit(0), odd).count() == 0
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "move 5 boxes then take 5 more boxes and put 5 back and paint 5 of them red before lunch is over today"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
