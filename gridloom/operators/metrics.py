@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.vec import cosine, l2
+from gridloom.operators.order import global_rank
 
 
 def accuracy(pred: Column, truth: Column) -> Column:
@@ -77,9 +78,8 @@ def deviations(a: DataFrame, b: DataFrame, order: str, fields: list[str]) -> Dat
 
     The relative difference is 0 where either side is 0.
     """
-    w = W.orderBy(order)
-    left = a.select((F.row_number().over(w) - 1).alias("at"), *[F.col(f).alias(f"a_{f}") for f in fields])
-    right = b.select((F.row_number().over(w) - 1).alias("at"), *[F.col(f).alias(f"b_{f}") for f in fields])
+    left = global_rank(a, [order], "at").select("at", *[F.col(f).alias(f"a_{f}") for f in fields])
+    right = global_rank(b, [order], "at").select("at", *[F.col(f).alias(f"b_{f}") for f in fields])
     met = left.join(right, "at")
     out = []
     for f in fields:

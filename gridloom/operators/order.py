@@ -77,6 +77,23 @@ def ranked(df: DataFrame, key: str, pos: str = "pos", batch: str = "batch_id", n
     return df.withColumn(name, F.row_number().over(W.partitionBy(batch).orderBy(key, pos)) - 1)
 
 
+def global_rank(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
+    """Position of each row in one order over the whole table, without a task that sees all rows.
+
+    Rows are dealt out by range once and kept (so both passes see the same parts); each part is numbered
+    by itself and starts where the counts of the parts before it end. `by` should tell rows apart.
+    """
+    from gridloom.session import stage
+
+    ranged = stage(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__start"))
+    inner = F.row_number().over(W.partitionBy("__part").orderBy(*by)) - 1
+    # One row for each range part.
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, inner + F.col("__start")).drop("__part", "__start")
+
+
 def global_positions(df: DataFrame, rank: str = "rank", batch: str = "batch_id") -> DataFrame:
     """Rank plus the rows of all earlier batches: offsets are a running count over batches."""
     counts = df.groupBy(batch).agg(F.count("*").alias("n"))

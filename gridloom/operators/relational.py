@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import global_rank
+
 
 def representative(points: DataFrame, key: list[str], pid: str, *carried: str) -> DataFrame:
     """One point of each cell, the least id: what an inverse voxel lookup returns."""
@@ -45,23 +47,19 @@ def image_by_name(images: DataFrame, name: str, col: str = "path", order: str =
 
 def zip_by_position(a: DataFrame, b: DataFrame, order: str, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """Rows at equal places of two ordered tables, to the end of the shorter."""
-    w = W.orderBy(order)
-    left = a.select((F.row_number().over(w) - 1).alias("at"), F.struct(*a.columns).alias(names[0]))
-    right = b.select((F.row_number().over(w) - 1).alias("at"), F.struct(*b.columns).alias(names[1]))
+    left = global_rank(a, [order], "at").select("at", F.struct(*a.columns).alias(names[0]))
+    right = global_rank(b, [order], "at").select("at", F.struct(*b.columns).alias(names[1]))
     return left.join(right, "at")
 
 
 def intersect_positions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Distinct common keys with their places among the sorted keys of either side."""
-    w = W.orderBy(key)
-    left = a.select(key).distinct().withColumn("at_a", F.row_number().over(w) - 1)
-    right = b.select(key).distinct().withColumn("at_b", F.row_number().over(w) - 1)
-    return left.join(right, key)
+    return global_rank(a.select(key).distinct(), [key], "at_a").join(global_rank(b.select(key).distinct(), [key], "at_b"), key)
 
 
 def compact_mesh(vertices: DataFrame, faces: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices in kept (vid) with new dense ids, and the faces whose three vertices are all kept, re-indexed."""
-    index = kept.select("vid").distinct().withColumn("new", F.row_number().over(W.orderBy("vid")) - 1)
+    index = global_rank(kept.select("vid").distinct(), ["vid"], "new")
     own = vertices.join(index, "vid")
     corners = faces.select("fid", F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "vid"))
     whole = corners.join(index, "vid").groupBy("fid").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("corner", "new"))).alias("c")).where("n = 3")
@@ -95,7 +93,7 @@ def visible_union(*visible: DataFrame, key: str = "pid") -> DataFrame:
     out = visible[0].select(key)
     for v in visible[1:]:
         out = out.unionByName(v.select(key))
-    return out.distinct().withColumn("new", F.row_number().over(W.orderBy(key)) - 1)
+    return global_rank(out.distinct(), [key], "new")
 
 
 def repair_cameras(cameras: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import global_rank
+
 
 def unit_hash(*cols, seed: int = 0) -> Column:
     """A number in [0, 1) fixed by the columns and the seed."""
@@ -51,15 +53,14 @@ def arithmetic_order(key: Column, seed: int, modulus: int = 2_147_483_647) -> Co
 def split_every(df: DataFrame, n: int, order: str, exclude: DataFrame | None = None, key: str | None = None) -> DataFrame:
     """Every n-th row in order is validation; excluded keys are gone first."""
     rows = df if exclude is None else df.join(exclude, key or order, "left_anti")
-    at = F.row_number().over(W.orderBy(order)) - 1
-    return rows.withColumn("split", F.when(at % n == 0, "val").otherwise("train"))
+    return global_rank(rows, [order], "__at").withColumn("split", F.when(F.col("__at") % n == 0, "val").otherwise("train")).drop("__at")
 
 
 def ray_groups(df: DataFrame, per_image: int, order: str) -> DataFrame:
     """Group number of each ray when every image gives per_image of them; ValueError if they do not divide."""
     if per_image <= 0:
         raise ValueError("rays per image must be positive")
-    return df.withColumn("image_slot", F.floor((F.row_number().over(W.orderBy(order)) - 1) / per_image).cast("long"))
+    return global_rank(df, [order], "__at").withColumn("image_slot", F.floor(F.col("__at") / per_image).cast("long")).drop("__at")
 
 
 def collate(df: DataFrame, batch: str, order: str, *cols: str) -> DataFrame:

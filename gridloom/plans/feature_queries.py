@@ -113,7 +113,7 @@ def x12(spark, d):
     clicks = vectors(spark, d).where("vec_id % 50 = 0").orderBy("vec_id").collect()  # the stated query set
     out = None
     for c in clicks:
-        part = vector.affinity(vectors(spark, d), list(c.embedding), 0.3).select("vec_id", F.lit(c.vec_id).alias("click"), F.round("affinity", 6).alias("affinity"))
+        part = vector.affinity(vectors(spark, d), list(c.embedding), 0.3).select("vec_id", F.lit(c.vec_id).cast("long").alias("click"), F.round("affinity", 6).alias("affinity"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -125,7 +125,7 @@ REL = "WITH n AS (SELECT vec_id, max(list_dot_product(a.embedding::DOUBLE[], b.e
 def x11(spark, d):
     e = vectors(spark, d)
     phrases = e.where("vec_id % 50 in (0, 25)").select(F.col("vec_id").alias("phrase_id"), (F.col("vec_id") % 50 == 0).alias("positive"), F.col("embedding").alias("vec"))
-    return vector.score_phrases(e, phrases).select("vec_id", "phrase_id", F.round("relevancy", 6).alias("relevancy"))
+    return vector.score_phrases(e, phrases).select("vec_id", F.col("phrase_id").cast("long").alias("phrase_id"), F.round("relevancy", 6).alias("relevancy"))
 
 
 @query("X13_negative_evidence", f"WITH m AS (SELECT a.vec_id, max(CASE WHEN b.vec_id % 50 = 0 THEN {DOT} END) AS p, max(CASE WHEN b.vec_id % 50 = 25 THEN {DOT} END) AS n FROM embeddings a, embeddings b WHERE b.vec_id % 50 IN (0,25) GROUP BY 1) SELECT vec_id, (p>=0.3 AND p>n) AS dominate, p-greatest(n,0)>=0.3 AS subtract, (p>=0.3 AND n<0.3) AS veto FROM m")
@@ -249,7 +249,7 @@ def f1(spark, d):
     return rows.where(F.abs("det") >= 1e-6).select("pid", "det")
 
 
-@query("F3_visible_union", f"WITH {PTS}, v AS (SELECT pid FROM pts WHERE x<300 UNION SELECT pid FROM pts WHERE y<300) SELECT pid, (row_number() OVER (ORDER BY pid)-1)::INT AS new FROM v")
+@query("F3_visible_union", f"WITH {PTS}, v AS (SELECT pid FROM pts WHERE x<300 UNION SELECT pid FROM pts WHERE y<300) SELECT pid, row_number() OVER (ORDER BY pid)-1 AS new FROM v")
 def f3(spark, d):
     p = points(spark, d)
     return relational.visible_union(p.where("x < 300"), p.where("y < 300"))
@@ -328,9 +328,9 @@ def t9(spark, d):
     return rows.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("image_id", "mask_id", (F.col("col") * 4).alias("x"), (F.col("row") * 4).alias("y"))
 
 
-@query("T7_nth_image", "SELECT p_partkey, (row_number() OVER (ORDER BY p_name, p_partkey)-1)::INT AS place FROM part")
+@query("T7_nth_image", "SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey)-1 AS place FROM part")
 def t7(spark, d):
-    return table(spark, d, "part").select("p_partkey", (F.row_number().over(W.orderBy("p_name", "p_partkey")) - 1).alias("place"))
+    return order.global_rank(table(spark, d, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"], "place").select("p_partkey", "place")
 
 
 @query("U2_U5_set_operations", "SELECT 'union' AS op, count(*) AS n FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer) UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")

@@ -201,7 +201,7 @@ def j16(spark, d):
     return relational.remap_join(table(spark, d, "nation"), r, "n_regionkey", "r_name").select("n_name", "n_regionkey", "r_name")
 
 
-@query("J19_zip_positions", "WITH a AS (SELECT n_name AS l, row_number() OVER (ORDER BY n_nationkey)-1 AS place FROM nation), b AS (SELECT r_name AS r, row_number() OVER (ORDER BY r_regionkey)-1 AS place FROM region) SELECT place::INT AS place, l, r FROM a JOIN b USING (place)")
+@query("J19_zip_positions", "WITH a AS (SELECT n_name AS l, row_number() OVER (ORDER BY n_nationkey)-1 AS place FROM nation), b AS (SELECT r_name AS r, row_number() OVER (ORDER BY r_regionkey)-1 AS place FROM region) SELECT place, l, r FROM a JOIN b USING (place)")
 def j19(spark, d):
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("o"), F.col("n_name").alias("l"))
     b = table(spark, d, "region").select(F.col("r_regionkey").alias("o"), F.col("r_name").alias("r"))
