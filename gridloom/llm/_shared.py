@@ -27,16 +27,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no more than one stage) and gives the
     planner the table's true size, so that it broadcasts only what is small and
-    can split skewed partitions of a join that follows.
+    can split skewed partitions of a join that follows. arrow_rows bounds the
+    batches that go to Python while this table is made: texts in batches of
+    10,000 rows, the default, hold much memory outside the heap.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
