@@ -10,6 +10,7 @@ fuller shards, unlinked documents first, goes to the others.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from gridloom.llm._shared import discard, rank_in_group, stage
 
@@ -150,7 +151,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbered = slots.select("key", "shard", "slot", F.row_number().over(again).alias("copy"))
     text = F.col(text_col)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.when(text.isNotNull(), F.unhex(F.md5(text)))))
-    keyed = keyed.withColumn("__copy", F.row_number().over(W.partitionBy("__key").orderBy(F.lit(0))))
+    # Rows of one key differ at most in their other columns; those order them, so that a rerun deals them alike.
+    others = [f.name for f in docs.schema.fields if f.name != text_col and not isinstance(f.dataType, (MapType, VariantType))]
+    keyed = keyed.withColumn("__copy", F.row_number().over(W.partitionBy("__key").orderBy(F.xxhash64(*others))))
     own = numbered.select(F.col("key").alias("__k"), F.col("copy").alias("__c"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     joined = keyed.join(own, (F.col("__key") == F.col("__k")) & (F.col("__copy") == F.col("__c")))
     return joined.select(*[keyed[c] for c in docs.columns if c not in ("shard", "slot")], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
