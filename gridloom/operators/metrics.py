@@ -1,11 +1,10 @@
 """Losses and evaluation metrics as aggregates."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.vec import cosine, l2
-from gridloom.operators.order import global_rank
+from gridloom.operators.order import global_rank, running
 
 
 def accuracy(pred: Column, truth: Column) -> Column:
@@ -31,20 +30,18 @@ def cross_entropy(df: DataFrame, logits: str, label: str, ignore: int | None = N
 def lovasz(df: DataFrame, probs: str, label: str, tie: str, ignore: int | None = None) -> DataFrame:
     """Lovasz-softmax of each class present: errors in falling order against the steps of the Jaccard index.
 
-    probs is an array; the mean over the classes is the loss. One ordered window for each class.
+    probs is an array; the mean over the classes is the loss. Sums along the order run in parts, so a class is no single task.
     """
     rows = df if ignore is None else df.where(F.col(label) != ignore)
     each = rows.select(tie, F.col(label).alias("truth"), F.posexplode(probs).alias("class", "p"))
     fg = (F.col("truth") == F.col("class")).cast("long")
     each = each.select(tie, "class", fg.alias("fg"), F.abs(fg - F.col("p")).alias("error"))
-    w = W.partitionBy("class").orderBy(F.desc("error"), tie)
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("fg").over(W.partitionBy("class"))
-    inter = total - F.sum("fg").over(run)
-    union = total + F.sum(1 - F.col("fg")).over(run)
-    steps = each.withColumn("total", total).where("total > 0").withColumn("jaccard", 1 - inter / union)
-    steps = steps.withColumn("step", F.col("jaccard") - F.coalesce(F.lag("jaccard").over(w), F.lit(0.0)))
-    return steps.groupBy("class").agg(F.sum(F.col("error") * F.col("step")).alias("loss"))
+    totals = each.groupBy("class").agg(F.sum("fg").alias("total")).where("total > 0")
+    run = running(each, ["class"], [F.desc("error"), F.col(tie)], hits=F.col("fg"), misses=1 - F.col("fg"))
+    index = lambda hits, misses: 1 - (F.col("total") - hits) / (F.col("total") + misses)
+    # The step of the Jaccard index is its value after this row less its value before it.
+    step = index(F.col("hits"), F.col("misses")) - index(F.col("hits") - F.col("fg"), F.col("misses") - (1 - F.col("fg")))
+    return run.join(F.broadcast(totals), "class").groupBy("class").agg(F.sum(F.col("error") * step).alias("loss"))  # a row for each class
 
 
 def vector_losses(df: DataFrame, pred: str, truth: str, denominator: Column | None = None) -> DataFrame:

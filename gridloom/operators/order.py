@@ -72,9 +72,32 @@ def shuffled_curves(curves: tuple[str, ...], seed: int, enabled: bool = True) ->
     return tuple(random.Random(seed).sample(curves, len(curves))) if enabled else curves
 
 
+def running(df: DataFrame, group: list[str], by: list, **sums: Column) -> DataFrame:
+    """Add running sums (this row included) along an order within groups, however large a group is.
+
+    Rows are dealt out by range of (group, order) once and kept; each part sums for itself and starts
+    from the totals of the group's earlier parts, a table of a row for each group and part.
+    """
+    from gridloom.session import stage
+
+    names = {n: f"__{n}" for n in sums}
+    ranged = df.withColumns({names[n]: c for n, c in sums.items()}).repartitionByRange(*group, *by).withColumn("__part", F.spark_partition_id())
+    ranged = stage(ranged, "ranged")
+    totals = ranged.groupBy(*group, "__part").agg(*[F.sum(c).alias(c) for c in names.values()])
+    earlier = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*[F.col(g).alias(f"__g{n}") for n, g in enumerate(group)], F.col("__part").alias("__at"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_start") for c in names.values()])
+    starts = stage(starts, "starts")
+    inner = W.partitionBy(*group, "__part").orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumns({c: F.sum(c).over(inner) for c in names.values()})
+    same = F.col("__part") == F.col("__at")
+    for n, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{n}"))
+    return local.join(starts, same).select(*df.columns, *[(F.col(c) + F.col(f"{c}_start")).alias(n) for n, c in names.items()])
+
+
 def ranked(df: DataFrame, key: str, pos: str = "pos", batch: str = "batch_id", name: str = "rank") -> DataFrame:
     """Position of each row along its batch's order; ties in the order of pos."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(batch).orderBy(key, pos)) - 1)
+    return running(df, [batch], [key, pos], **{name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def global_rank(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:

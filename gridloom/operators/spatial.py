@@ -1,8 +1,10 @@
 """Radius and nearest-neighbour joins by grid buckets, and what is built on them."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.functions.vec import finite
 from gridloom.session import stage
 
 AXES = ("x", "y", "z")
@@ -16,10 +18,6 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in AXES[1:]), (F.col(f"{a}_x") - F.col(f"{b}_x")) * (F.col(f"{a}_x") - F.col(f"{b}_x"))))
 
 
-def _named(df: DataFrame, side: str, pid: str, carried: list[str]) -> DataFrame:
-    return df.select(F.col(pid).alias(f"{side}_id"), *[F.col(a).cast("double").alias(f"{side}_{a}") for a in AXES], *[F.col(c).alias(f"{side}_{c}") for c in carried])
-
-
 def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pid", carried: list[str] | None = None) -> DataFrame:
     """Pairs closer than radius: cells as wide as the radius, the right side sent to its 27 cells, an equi-join, then the test."""
     a = _cell(left, "c", radius)
@@ -31,34 +29,35 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pi
     return pairs.where(F.col("distance") < radius).drop("cx", "cy", "cz")
 
 
-def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", carried: list[str] | None = None, k: int = 1, most_rings: int = 64) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", carried: list[str] | None = None, k: int = 1) -> DataFrame:
     """The k nearest right rows of each left row, exact: a_id, rank, b_id, distance and the carried columns.
 
-    Rounds with growing cells: a left row is done when its k-th distance is at most the width of
-    that round's cells, since all rows that near are then among the 27 cells. What is left after the doublings
-    (outliers, or fewer than k rows to find) meets all right rows by a join on one constant
-    key: exact, and small unless width was chosen far too small.
+    Rounds with cells of doubled width: a left row is done when k rows are nearer than the width of that
+    round's cells, since all rows that near are then among the 27 cells. Rounds end as the cells come to
+    span the points; rows that are not finite have no neighbours. The k best are kept by rank,
+    which Spark limits on each partition before it shuffles.
     """
     carried = carried or []
-    todo, done, radius = left, None, float(width)
-    far = right.count()
-    for _ in range(max(1, most_rings.bit_length())):
-        met = radius_join(todo, right, radius, pid, carried)
-        best = met.groupBy("a_id").agg(F.sort_array(F.collect_list(F.struct("distance", "b_id", *[f"b_{c}" for c in carried]))).alias("near"))
-        found = stage(best.where(F.size("near") >= min(k, far)).select("a_id", F.slice("near", 1, k).alias("near")), "nearest")
+    ok = finite(*[F.col(a).cast("double") for a in AXES])
+    right = right.where(ok)
+    todo, done, radius = left.where(ok), None, float(width)
+    enough = min(k, right.count())
+    by_distance = W.partitionBy("a_id").orderBy("distance", "b_id")
+
+    def best(met: DataFrame) -> DataFrame:
+        top = met.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
+        return stage(top.select("a_id", (F.col("rank") - 1).alias("rank"), "b_id", "distance", *[F.col(f"b_{c}").alias(c) for c in carried]), "nearest")
+
+    while True:
+        top = best(radius_join(todo, right, radius, pid, carried))
+        whole = top.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("a_id")
+        whole = stage(whole, "nearest-done")
+        found = top.join(whole, "a_id", "left_semi")
         done = found if done is None else done.unionByName(found)
-        todo = stage(todo.join(found, todo[pid] == found["a_id"], "left_anti"), "nearest-todo")
-        if not todo.limit(1).count():
-            break
+        todo = stage(todo.join(whole, todo[pid] == whole["a_id"], "left_anti"), "nearest-todo")
+        if not enough or not todo.limit(1).count():
+            return done
         radius *= 2
-    else:
-        a = _named(todo, "a", pid, []).withColumn("one", F.lit(1))
-        b = _named(right, "b", pid, carried).withColumn("one", F.lit(1))
-        met = a.join(b, "one").withColumn("distance", _distance("a", "b"))
-        best = met.groupBy("a_id").agg(F.sort_array(F.collect_list(F.struct("distance", "b_id", *[f"b_{c}" for c in carried]))).alias("near"))
-        done = done.unionByName(best.select("a_id", F.slice("near", 1, k).alias("near")))
-    out = done.select("a_id", F.posexplode("near").alias("rank", "n"))
-    return out.select("a_id", "rank", "n.b_id", "n.distance", *[F.col(f"n.b_{c}").alias(c) for c in carried])
 
 
 def nearest_within(left: DataFrame, right: DataFrame, bound: float, pid: str = "pid") -> DataFrame:
@@ -75,8 +74,6 @@ def propagate_labels(sample: DataFrame, everything: DataFrame, width: float, lab
 
 def reproject(targets: DataFrame, sources: DataFrame, width: float, values: list[str], pid: str = "pid") -> DataFrame:
     """Values of the nearest source; targets that are not finite get the mean of all sources."""
-    from gridloom.functions.vec import finite
-
     ok = finite(*[F.col(a) for a in AXES])
     got = nearest(targets.where(ok), sources, width, pid, values).select(F.col("a_id").alias(pid), *values)
     means = sources.agg(*[F.avg(v).alias(v) for v in values])

@@ -131,10 +131,10 @@ def inject_over(filled: DataFrame, source: DataFrame, features: list[str]) -> Da
 
 
 def index_of(voxels: DataFrame) -> DataFrame:
-    """Dense index of each cell in the order of its key; the window runs once for each batch."""
-    from pyspark.sql import Window as W
+    """Dense index of each cell within its batch, in the order of its key."""
+    from gridloom.operators.order import running
 
-    return voxels.withColumn("index", (F.row_number().over(W.partitionBy("batch_id").orderBy(*CELL)) - 1).cast("long"))
+    return running(voxels, ["batch_id"], list(CELL), index=F.lit(1)).withColumn("index", F.col("index") - 1)
 
 
 def lookup(points: DataFrame, indexed: DataFrame) -> DataFrame:

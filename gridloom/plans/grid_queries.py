@@ -313,7 +313,7 @@ def w2(spark, d):
     return grid(spark, d).withColumn("code", vec.morton(F.col("i"), F.col("j"), F.col("k"), 8))
 
 
-@query("W1_W6_W7_patches", f"WITH {LINES}, m AS (SELECT {K}, {MORTON} AS code FROM (SELECT DISTINCT {K} FROM lines)), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY code)-1 AS rank FROM m) SELECT {K}, rank::INT AS rank, rank//32 AS patch FROM r")
+@query("W1_W6_W7_patches", f"WITH {LINES}, m AS (SELECT {K}, {MORTON} AS code FROM (SELECT DISTINCT {K} FROM lines)), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY code)-1 AS rank FROM m) SELECT {K}, rank, rank//32 AS patch FROM r")
 def w7(spark, d):
     g = grid(spark, d)
     keyed = g.withColumn("pos", F.lit(0)).withColumn("code", order.curve_key("z", bits=8))
