@@ -369,10 +369,10 @@ def x8(spark, d):
     return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("X9_quantile_knots", f"WITH {PTS} SELECT unnest(range(101))::INT AS n, unnest(quantile_cont(z, list_transform(range(101), lambda i: i/100::DOUBLE))) AS knot FROM pts WHERE z > 0")
+@query("X9_quantile_knots", f"WITH {PTS} SELECT n, round(knot,6) AS knot FROM (SELECT unnest(range(101))::INT AS n, unnest(quantile_cont(z, list_transform(range(101), lambda i: i/100::DOUBLE))) AS knot FROM pts WHERE z > 0)")
 def x9(spark, d):
     knots = quantile.knots(points(spark, d), "z", 101)
-    return spark.createDataFrame(list(enumerate(knots)), "n int, knot double")
+    return spark.createDataFrame(list(enumerate(knots)), "n int, knot double").withColumn("knot", F.round("knot", 6))
 
 
 @query("X9_to_normal")
