@@ -80,7 +80,7 @@ def running(df: DataFrame, group: list[str], by: list, **sums: Column) -> DataFr
     """
     from gridloom.session import stage
 
-    names = {n: f"__{n}" for n in sums}
+    names = {n: f"__sum_{n}" for n in sums}
     ranged = df.withColumns({names[n]: c for n, c in sums.items()}).repartitionByRange(*group, *by).withColumn("__part", F.spark_partition_id())
     ranged = stage(ranged, "ranged")
     totals = ranged.groupBy(*group, "__part").agg(*[F.sum(c).alias(c) for c in names.values()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.order import global_rank
+from gridloom.operators.order import global_rank, running
 
 
 def unit_hash(*cols, seed: int = 0) -> Column:
@@ -16,10 +16,10 @@ def unit_hash(*cols, seed: int = 0) -> Column:
 
 def with_replacement(df: DataFrame, n: int, group: str, order: str, seed: int = 0) -> DataFrame:
     """n uniform draws from each group, with replacement: draw numbers joined to row numbers."""
-    numbered = df.withColumn("at", F.row_number().over(W.partitionBy(group).orderBy(order)) - 1)
+    numbered = running(df, [group], [order], at=F.lit(1)).withColumn("at", F.col("at") - 1)
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.select(group, "draw", F.floor(unit_hash(group, "draw", seed=seed) * F.col("size")).cast("int").alias("at"))
+    draws = draws.select(group, "draw", F.floor(unit_hash(group, "draw", seed=seed) * F.col("size")).cast("long").alias("at"))
     return draws.join(numbered, [group, "at"])
 
 
