@@ -43,3 +43,35 @@ def test_pipeline(spark):
     distinct = out.select(*docs.columns).dropDuplicates(["doc_id"])
     assert decontaminate.leaks(distinct, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     assert {r.class_size for r in omh_dedup.near_duplicates(distinct).collect()} == {1}
+
+
+def test_each_stage_decides_as_its_operator(spark, tmp_path):
+    from collections import Counter
+
+    from gridloom.llm import mixing, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cols = docs.columns
+    count = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+    def run(name, before):
+        stages[name](spark, before, SF).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns[: len(cols)] == cols
+        return after
+
+    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    clean = run("toxicity", docs)
+    assert count(clean) == Counter({i: n for i, n in count(docs).items() if not scored[i]})
+    classes = {r.doc_id: r.class_id for r in omh_dedup.near_duplicates(clean).collect()}
+    once = run("near_duplicates", clean)
+    assert count(once) == Counter(set(classes.values()))
+    leaked = {r.doc_id for r in decontaminate.leaks(once, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    fresh = run("decontamination", once)
+    assert leaked and count(fresh) == Counter({i: n for i, n in count(once).items() if i not in leaked})
+    mixed = run("mixing", fresh)
+    assert count(mixed) == Counter({r.doc_id: r.copies for r in mixing.mix_plan(fresh).collect() if r.copies})
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in docs.collect()}
+    assert count(run("sharding", mixed)) == count(mixed)
