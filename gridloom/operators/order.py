@@ -124,6 +124,17 @@ def global_positions(df: DataFrame, rank: str = "rank", batch: str = "batch_id")
     return df.join(counts.select(batch, before.alias("offset")), batch).withColumn("position", F.col("offset") + F.col(rank))
 
 
+def batch_of(pos: Column, offsets: list[int]) -> Column:
+    """Batch number of a row's position, where offsets are the running ends of the batches."""
+    return F.size(F.filter(F.array(*[F.lit(o) for o in offsets]), lambda o: o <= pos))
+
+
+def offsets(df: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Running end of each batch, in order of batch: a row for each."""
+    counts = df.groupBy(batch).agg(F.count("*").alias("n"))
+    return counts.select(batch, F.sum("n").over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, 0)).alias("offset"))
+
+
 def patches(df: DataFrame, size: int, rank: str = "rank") -> DataFrame:
     """Fixed-size patches along the order; the last of a batch may be shorter, none crosses batches."""
     return df.withColumn("patch", F.floor(F.col(rank) / size).cast("long"))

@@ -18,6 +18,13 @@ def keys(points: DataFrame, size: Sizes, origin: Sizes = 0.0, mode: str = "floor
     return points.withColumns({c: rounding((F.col(a) - F.lit(float(o))) / F.lit(float(s))).cast("long") for c, a, s, o in zip(CELL, AXES, _three(size), _three(origin), strict=True)})
 
 
+def grid_coordinates(points: DataFrame, size: float) -> DataFrame:
+    """Add i, j, k counted from the least corner of all batches together."""
+    corner = points.agg(*[F.min(a).alias(f"__{a}") for a in AXES])
+    rows = points.join(F.broadcast(corner))  # one row
+    return rows.withColumns({c: F.floor((F.col(a) - F.col(f"__{a}")) / F.lit(float(size))).cast("long") for c, a in zip(CELL, AXES, strict=True)}).drop(*[f"__{a}" for a in AXES])
+
+
 def voxelize(points: DataFrame, size: Sizes, **how) -> DataFrame:
     return keys(points, size, **how).select(*KEY).distinct()
 

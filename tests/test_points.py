@@ -298,3 +298,23 @@ def test_scene_runs_skip_and_report(spark):
             raise RuntimeError("no")
 
     assert relational.run_scenes(scenes, scenes.where("scene = 'a'"), run) == {"a": "skipped", "b": "done", "c": "failed: no"}
+
+
+def test_offsets_and_batches(spark):
+    got = spark.range(9).select(order.batch_of(F.col("id"), [2, 5, 9]).alias("batch_id"))
+    assert [r.batch_id for r in got.collect()] == [0, 0, 1, 1, 1, 2, 2, 2, 2]
+    assert [tuple(r) for r in order.offsets(got).orderBy("batch_id").collect()] == [(0, 2), (1, 5), (2, 9)]
+
+
+def test_grid_coordinates_use_the_global_minimum(spark):
+    p = points(spark, [(0, 0, 0), (1, 0, 0)], 0).unionByName(points(spark, [(9, 0, 0), (11, 2, 3)], 1))
+    got = voxel.grid_coordinates(p, 1.0).orderBy("batch_id", "pid").select("i", "j", "k").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 0), (1, 0, 0), (9, 0, 0), (11, 2, 3)]
+
+
+def test_bounds_contain_points(spark):
+    p = sample.scene_batch(spark, "object", 500, 1)
+    b = voxel.bounds(voxel.voxelize(p, 0.05)).first()
+    for r in p.collect():
+        for a, c in zip("xyz", "ijk"):
+            assert b[f"lo_{c}"] * 0.05 - 1e-9 <= r[a] <= (b[f"hi_{c}"] + 1) * 0.05 + 1e-9
