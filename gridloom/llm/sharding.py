@@ -140,7 +140,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """docs with shard and slot, to be written with partitionBy('shard').
+    """docs with shard and slot, to be written with partitionBy('shard'); columns of these names are replaced.
 
     Rows that agree in id and text are dealt as assign() deals them, in any order among themselves.
     """

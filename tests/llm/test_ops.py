@@ -172,11 +172,12 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     pre, post = " ".join(words(8, 60)), " ".join(words(9, 60))
     moved = item.replace("Paris", "Oslo").replace("Rome", "Bern").replace("120", "200").replace("90", "75")
     broken = item.replace("120 km", "120 km in 3 hours or 7 km") + " extra"
+    clash = {c: F.lit("x") for c in ("item_id", "m", "coverage", "position")}
     texts = [f"{pre}. {item} {post}", f"{pre}. {moved} {post}", f"{pre} {plain} {post}", f"{pre} {plain.upper()} {post}", pre, None, "", " ".join(plain.split()[:15]), "so too short. but not too: short", f"{pre} " + "*** ".join(plain.split()) + f"%%% {post}"]
-    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.leaks(docs_of(spark, texts), bench).distinct().collect()}
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.leaks(docs_of(spark, texts).withColumns(clash), bench).distinct().collect()}
     assert got == {(0, 1): False, (1, 1): True, (2, 2): False, (3, 2): False, (8, 4): False, (9, 2): False}
     assert broken
-    kept = [r.doc_id for r in decontaminate.clean(docs_of(spark, texts), bench).orderBy("doc_id").collect()]
+    kept = [r.doc_id for r in decontaminate.clean(docs_of(spark, texts).withColumns(clash), bench).orderBy("doc_id").collect()]
     assert kept == [4, 5, 6, 7]
     # Blocks of the table give the same.
     small = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, texts), bench, block_windows=40).collect()}
@@ -242,7 +243,7 @@ def test_mixing_targets_and_copies(spark):
     sources = [r.choice(["b", "b", "b", "b", "b", "B", "é", None, "tiny"]) for _ in range(3000)]
     sources = [s if s != "tiny" or i % 40 == 0 else "b" for i, s in enumerate(sources)]
     texts = [" ".join(["w"] * (i % 97)) if i % 31 else None for i in range(3000)]
-    docs = docs_of(spark, texts, sources).withColumn("size", F.lit("clash")).withColumn("seed", F.lit(1))
+    docs = docs_of(spark, texts, sources).withColumns({c: F.lit("clash") for c in ("size", "seed", "copies", "target", "whole", "key", "chance")})
     plan = mixing.mix_plan(docs).collect()
     sizes = Counter()
     for i, s in enumerate(sources):
@@ -323,7 +324,7 @@ def test_near_duplicate_classes(spark):
     odd = len(texts)
     texts += [None, None, "", "", " ", "one", "one", "a b c d e f", "a b c d e g"]
     want += [odd, odd + 1, odd + 2, odd + 2, odd + 4, odd + 5, odd + 5, odd + 7, odd + 8]
-    docs = docs_of(spark, texts).withColumn("k", F.lit(0)).withColumn("label", F.lit("x"))
+    docs = docs_of(spark, texts).withColumns({c: F.lit("x") for c in ("k", "label", "count", "id", "leader", "class_id", "text_key")})
     got = {r.doc_id: r for r in omh_dedup.near_duplicates(docs).collect()}
     assert [got[i].class_id for i in range(len(texts))] == want
     assert [got[i].class_size for i in range(len(texts))] == [Counter(want)[w] for w in want]
@@ -447,7 +448,7 @@ def test_sharding_few_rows_and_repeats(spark):
     assert sharding.assign(docs_of(spark, ["a"]).limit(0)).count() == 0
     got = sharding.assign(docs_of(spark, ["a", "a", "b"])).collect()
     assert max(Counter(x.shard for x in got).values()) == 1
-    docs = docs_of(spark, [f"t{i}" for i in range(50)])
+    docs = docs_of(spark, [f"t{i}" for i in range(50)]).withColumns({c: F.lit("x") for c in ("shard", "slot", "key", "g", "count", "node")})
     out = sharding.shard_documents(docs.unionByName(docs)).collect()
     assert Counter(x.doc_id for x in out) == Counter({i: 2 for i in range(50)})
     counts = Counter(x.shard for x in out)
