@@ -3,8 +3,9 @@
 A source's tokens are summed, its target and so its repetition rate follow, and each
 document is emitted floor(rate) times plus once more with probability rate - floor(rate).
 The draw compares a number made from the MD5 of the document's id with the fraction,
-so reruns agree. Of 16 such seeds each source takes the one whose sum is nearest its
-target, which a single aggregation finds. DataFrame functions only.
+so reruns agree. A hash parts each source's documents in two halves, and each half has
+16 such seeds: of the 256 pairs the source takes the one whose sum is nearest its target,
+which a single aggregation finds. DataFrame functions only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,11 @@ def draws(key: Column) -> list[Column]:
     return out
 
 
+def half(key: Column) -> Column:
+    """0 or 1, fixed by the key."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":half"))), 1, 1), 16, 10).cast("int") % 2
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """source, source_size, target of every source of (source, size) rows.
 
@@ -58,7 +64,7 @@ def key_of(id_col: str, text_col: str) -> Column:
 
 
 def source_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target, whole (copies of every document), chance (of 2^32, for one more), seed; staged."""
+    """source, source_size, target, whole (copies of every document), chance (of 2^32, for one more), seed (of both halves); staged."""
     light = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key_of(id_col, text_col).alias("key"))
     light = stage(light, "mix-sizes")
     targets = source_targets(light, weights, cap)
@@ -66,13 +72,12 @@ def source_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rates = targets.withColumn("whole", F.floor(rate)).withColumn("chance", ((rate - F.col("whole")) * F.lit(float(1 << 32))).cast("long"))
     rates = stage(rates, "mix-rates")
     same = light["source"].eqNullSafe(rates["source"])
-    drawn = light.join(rates, same).select(rates["source"], "size", "chance", *[d.alias(f"u{i}") for i, d in enumerate(draws(F.col("key")))])
-    extra = [F.sum(F.when(F.col(f"u{i}") < F.col("chance"), F.col("size")).otherwise(0)).alias(f"x{i}") for i in range(SEEDS)]
-    found = drawn.groupBy("source").agg(*extra)
+    drawn = light.join(rates, same).select(rates["source"], "size", "chance", half(F.col("key")).alias("half"), *[d.alias(f"u{i}") for i, d in enumerate(draws(F.col("key")))])
+    extra = [F.sum(F.when((F.col("half") == h) & (F.col(f"u{i}") < F.col("chance")), F.col("size")).otherwise(0)).alias(f"x{h}_{i}") for h in (0, 1) for i in range(SEEDS)]
+    found = drawn.groupBy("source").agg(*extra).select(F.col("source").alias("of"), *[F.array(*[f"x{h}_{i}" for i in range(SEEDS)]).alias(f"x{h}") for h in (0, 1)])
     wanted = F.col("target") - F.col("whole") * F.col("source_size")
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"x{i}") - wanted).alias("off"), F.lit(i).alias("seed")) for i in range(SEEDS)]))["seed"]
-    found = found.withColumnRenamed("source", "of")
-    chosen = rates.join(found, rates["source"].eqNullSafe(found["of"])).select("source", "source_size", "target", "whole", "chance", best.alias("seed"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(SEEDS * SEEDS - 1)), lambda n: F.struct(F.abs(F.get("x0", F.floor(n / SEEDS).cast("int")) + F.get("x1", n % SEEDS) - wanted).alias("off"), n.alias("seed")))
+    chosen = rates.join(found, rates["source"].eqNullSafe(found["of"])).select("source", "source_size", "target", "whole", "chance", F.array_min(pairs)["seed"].alias("seed"))
     out = stage(chosen, "mix-seeds")
     discard(light, rates)
     return out
@@ -82,7 +87,9 @@ def copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col:
     """docs with __copies (and the columns of rates, prefixed __): how often the mix emits each row."""
     own = rates.toDF(*[f"__{c}" for c in rates.columns])
     joined = docs.join(own, docs[source_col].eqNullSafe(own["__source"]), "left")
-    u = F.element_at(F.array(*draws(key_of(id_col, text_col))), F.col("__seed") + 1)
+    key = key_of(id_col, text_col)
+    seed = F.when(half(key) == 0, F.floor(F.col("__seed") / SEEDS).cast("int")).otherwise(F.col("__seed") % SEEDS)
+    u = F.element_at(F.array(*draws(key)), seed + 1)
     more = F.when(u < F.col("__chance"), 1).otherwise(0)
     return joined.withColumn("__copies", (F.col("__whole") + more).cast("int"))
 

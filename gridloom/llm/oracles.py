@@ -67,11 +67,11 @@ def _op6() -> str:
     key = "coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))"
     u = [f"('0x' || substr(md5(key || ':{n // 4}'), {8 * (n % 4) + 1}, 8))::BIGINT" for n in range(mixing.SEEDS)]
     weights = f"[{', '.join(map(str, mixing.WEIGHTS))}]"
-    sums = ", ".join(f"sum(CASE WHEN {u[n]} < chance THEN size ELSE 0 END) AS x{n}" for n in range(mixing.SEEDS))
-    seed = "CASE least(" + ", ".join(f"abs(x{n} - wanted)" for n in range(mixing.SEEDS)) + ") " + " ".join(f"WHEN abs(x{n} - wanted) THEN {n}" for n in range(mixing.SEEDS)) + " END"
-    pick = "CASE seed " + " ".join(f"WHEN {n} THEN {u[n]}" for n in range(mixing.SEEDS)) + " END"
+    n = mixing.SEEDS
+    sums = ", ".join(f"[{', '.join(f'sum(CASE WHEN half = {h} AND {u[i]} < chance THEN size ELSE 0 END)' for i in range(n))}] AS x{h}" for h in (0, 1))
+    pick = f"CASE (CASE WHEN half = 0 THEN seed // {n} ELSE seed % {n} END) " + " ".join(f"WHEN {i} THEN {u[i]}" for i in range(n)) + " END"
     return rf"""
-WITH l AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, {key} AS key FROM documents),
+WITH l AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, {key} AS key, ('0x' || substr(md5({key} || ':half'), 1, 1))::INT % 2 AS half FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss FROM l GROUP BY 1),
 r AS (SELECT *, {weights}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)})::INT + 1] AS w, ss*{mixing.CAP} AS full_ FROM s),
 v AS (SELECT *, row_number() OVER o AS place, ((sum(ss) OVER ())::BIGINT - coalesce(sum(full_) OVER b, 0)::BIGINT)/((sum(w) OVER ())::BIGINT - coalesce(sum(w) OVER b, 0)::BIGINT)::DOUBLE AS lv FROM r WINDOW o AS (ORDER BY full_/w::DOUBLE, source NULLS LAST), b AS (ORDER BY full_/w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -79,7 +79,7 @@ c AS (SELECT (SELECT lv FROM v WHERE lv*w <= full_ ORDER BY place LIMIT 1) AS lv
 t AS (SELECT source, ss, CASE WHEN c.lv IS NULL OR c.lv*w > full_ THEN full_::DOUBLE ELSE c.lv*w END AS target FROM v, c),
 a AS (SELECT *, floor(coalesce(target/nullif(ss, 0), 0))::BIGINT AS whole, trunc((coalesce(target/nullif(ss, 0), 0) - floor(coalesce(target/nullif(ss, 0), 0)))*4294967296)::BIGINT AS chance FROM t),
 x AS (SELECT a.source, any_value(target - whole*ss) AS wanted, {sums} FROM l JOIN a ON l.source IS NOT DISTINCT FROM a.source GROUP BY a.source),
-e AS (SELECT source, {seed} AS seed FROM x)
+e AS (SELECT source, k AS seed FROM x, (SELECT unnest(range({n * n})) AS k) QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(x0[k // {n} + 1] + x1[k % {n} + 1] - wanted), k) = 1)
 SELECT doc_id, size, ss AS source_size, target, (size*(whole + CASE WHEN {pick} < chance THEN 1 ELSE 0 END))::BIGINT AS taken FROM l JOIN a ON l.source IS NOT DISTINCT FROM a.source JOIN e ON l.source IS NOT DISTINCT FROM e.source"""
 
 
