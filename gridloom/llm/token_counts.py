@@ -73,7 +73,7 @@ def memoized(encode, most: int = 1 << 19):
     return count
 
 
-def lengths(texts: list, encode, may_cut: bool, batch_chars: int, piece_chars: int) -> list[int]:
+def lengths(texts: list, encode, may_cut: bool, batch_bytes: int, piece_chars: int) -> list[int]:
     """Tokens of each text; None counts as empty."""
     out, batch, owners, held = [0] * len(texts), [], [], 0
 
@@ -89,8 +89,8 @@ def lengths(texts: list, encode, may_cut: bool, batch_chars: int, piece_chars: i
         for piece in pieces(text, piece_chars) if may_cut else (text,):
             batch.append(piece)
             owners.append(i)
-            held += len(piece)
-            if held >= batch_chars:
+            held += len(piece.encode())
+            if held >= batch_bytes:
                 flush()
                 held = 0
     if batch:
@@ -98,7 +98,7 @@ def lengths(texts: list, encode, may_cut: bool, batch_chars: int, piece_chars: i
     return out
 
 
-def token_length(text: Column, vocabulary: str = "byte_bpe_50k.json", batch_chars: int = 1 << 19, piece_chars: int = 1 << 15) -> Column:
+def token_length(text: Column, vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 1 << 19, piece_chars: int = 1 << 15) -> Column:
     """Number of tokens of a text column as a long, without added special tokens, truncation or padding."""
 
     @F.arrow_udf(LongType())
@@ -107,7 +107,7 @@ def token_length(text: Column, vocabulary: str = "byte_bpe_50k.json", batch_char
         if may_cut:
             encode = memoized(encode)
         for texts in batches:
-            yield pa.array(lengths(texts.to_pylist(), encode, may_cut, batch_chars, piece_chars), pa.int64())
+            yield pa.array(lengths(texts.to_pylist(), encode, may_cut, batch_bytes, piece_chars), pa.int64())
 
     return count(text)
 
