@@ -17,7 +17,7 @@ from gridloom.llm._shared import discard, rank_in_group, stage
 SHARDS = 8
 ROUNDS = 4
 #: A group's part holds at most this share of a shard.
-PART = 0.25
+PART = 0.5
 
 
 def balance(spark, counts: dict[int, int], shards: int) -> tuple[DataFrame, dict[int, int]]:
