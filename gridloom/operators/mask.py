@@ -50,7 +50,9 @@ def suppress(pixels: DataFrame, scores: DataFrame, iou_most: float = 0.7, score_
     inner = F.when((ra < 0.5) & (rb >= 0.85), 1 - ra * rb).when((rb < 0.5) & (ra >= 0.85), 1 - ra * rb).otherwise(0.0)
     worse = F.when(F.col("rank_a") > F.col("rank_b"), F.col("a")).otherwise(F.col("b"))
     small = F.when(F.col("area_a") < F.col("area_b"), F.col("a")).otherwise(F.col("b"))
-    over = pairs.select("image_id", worse.alias("mask_id"), "iou", F.lit(0.0).alias("inner")).unionByName(pairs.select("image_id", small.alias("mask_id"), F.lit(0.0).alias("iou"), inner.alias("inner")))
+    # Each pair reports to two masks from one pass over the pairs.
+    told = F.array(F.struct(worse.alias("mask_id"), F.col("iou").alias("iou"), F.lit(0.0).alias("inner")), F.struct(small.alias("mask_id"), F.lit(0.0).alias("iou"), inner.alias("inner")))
+    over = pairs.select("image_id", F.inline(told))
     worst = over.groupBy("image_id", "mask_id").agg(F.max("iou").alias("iou_better"), F.max("inner").alias("inner"))
     rows = ranks.join(worst, ["image_id", "mask_id"], "left").fillna(0.0, ["iou_better", "inner"])
     image = W.partitionBy("image_id")
