@@ -34,33 +34,39 @@ def pair_overlaps(pixels: DataFrame) -> DataFrame:
     return shared.withColumn("iou", iou(F.col("shared"), F.col("area_a") + F.col("area_b") - F.col("shared")))
 
 
-def suppress(pixels: DataFrame, scores: DataFrame, iou_most: float = 0.7, score_least: float = 0.1, inner_most: float = 0.2, keep_least: int = 3) -> DataFrame:
+def suppress(pixels: DataFrame, scores: DataFrame, iou_most: float = 0.7, score_least: float = 0.1, inner: float = 0.2, keep_least: int = 3) -> DataFrame:
     """Mask suppression by rank of score, without greed: suppressed masks still suppress.
 
-    A mask stays if its IoU with no better mask exceeds iou_most, its score is above score_least, and
-    its containment measure against no other mask exceeds inner_most. If a condition on score or
-    containment would keep none of an image, the keep_least best pass it. scores: image_id, mask_id, score.
+    A mask stays if its IoU with no better mask exceeds iou_most, its score is above score_least, and it
+    does not lie inside a better mask, nor inside a worse one, by a measure above 1 - inner. A mask lies in
+    another that it shares at least 0.85 of its own and less than half of the other's area with; the measure
+    is 1 minus the product of both shares. The second test also counts a better mask that is next in
+    rank. Where the score or one of these tests would keep no mask of an image, its keep_least best
+    pass it. scores: image_id, mask_id, score.
     """
     by_score = W.partitionBy("image_id").orderBy(F.desc("score"), "mask_id")
     ranks = scores.withColumn("rank", F.row_number().over(by_score))
     pairs = pair_overlaps(pixels)
     r = ranks.select("image_id", F.col("mask_id").alias("m"), F.col("rank").alias("r"))
     pairs = pairs.join(r.withColumnsRenamed({"m": "a", "r": "rank_a"}), ["image_id", "a"]).join(r.withColumnsRenamed({"m": "b", "r": "rank_b"}), ["image_id", "b"])
-    ra, rb = F.try_divide("shared", "area_a"), F.try_divide("shared", "area_b")
-    inner = F.when((ra < 0.5) & (rb >= 0.85), 1 - ra * rb).when((rb < 0.5) & (ra >= 0.85), 1 - ra * rb).otherwise(0.0)
-    worse = F.when(F.col("rank_a") > F.col("rank_b"), F.col("a")).otherwise(F.col("b"))
-    small = F.when(F.col("area_a") < F.col("area_b"), F.col("a")).otherwise(F.col("b"))
+    first = F.col("rank_a") < F.col("rank_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select("image_id", "iou", pick("a", "b").alias("better"), pick("b", "a").alias("worse"), (F.abs(F.col("rank_a") - F.col("rank_b")) == 1).alias("next"), F.try_divide("shared", pick("area_a", "area_b")).alias("of_better"), F.try_divide("shared", pick("area_b", "area_a")).alias("of_worse"))
+    measure = 1 - F.col("of_better") * F.col("of_worse")
+    worse_in = F.when((F.col("of_better") < 0.5) & (F.col("of_worse") >= 0.85), measure).otherwise(0.0)
+    better_in = F.when((F.col("of_worse") < 0.5) & (F.col("of_better") >= 0.85), measure).otherwise(0.0)
     # Each pair reports to two masks from one pass over the pairs.
-    told = F.array(F.struct(worse.alias("mask_id"), F.col("iou").alias("iou"), F.lit(0.0).alias("inner")), F.struct(small.alias("mask_id"), F.lit(0.0).alias("iou"), inner.alias("inner")))
-    over = pairs.select("image_id", F.inline(told))
-    worst = over.groupBy("image_id", "mask_id").agg(F.max("iou").alias("iou_better"), F.max("inner").alias("inner"))
-    rows = ranks.join(worst, ["image_id", "mask_id"], "left").fillna(0.0, ["iou_better", "inner"])
-    image = W.partitionBy("image_id")
-    for name, ok in (("ok_score", F.col("score") > score_least), ("ok_inner", F.col("inner") <= inner_most)):
+    told = F.array(
+        F.struct(F.col("worse").alias("mask_id"), F.col("iou").alias("iou"), worse_in.alias("in_better"), F.when(F.col("next"), worse_in).otherwise(0.0).alias("in_worse")),
+        F.struct(F.col("better").alias("mask_id"), F.lit(0.0).alias("iou"), F.lit(0.0).alias("in_better"), better_in.alias("in_worse")),
+    )
+    worst = pairs.select("image_id", F.inline(told)).groupBy("image_id", "mask_id").agg(F.max("iou").alias("iou_better"), F.max("in_better").alias("in_better"), F.max("in_worse").alias("in_worse"))
+    rows = ranks.join(worst, ["image_id", "mask_id"], "left").fillna(0.0, ["iou_better", "in_better", "in_worse"])
+    image, kept = W.partitionBy("image_id"), F.col("iou_better") <= iou_most
+    for name, ok in (("__score", F.col("score") > score_least), ("__in_better", F.col("in_better") <= 1 - inner), ("__in_worse", F.col("in_worse") <= 1 - inner)):
         rows = rows.withColumn(name, ok)
-        rows = rows.withColumn(name, F.when(F.bool_or(name).over(image), F.col(name)).otherwise(F.col("rank") <= keep_least))
-    kept = (F.col("iou_better") <= iou_most) & F.col("ok_score") & F.col("ok_inner")
-    return rows.select("image_id", "mask_id", "score", "rank", F.col("iou_better"), kept.alias("kept"))
+        kept = kept & F.when(F.bool_or(name).over(image), F.col(name)).otherwise(F.col("rank") <= keep_least)
+    return rows.withColumn("kept", kept).select("image_id", "mask_id", "score", "rank", "iou_better", "in_better", "in_worse", "kept")
 
 
 def greedy_boxes(boxes: DataFrame, iou_most: float = 0.7) -> DataFrame:

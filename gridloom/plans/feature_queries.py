@@ -22,11 +22,11 @@ def a23(spark, d):
     return mask.pair_overlaps(pixels(spark, d))
 
 
-@query("C1_mask_suppression", f"WITH {PAIRS}, rk AS (SELECT image_id, mask_id, area/64::DOUBLE AS score, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, mask_id) AS rank FROM ar), p2 AS (SELECT pr.*, r1.rank AS ra, r2.rank AS rb, shared/area_a::DOUBLE AS fa, shared/area_b::DOUBLE AS fb FROM pr JOIN rk r1 ON r1.image_id=pr.image_id AND r1.mask_id=a JOIN rk r2 ON r2.image_id=pr.image_id AND r2.mask_id=b), ov AS (SELECT image_id, CASE WHEN ra>rb THEN a ELSE b END AS mask_id, iou, 0.0::DOUBLE AS inn FROM p2 UNION ALL SELECT image_id, CASE WHEN area_a<area_b THEN a ELSE b END, 0.0, CASE WHEN (fa<0.5 AND fb>=0.85) OR (fb<0.5 AND fa>=0.85) THEN 1-fa*fb ELSE 0 END FROM p2), ws AS (SELECT image_id, mask_id, max(iou) AS iou_better, max(inn) AS inn FROM ov GROUP BY 1,2), rows AS (SELECT rk.*, coalesce(iou_better,0) AS iou_better, coalesce(inn,0) AS inn FROM rk LEFT JOIN ws USING (image_id, mask_id)), ok AS (SELECT *, bool_or(score>0.1) OVER i AS anys, bool_or(inn<=0.2) OVER i AS anyi FROM rows WINDOW i AS (PARTITION BY image_id)) SELECT image_id, mask_id, score, rank::INT AS rank, iou_better, (iou_better<=0.05 AND (CASE WHEN anys THEN score>0.1 ELSE rank<=3 END) AND (CASE WHEN anyi THEN inn<=0.2 ELSE rank<=3 END)) AS kept FROM ok")
+@query("C1_mask_suppression", f"WITH {PAIRS}, rk AS (SELECT image_id, mask_id, area/64::DOUBLE AS score, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, mask_id) AS rank FROM ar), p1 AS (SELECT pr.*, r1.rank AS ra, r2.rank AS rb FROM pr JOIN rk r1 ON r1.image_id=pr.image_id AND r1.mask_id=a JOIN rk r2 ON r2.image_id=pr.image_id AND r2.mask_id=b), p2 AS (SELECT image_id, iou, CASE WHEN ra<rb THEN a ELSE b END AS better, CASE WHEN ra<rb THEN b ELSE a END AS worse, abs(ra-rb)=1 AS nxt, shared/(CASE WHEN ra<rb THEN area_a ELSE area_b END)::DOUBLE AS fb, shared/(CASE WHEN ra<rb THEN area_b ELSE area_a END)::DOUBLE AS fw FROM p1), ov AS (SELECT image_id, worse AS mask_id, iou, CASE WHEN fb<0.5 AND fw>=0.85 THEN 1-fb*fw ELSE 0 END AS u, CASE WHEN nxt AND fb<0.5 AND fw>=0.85 THEN 1-fb*fw ELSE 0 END AS l FROM p2 UNION ALL SELECT image_id, better, 0, 0, CASE WHEN fw<0.5 AND fb>=0.85 THEN 1-fb*fw ELSE 0 END FROM p2), ws AS (SELECT image_id, mask_id, max(iou) AS iou_better, max(u) AS u, max(l) AS l FROM ov GROUP BY 1,2), rows AS (SELECT rk.*, coalesce(iou_better,0) AS iou_better, coalesce(u,0) AS in_better, coalesce(l,0) AS in_worse FROM rk LEFT JOIN ws USING (image_id, mask_id)), ok AS (SELECT *, bool_or(score>0.1) OVER i AS anys, bool_or(in_better<=0.4::DOUBLE) OVER i AS anyu, bool_or(in_worse<=0.4::DOUBLE) OVER i AS anyl FROM rows WINDOW i AS (PARTITION BY image_id)) SELECT image_id, mask_id, score, rank::INT AS rank, iou_better, in_better, in_worse, (iou_better<=0.05 AND (CASE WHEN anys THEN score>0.1 ELSE rank<=3 END) AND (CASE WHEN anyu THEN in_better<=0.4::DOUBLE ELSE rank<=3 END) AND (CASE WHEN anyl THEN in_worse<=0.4::DOUBLE ELSE rank<=3 END)) AS kept FROM ok")
 def c1(spark, d):
     px = pixels(spark, d)
     scores = px.groupBy("image_id", "mask_id").agg((F.count("*") / 64.0).alias("score"))
-    return mask.suppress(px, scores, iou_most=0.05)
+    return mask.suppress(px, scores, iou_most=0.05, inner=0.6)
 
 
 @query("C2_greedy_boxes")

@@ -154,3 +154,15 @@ def test_mask_morphology(spark):
 def test_greedy_boxes(spark):
     b = spark.createDataFrame([(0, 0, 0.0, 0.0, 10.0, 10.0, 0.9), (0, 1, 1.0, 1.0, 10.0, 10.0, 0.8), (0, 2, 20.0, 20.0, 30.0, 30.0, 0.1)], "image_id long, box_id long, x0 double, y0 double, x1 double, y1 double, score double")
     assert sorted(r.box_id for r in mask.greedy_boxes(b).collect()) == [0, 2]
+
+
+def test_suppression_keeps_the_stated_rules(spark):
+    square = lambda m, r0, r1, c0, c1: [(0, m, r, c) for r in range(r0, r1) for c in range(c0, c1)]
+    px = square(1, 0, 20, 0, 20) + square(2, 0, 20, 0, 19) + square(3, 2, 5, 2, 5) + square(4, 40, 45, 40, 45)
+    scores = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.8), (0, 3, 0.7), (0, 4, 0.6)], "image_id long, mask_id long, score double")
+    df = spark.createDataFrame(px, "image_id long, mask_id long, row int, col int")
+    got = {r.mask_id: r for r in mask.suppress(df, scores).collect()}
+    assert {m for m, r in got.items() if r.kept} == {1, 4}  # 2 overlaps 1; 3 lies in 1
+    assert got[3].in_better == pytest.approx(1 - 9 / 400) and got[3].in_worse == pytest.approx(1 - 9 / 380)  # 2 is next in rank
+    low = mask.suppress(df.where("mask_id = 4"), scores.where("mask_id = 4"), score_least=0.95).first()
+    assert low.kept  # the best of an image pass a score that none has
