@@ -100,7 +100,7 @@ def sh_to_rgb(c: Column) -> Column:
     return c / SH0 + 0.5
 
 
-def fourier(x: Column, bands: int, log_space: bool = True, highest: float = 10.0, width: int | None = None) -> Column:
+def fourier(x: Column, bands: int, log_space: bool = True, highest: float = 10_000.0, width: int | None = None) -> Column:
     """sin and cos of x * f * pi for each band, f from 1 to highest / 2; zeros fill the left up to width."""
     top = highest / 2
     fs = [top ** (i / max(1, bands - 1)) if log_space else 1 + (top - 1) * i / max(1, bands - 1) for i in range(bands)]
@@ -108,6 +108,13 @@ def fourier(x: Column, bands: int, log_space: bool = True, highest: float = 10.0
     return out if width is None else F.concat(F.array_repeat(F.lit(0.0), width - 2 * bands), out)
 
 
+def position_code(axes: list[Column], extent: list[float], size: int) -> Column:
+    """Fourier codes of all axes over their extents, one after the other, filled with zeros on the left to `size`."""
+    bands = size // len(axes) // 2
+    codes = F.concat(*[fourier(a / F.lit(float(e)), bands) for a, e in zip(axes, extent, strict=True)])
+    return F.concat(F.array_repeat(F.lit(0.0), size - 2 * bands * len(axes)), codes)
+
+
 def contract(p: Column) -> Column:
     """Contracted coordinate in [-2, 2] to [0, 1]."""
     return (p + 2) / 4

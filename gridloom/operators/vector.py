@@ -72,15 +72,19 @@ def affinity(items: DataFrame, click: list[float], least: float = 0.9, vec: str
     return items.withColumn("affinity", dot(F.col(vec), q)).where(F.col("affinity") >= least)
 
 
-def negative_evidence(positive: Column, negative: Column, mode: str, least: float = 0.9) -> Column:
-    """Whether a pixel stays given its affinity to the click and its greatest one to negative clicks."""
+def negative_evidence(positive: Column, negative: Column, mode: str, least: float = 0.9, weight: float = 1.0) -> Column:
+    """Whether a pixel stays given its affinity to the click and its greatest one to negative clicks.
+
+    dominate: the positive is above weight times the negative; subtract: what weight times the negative
+    leaves reaches the threshold; veto: the negative is below weight. Any other mode ignores the negative.
+    """
     if mode == "dominate":
-        return (positive >= least) & (positive > negative)
+        return (positive >= least) & (positive > negative * weight)
     if mode == "subtract":
-        return positive - F.greatest(negative, F.lit(0.0)) >= least
+        return positive - negative * weight >= least
     if mode == "veto":
-        return (positive >= least) & (negative < least)
-    raise ValueError(f"unknown mode {mode!r}")
+        return (positive >= least) & (negative < weight)
+    return positive >= least
 
 
 def topk(df: DataFrame, group: list[str], score: str, k: int, tie: str) -> DataFrame:

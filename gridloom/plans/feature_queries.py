@@ -128,13 +128,13 @@ def x11(spark, d):
     return vector.score_phrases(e, phrases).select("vec_id", F.col("phrase_id").cast("long").alias("phrase_id"), F.round("relevancy", 6).alias("relevancy"))
 
 
-@query("X13_negative_evidence", f"WITH m AS (SELECT a.vec_id, max(CASE WHEN b.vec_id % 50 = 0 THEN {DOT} END) AS p, max(CASE WHEN b.vec_id % 50 = 25 THEN {DOT} END) AS n FROM embeddings a, embeddings b WHERE b.vec_id % 50 IN (0,25) GROUP BY 1) SELECT vec_id, (p>=0.3 AND p>n) AS dominate, p-greatest(n,0)>=0.3 AS subtract, (p>=0.3 AND n<0.3) AS veto FROM m")
+@query("X13_negative_evidence", f"WITH m AS (SELECT a.vec_id, max(CASE WHEN b.vec_id % 50 = 0 THEN {DOT} END) AS p, max(CASE WHEN b.vec_id % 50 = 25 THEN {DOT} END) AS n FROM embeddings a, embeddings b WHERE b.vec_id % 50 IN (0,25) GROUP BY 1) SELECT vec_id, (p>=0.3 AND p>n*0.5::DOUBLE) AS dominate, p-n*0.5::DOUBLE>=0.3::DOUBLE AS subtract, (p>=0.3 AND n<0.5) AS veto FROM m")
 def x13(spark, d):
     rows = vectors(spark, d).where("vec_id % 50 in (0, 25)").collect()  # the stated query set
     book = lambda k: F.array(*[F.array(*[F.lit(float(x)) for x in r.embedding]) for r in rows if r.vec_id % 50 == k])
     best = lambda k: F.array_max(F.transform(book(k), lambda v: vec.dot(F.col("embedding"), v)))
     out = vectors(spark, d).withColumn("p", best(0)).withColumn("n", best(25))
-    return out.select("vec_id", *[vector.negative_evidence(F.col("p"), F.col("n"), m, 0.3).alias(m) for m in ("dominate", "subtract", "veto")])
+    return out.select("vec_id", *[vector.negative_evidence(F.col("p"), F.col("n"), m, 0.3, 0.5).alias(m) for m in ("dominate", "subtract", "veto")])
 
 
 @query("J21_codebook_assign", "WITH m AS (SELECT a.vec_id, b.vec_id AS code, sqrt(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: (z[1]::DOUBLE-z[2]::DOUBLE)*(z[1]::DOUBLE-z[2]::DOUBLE)))) AS dist FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b) SELECT vec_id, arg_min(code, dist) AS code, round(min(dist),6) AS code_distance FROM m GROUP BY 1")

@@ -277,7 +277,7 @@ def _fourier_sql() -> str:
 
 @query("P23_fourier", _fourier_sql())
 def p23(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", vec.fourier(F.col("embedding")[0].cast("double"), 4).alias("f"))
+    e = table(spark, d, "embeddings").select("vec_id", vec.fourier(F.col("embedding")[0].cast("double"), 4, highest=10.0).alias("f"))
     return e.select("vec_id", *[F.round(F.col("f")[4 * g + n], 6).alias(f"{('sin', 'cos')[g]}{n}") for g in range(2) for n in range(4)])
 
 

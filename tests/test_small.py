@@ -97,3 +97,10 @@ def test_fill_noise_and_labels(spark):
     labels = cluster.dbscan(p, 0.3, 2)
     assert {r.id: r.label for r in labels.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: -1}
     assert {r.id: r.label for r in cluster.fill_noise(p, labels, 0.5).collect()}[6] == 0
+
+
+def test_position_code(spark):
+    got = spark.range(1).select(vec.position_code([F.lit(1.0), F.lit(2.0), F.lit(3.0)], [10.0, 10.0, 10.0], 20).alias("c")).first().c
+    f = np.logspace(0, np.log2(5000), 3, base=2) * np.pi
+    want = np.concatenate([[0.0, 0.0], *[np.concatenate([np.sin(x / 10 * f), np.cos(x / 10 * f)]) for x in (1, 2, 3)]])
+    assert np.allclose(got, want, atol=1e-6)
