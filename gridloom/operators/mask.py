@@ -166,6 +166,13 @@ def pick_by_cdf(cdf: Column, ids: Column, u: Column) -> Column:
     return F.get(ids, F.least(at, F.size(ids) - 1))
 
 
+def pick_scale(cdf: Column, scales: Column, u: Column, v: Column) -> Column:
+    """Scale for the mask that pick_by_cdf takes: between that of the mask before it (0 for the first) and its own, at v."""
+    at = F.least(F.size(F.filter(cdf, lambda c: u > c)), F.size(scales) - 1)
+    own, before = F.get(scales, at), F.when(at > 0, F.get(scales, at - 1)).otherwise(0.0)
+    return before + (own - before) * v
+
+
 def box_mean(pixels: DataFrame, value: str, half: int, group: list[str]) -> DataFrame:
     """Mean over the (2 half + 1)^2 box around each pixel, of the pixels that exist.
 

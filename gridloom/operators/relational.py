@@ -32,8 +32,8 @@ def first_known(mapping: Column, *names: Column) -> Column:
 
 
 def base_scene(name: Column) -> Column:
-    """Scene name without a trailing _<word> such as a crop or direction suffix."""
-    return F.regexp_replace(name, r"_[^_]+$", "")
+    """Scene name up to its first underscore."""
+    return F.substring_index(name, "_", 1)
 
 
 def stem(path: Column) -> Column:

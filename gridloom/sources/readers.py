@@ -240,16 +240,16 @@ def transforms(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(model.alias("model"), "w", "h", "fx", "fy", "cx", "cy", F.posexplode("frames").alias("pos", "f")).select("pos", "model", "w", "h", "fx", "fy", "cx", "cy", "f.file_path", "f.transform_matrix")
 
 
-def click_points(spark: SparkSession, path: str, scene: str) -> list[tuple[float, float]]:
-    """Clicks of a scene: its exact name, the name without its last part, or the part before the first underscore; times _scale."""
+def click_points(spark: SparkSession, path: str, scene: str, suffix: str = "_undistort") -> list[tuple[int, int]]:
+    """Clicks of a scene, times _scale: by its exact name, the name without the suffix, or the part before the first underscore."""
     import json
 
     book = json.loads(spark.read.option("wholetext", "true").text(path).first()[0])
-    for name in (scene, scene.rsplit("_", 1)[0], scene.split("_", 1)[0]):
+    for name in (scene, scene.replace(suffix, ""), scene.split("_", 1)[0]):
         if name in book:
             scale = book.get("_scale", 1)
-            return [(x * scale, y * scale) for x, y in book[name]]
-    raise KeyError(f"no clicks for scene {scene!r}")
+            return [(int(p[0] * scale), int(p[1] * scale)) for p in book[name]]
+    raise ValueError(f"no clicks for scene {scene!r}; there are {', '.join(k for k in book if not k.startswith('_'))}")
 
 
 def colmap_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:

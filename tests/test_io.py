@@ -75,7 +75,8 @@ def test_json_formats(spark, tmp_path):
     assert (tf.model, tf.fx, tf.cx) == ("SIMPLE_PINHOLE", 20.0, 5.0)
     (tmp_path / "clicks.json").write_text(json.dumps({"_scale": 4, "fern": [[1, 2]]}))
     assert readers.click_points(spark, str(tmp_path / "clicks.json"), "fern_right") == [(4, 8)]
-    with pytest.raises(KeyError):
+    assert readers.click_points(spark, str(tmp_path / "clicks.json"), "fern_undistort") == [(4, 8)]
+    with pytest.raises(ValueError):
         readers.click_points(spark, str(tmp_path / "clicks.json"), "rose")
 
 
@@ -166,3 +167,9 @@ def test_suppression_keeps_the_stated_rules(spark):
     assert got[3].in_better == pytest.approx(1 - 9 / 400) and got[3].in_worse == pytest.approx(1 - 9 / 380)  # 2 is next in rank
     low = mask.suppress(df.where("mask_id = 4"), scores.where("mask_id = 4"), score_least=0.95).first()
     assert low.kept  # the best of an image pass a score that none has
+
+
+def test_scale_between_masks(spark):
+    cdf, scales = F.array(*[F.lit(c) for c in (0.3, 0.7, 1.0)]), F.array(*[F.lit(c) for c in (1.0, 3.0, 7.0)])
+    got = spark.createDataFrame([(0.1, 0.5), (0.5, 0.5), (0.99, 0.25), (1.5, 1.0)], "u double, v double").select(mask.pick_scale(cdf, scales, F.col("u"), F.col("v")).alias("s")).collect()
+    assert [r.s for r in got] == [0.5, 2.0, 4.0, 7.0]
