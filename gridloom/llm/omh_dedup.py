@@ -253,12 +253,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     prints = fingerprints(docs, id_col, text_col)
     pairs = candidates(prints)
     involved = pairs.select("k").union(pairs.select(F.col("leader").alias("k"))).distinct()
-    chosen = stage(prints.join(involved, "k", "left_semi").select("k", "rep_id"), "omh-involved")
+    chosen = stage(prints.join(involved, "k", "left_semi").select("k", "rep_id", "n"), "omh-involved")
     # Only one row of each text that has a candidate is moved.
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("k"))
     # The planner would broadcast a small `chosen`; a merge join costs the same share at every size.
-    found = rows.join(chosen.hint("merge"), (rows["k"] == chosen["k"]) & rows["id"].eqNullSafe(chosen["rep_id"])).select(chosen["k"], "text")
-    texts = stage(found, "omh-texts")  # repeated rows repeat a pair, which the labels do not mind
+    found = rows.join(chosen.hint("merge"), (rows["k"] == chosen["k"]) & rows["id"].eqNullSafe(chosen["rep_id"])).select(chosen["k"], "n", "text")
+    found = stage(found, "omh-texts")
+    # One row of each text: rows may repeat, with the same id, where a text has more than one row.
+    again = stage(found.where("n > 1").groupBy("k").agg(F.first("text").alias("text")), "omh-texts-again")
+    texts = found.where("n = 1").select("k", "text").unionByName(again)
     first = pairs.groupBy("k").agg(F.max(F.struct("votes", "leader")).alias("best")).select("k", F.col("best.leader").alias("leader"))
     links = verify(first, texts, similarity)
     labels = roots(links)
@@ -282,7 +285,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     sums = stage(joined.groupBy("label").agg(F.min(order).alias("least"), F.sum("n").alias("class_size")), "omh-classes")
     out = joined.join(sums, "label").select("k", F.col("least.rep_id").alias("class_id"), "class_size", F.col("least.k").alias("keep_k"))
     out = stage(out, "omh-members")
-    discard(prints, pairs, chosen, texts, links, rest, more, joined, sums)
+    discard(prints, pairs, chosen, found, again, links, rest, more, joined, sums)
     return out
 
 

@@ -341,6 +341,14 @@ def test_shared_passage_is_no_duplicate(spark):
     assert {r.class_size for r in got} == {1}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    base = words(41, 200)
+    texts = [" ".join(edit(base, 40 + v, v and 3)) for v in range(5)] + [" ".join(words(42, 90))]
+    docs = docs_of(spark, texts)
+    got = omh_dedup.near_duplicates(docs.unionByName(docs).unionByName(docs)).collect()
+    assert Counter(tuple(r) for r in got) == Counter({(i, 0 if i < 5 else 5, 15 if i < 5 else 3): 3 for i in range(6)})
+
+
 def test_near_duplicates_empty(spark):
     assert omh_dedup.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
 
