@@ -8,10 +8,13 @@ the least text of that bucket; buckets of one sample and of two samples together
 candidate pair is linked where a banded alignment of the words finds at most
 (1 - similarity) * longer length edits. Linked texts and equal texts form classes.
 
-Nothing is emitted for all pairs of a bucket: each member meets its bucket's least member, so the
-work grows with the members. Members that their first leader does not claim meet their other
-leaders in a second phase. With similarity 0.8 of five-word shingles a sample collides
-with probability about 0.5, so 20 samples miss a pair once in a million.
+Each member first meets its buckets' least members (leaders), the one with most common buckets
+before the others, so most classes form without a look at the pairs of a bucket. A third phase
+compares what is left: in every bucket of one sample whose members are still of several classes,
+each pair of members of different classes, in cells of a bounded number of texts. So every pair that
+collides is aligned or in one class by other links; the work of the third phase grows with the
+square of a bucket's texts only where these are unlike. With similarity 0.8 of five-word shingles a
+sample collides with probability about 0.5, so 20 samples miss a pair once in a million.
 """
 
 import re
@@ -31,6 +34,8 @@ K, SKETCHES, MINIMA, SIMILARITY = 5, 20, 3, 0.8
 CHUNK = 1 << 18
 #: Rows in a batch of texts for Python.
 BATCH = 500
+#: Texts and bytes of text in half a cell of the third phase, about.
+CELL_TEXTS, CELL_BYTES = 128, 1 << 24
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -210,6 +215,98 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return stage(both.where(similar_column(F.col("a"), F.col("b"), similarity)).select("k", "leader"), "omh-links", BATCH)
 
 
+def shared_words(texts: list[list[str]]) -> np.ndarray:
+    """Matrix of the number of words, with multiplicity, that two texts share."""
+    codes: dict[tuple[str, int], int] = {}
+    row, col = [], []
+    for i, ws in enumerate(texts):
+        seen: dict[str, int] = {}
+        for w in ws:
+            seen[w] = at = seen.get(w, 0) + 1
+            col.append(codes.setdefault((w, at), len(codes)))
+        row.append(np.full(len(ws), i))
+    row, col = np.concatenate(row), np.array(col, np.int64)
+    often = np.bincount(col, minlength=len(codes)) > 1
+    row, col = row[often[col]], (np.cumsum(often) - 1)[col[often[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(texts), len(texts)), np.int64)
+    for low in range(0, int(often.sum()), 4096):
+        first, last = np.searchsorted(col, [low, low + 4096])
+        part = np.zeros((len(texts), 4096), np.float32)
+        part[row[first:last], col[first:last] - low] = 1
+        out += np.rint(part @ part.T).astype(np.int64)
+    return out
+
+
+def cell_links(cell: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) labels of aligned texts of a cell. A pair is taken where its first common sample is the cell's."""
+    find = re.compile(WORD).findall
+    sample, whole = cell["sample"][0].as_py(), cell["i"][0].as_py() == cell["j"][0].as_py()
+    block, label = cell["block"].to_numpy(), cell["label"].to_pylist()
+    sketch = np.array(cell["sketch"].to_pylist(), np.int64)
+    texts = [find(t) for t in cell["text"].to_pylist()]
+    size, common = np.array([len(t) for t in texts]), shared_words(texts)
+    up = {x: x for x in label}
+
+    def top(x: bytes) -> bytes:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    links = []
+    for y in range(1, len(texts)):
+        longer = np.maximum(size[:y], size[y])
+        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        may = (longer - common[y, :y] <= most) & ((sketch[:y] == sketch[y]).argmax(axis=1) == sample)
+        if not whole:
+            may &= block[:y] != block[y]
+        for x in np.flatnonzero(may).tolist():
+            a, b = top(label[x]), top(label[y])
+            if a != b and aligned(texts[x], texts[y], int(most[x])):
+                up[a] = b
+                links.append((label[x], label[y]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def unmet_links(prints: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) labels that a pair of texts links which share a sample and of which neither leads that bucket; staged.
+
+    Where such texts of a bucket have one label, nothing is left to find. The members of the other
+    buckets are dealt into blocks, and every two blocks (and each block by itself) make a cell.
+    """
+    named = prints.where(F.size("sketch") > 0).join(labels, "k", "left").select("k", "sketch", F.coalesce("label", "k").alias("label"))
+    named = stage(named, "omh-named")
+    buckets = named.select("k", "label", F.posexplode("sketch").alias("sample", "value"))
+    # Sums for each bucket leave out its leader, which all others have met.
+    leaders = buckets.groupBy("sample", "value").agg(F.min(F.struct("k", "label")).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+    leaders = stage(leaders.where("members > 2 and low <> high").select("sample", "value", F.col("leader.k").alias("leader")), "omh-open")
+    met = stage(buckets.join(leaders, ["sample", "value"]).where("k <> leader").select("k", "label", "sample", "value"), "omh-unmet")
+    sizes = texts.select("k", F.octet_length("text").alias("bytes"))
+    sums = met.join(sizes, "k").groupBy("sample", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("bytes").alias("bytes")).where("low <> high")
+    n = F.greatest(F.ceil(F.col("members") / CELL_TEXTS), F.ceil(F.col("bytes") / CELL_BYTES), F.lit(1)).cast("int")
+    # A bucket that makes a single cell is one block.
+    n = F.when((F.col("members") <= 2 * CELL_TEXTS) & (F.col("bytes") <= 2 * CELL_BYTES), 1).otherwise(n)
+    sums = stage(sums.select("sample", "value", n.alias("blocks")), "omh-blocks")
+    placed = met.join(sums, ["sample", "value"]).withColumn("block", F.pmod(F.xxhash64("k", "sample"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("k", "sample", "value", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = stage(placed, "omh-placed")
+    full = placed.join(named, "k").join(texts, "k").select("sample", "value", "i", "j", "block", "label", "sketch", "text")
+    links = full.groupBy("sample", "value", "i", "j").applyInArrow(lambda cell: cell_links(cell, similarity), "a binary, b binary")
+    links = stage(links.distinct(), "omh-unmet-links")
+    discard(named, leaders, met, sums, placed)
+    return links
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (k, label) after further (a, b) links between labels; a graph of labels only. Staged."""
+    met = components(links)
+    joins = met.select(F.col("k").alias("from"), F.col("label").alias("to"))
+    known = labels.join(joins, labels["label"] == joins["from"], "left").select("k", F.coalesce("to", "label").alias("label"))
+    return stage(known.unionByName(met.where("k <> label").join(labels, "k", "left_anti")), "omh-labels")
+
+
 def roots(links: DataFrame) -> DataFrame:
     """k, label of each k of (k, leader) links, where a k has one leader and that is less: the end of its chain.
 
@@ -274,18 +371,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     rest = stage(rest.where("la <> lb"), "omh-rest")
     more = verify(rest.select("k", "leader"), texts, similarity)
     if more.limit(1).count():
-        # Classes of the first phase that a further link joins: a graph of labels only.
-        met = components(rest.join(more, ["k", "leader"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        joins = met.select(F.col("k").alias("from"), F.col("label").alias("to"))
-        known = labels.join(joins, labels["label"] == joins["from"], "left").select("k", F.coalesce("to", "label").alias("label"))
-        labels = stage(known.unionByName(met.where("k <> label").join(labels, "k", "left_anti")), "omh-labels")
+        labels = joined_labels(labels, rest.join(more, ["k", "leader"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    # Third phase: members of a bucket whose leaders have not joined them.
+    last = unmet_links(prints, texts, labels, similarity)
+    if last.limit(1).count():
+        labels = joined_labels(labels, last)
     joined = prints.join(labels, "k", "left").select("k", "rep_id", "n", F.coalesce("label", "k").alias("label"))
     joined = stage(joined, "omh-joined")
     order = F.struct(F.col("rep_id").isNull(), "rep_id", "k")
     sums = stage(joined.groupBy("label").agg(F.min(order).alias("least"), F.sum("n").alias("class_size")), "omh-classes")
     out = joined.join(sums, "label").select("k", F.col("least.rep_id").alias("class_id"), "class_size", F.col("least.k").alias("keep_k"))
     out = stage(out, "omh-members")
-    discard(prints, pairs, chosen, found, again, links, rest, more, joined, sums)
+    discard(prints, pairs, chosen, found, again, links, rest, more, last, joined, sums)
     return out
 
 

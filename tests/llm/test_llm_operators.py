@@ -341,6 +341,36 @@ def test_shared_passage_is_no_duplicate(spark):
     assert {r.class_size for r in got} == {1}
 
 
+def test_pairs_that_met_only_strangers_are_linked(spark, monkeypatch):
+    # All texts share a passage; one pair is alike, and its common buckets are led by texts unlike both.
+    passage, r = words(51, 300), random.Random(52)
+    texts = [" ".join(passage + words(5200 + i, 110)) for i in range(40)]
+    pair = passage + words(53, 110)
+    texts += [" ".join(edit(pair, 54 + v, 30)) for v in range(2)]
+    r.shuffle(texts)
+    near = sorted(i for i, t in enumerate(texts) if len(set(t.split()) & set(pair)) > 330)
+    assert len(near) == 2
+
+    def sketches(text, *_):
+        # Every text is in the buckets of the passage, none in any other.
+        return F.when(F.size(F.split(text, " ")) > 0, F.array([F.lit(j).cast("long") for j in range(omh_dedup.SKETCHES)]))
+
+    monkeypatch.setattr(omh_dedup, "sketch_column", sketches)
+    for cell in (128, 3):
+        monkeypatch.setattr(omh_dedup, "CELL_TEXTS", cell)
+        got = {r.doc_id: r.class_id for r in omh_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+        assert got == {i: near[0] if i in near else i for i in range(len(texts))}
+
+
+def test_shared_words_is_the_multiset_intersection():
+    r = random.Random(2)
+    texts = [[r.choice("abcdefgh") for _ in range(r.randint(0, 30))] for _ in range(12)]
+    got = omh_dedup.shared_words(texts)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert i == j or got[i, j] == (Counter(a) & Counter(b)).total()
+
+
 def test_near_duplicates_of_repeated_rows(spark):
     base = words(41, 200)
     texts = [" ".join(edit(base, 40 + v, v and 3)) for v in range(5)] + [" ".join(words(42, 90))]
