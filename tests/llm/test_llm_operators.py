@@ -202,6 +202,18 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert got == [0]
 
 
+def found(item, text):
+    return decontaminate.Index([(1, item)]).find(text, decontaminate.Codes(), decontaminate.COVER)
+
+
+def test_copies_of_items_with_equal_windows_are_found():
+    item = "Write 3 on the first line of the page. Write 5 on the first line of the page."
+    assert found(item, item) == [(1, 1.0, False, 0)]
+    pre = " ".join(words(61, 30))
+    assert found(item, f"{pre}. {item} {pre}") == [(1, 1.0, False, 30)]
+    assert [m[2] for m in found(item, item.replace("3", "8"))] == [True]
+
+
 # ---- urls
 
 
