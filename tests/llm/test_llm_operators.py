@@ -214,6 +214,15 @@ def test_copies_of_items_with_equal_windows_are_found():
     assert [m[2] for m in found(item, item.replace("3", "8"))] == [True]
 
 
+def test_copies_of_items_made_of_slots_are_found():
+    sums = "12 + 7 = 19, 8 + 5 = 13, 6 + 9 = 15"
+    for item in (sums, "5 plus 7", "so Anna Bob Carl Dora Emil Fritz Gina Hans Ida"):
+        assert found(item, item) == [(1, 1.0, False, 0)]
+        assert found(item, f"well then we read: {item.upper()}. and more of it")[0][:3] == (1, 1.0, False)
+    assert found(sums, sums.replace("12", "13")) != [(1, 1.0, False, 0)]
+    assert found("5 plus 7", "6 plus 7") == []
+
+
 # ---- urls
 
 
