@@ -73,15 +73,20 @@ def strengths(counts: DataFrame, least: float = 2.0, most: float = 10_000.0) ->
     return p, out
 
 
-def host_posteriors(outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, posterior_mean, posterior_low of every host with a labelled page.
+def host_posteriors(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """host, n, bad, posterior_mean, posterior_low of every host with a labelled page and of the `others`.
 
-    outcomes: host string, bad int (1: the page is bad). Null outcomes must be gone.
+    outcomes: host string, bad int (1: the page is bad). Null outcomes must be gone. others: host
+    string; without a labelled page (n = 0) a host has its domain's mean, that its suffix's and
+    that the mean of all pages.
     """
     # Partial aggregation makes a row for each host and task, so one host with a third of all pages is no hot key.
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    if others is not None:
+        unlabelled = others.select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
+        hosts = hosts.unionByName(unlabelled).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = stage(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
-    p, strength = strengths(hosts)
+    p, strength = strengths(hosts.where("n > 0"))
     above, parent = None, F.lit(p)
     for level in ("suffix", "domain"):
         k = strength[level]
@@ -104,12 +109,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
 
     outcomes: (id, bad) labels of pages; several labels of a page and repeated pages count each,
     null ids and null labels not at all. Where no rule fits, a host without a labelled page is
-    allowed, as is the empty host of null and malformed urls unless its labelled pages block it.
+    judged by the posterior that it inherits; the empty host of null and malformed urls inherits
+    none and is allowed unless its labelled pages block it.
     Other columns are not read; an empty table gives no rows.
     """
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.toDF("id", "bad").where("bad is not null")
-    posts = stage(host_posteriors(parts.select("id", "host").join(known, "id").select("host", "bad")), "host-posteriors")
+    posts = stage(host_posteriors(parts.select("id", "host").join(known, "id").select("host", "bad"), parts.where("host <> ''").select("host")), "host-posteriors")
     judged = parts.join(posts.select("host", "posterior_low"), "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():

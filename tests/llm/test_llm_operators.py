@@ -240,6 +240,19 @@ def test_url_parts_rules_and_posteriors(spark):
     assert len(none) == len(rows) and {r.verdict for r in none if r.rule is None} == {"allow"}
 
 
+def test_hosts_without_labels_inherit_from_domain_and_suffix(spark):
+    rows, marks = [], []
+    for d in range(40):
+        for i in range(30):
+            rows.append((100 * d + i, f"http://h{i % 2}.d{d}.{'zz' if d < 20 else 'yy'}/{i}"))
+            marks.append((100 * d + i, int(d < 20)))
+    new = {-1: "http://new.d3.zz/", -2: "http://new.d30.yy/", -3: "http://other.zz/", -4: "http://other.yy/", -5: "no url"}
+    pages = spark.createDataFrame(rows + list(new.items()), "page_id long, url string")
+    got = {r.page_id: r for r in url_reputation.judge(pages, spark.createDataFrame(marks, "id long, bad int")).collect()}
+    assert [got[i].verdict for i in (-1, -2, -3, -4, -5)] == ["block", "allow", "block", "allow", "allow"]
+    assert got[-5].posterior_low is None
+
+
 # ---- mixing
 
 
