@@ -24,7 +24,6 @@ VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 END = b"\r\n\r\n"
-HEADER_LIMIT = 1 << 16
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ROW = "kind string, path string, start long, stop long, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -116,7 +115,7 @@ def parse_record(data: bytes, at: int, with_payload: bool) -> tuple[dict, int]:
     line = VERSION_LINE.match(data, at)
     if not line:
         raise ValueError("no version line")
-    split = data.find(END, line.end(), line.end() + HEADER_LIMIT)
+    split = data.find(END, line.end())
     if split < 0:
         raise ValueError("headers do not end")
     head = header_lines(data[line.end() : split])

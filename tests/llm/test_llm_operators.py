@@ -162,6 +162,13 @@ def test_salvage_of_damaged_gzip_members(spark, tmp_path):
     assert sum(r["kind"] == "record" for r in warc.salvage(gzip.compress(data)[:-20])) >= 4
 
 
+def test_headers_of_any_length_are_read():
+    block = b"HTTP/1.1 200 OK\r\n\r\nx"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Target-URI: http://a/" + b"u" * 200_000 + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + warc.END
+    rows = list(warc.salvage(record * 2))
+    assert [r["kind"] for r in rows] == ["record"] * 2 and len(rows[0]["target_uri"]) == 200_009
+
+
 # ---- decontamination
 
 
