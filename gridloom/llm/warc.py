@@ -23,6 +23,7 @@ from gridloom.llm._shared import scratch_path, stage
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+MARK = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 END = b"\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -185,30 +186,48 @@ def member(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), min(pos, len(data)) - len(engine.unused_data), ""
 
 
+def resume(data: bytes, at: int) -> int:
+    """The next gzip member or version line after `at` from which a record passes, or the end."""
+    for mark in MARK.finditer(data, at + 1):
+        nxt = mark.start()
+        if data.startswith(MEMBER, nxt):
+            if any(row["kind"] == "record" for row in salvage_plain(member(data, nxt)[0], False)):
+                return nxt
+            continue
+        try:
+            parse_record(data, nxt, False)
+        except ValueError:
+            continue
+        return nxt
+    return len(data)
+
+
 def salvage(data: bytes, with_payload: bool = True) -> Iterator[dict]:
-    """Records and gaps of an archive. Offsets are of the file as stored; for a record in a gzip member, of its member."""
-    if not data.startswith(MEMBER[:2]) and not (MEMBER in data and not VERSION_LINE.match(data)):
-        yield from salvage_plain(data, with_payload)
-        return
+    """Records and gaps of an archive, plain, of gzip members or mixed.
+
+    Offsets are of the file as stored; for a record in a gzip member, of its member.
+    """
     at = 0
     while at < len(data):
-        inside, stop, wrong = (b"", -1, "no gzip member") if not data.startswith(MEMBER, at) else member(data, at)
-        rows = list(salvage_plain(inside, with_payload))
-        if stop >= 0:
-            yield from ({**row, "start": at, "stop": stop} for row in rows)
-            at = stop
-            continue
-        # What a damaged member gave before the damage still counts where it passes all checks.
-        yield from ({**row, "start": at, "stop": at} for row in rows if row["kind"] == "record")
-        nxt = at
-        while True:
-            nxt = data.find(MEMBER, nxt + 1)
-            if nxt < 0:
-                nxt = len(data)
-                break
-            good, end, _ = member(data, nxt)
-            if end >= 0 or VERSION_LINE.match(good):
-                break
+        if data.startswith(MEMBER, at):
+            inside, stop, wrong = member(data, at)
+            rows = list(salvage_plain(inside, with_payload))
+            if stop >= 0:
+                yield from ({**row, "start": at, "stop": stop} for row in rows)
+                at = stop
+                continue
+            # What a damaged member gave before the damage still counts where it passes all checks.
+            yield from ({**row, "start": at, "stop": at} for row in rows if row["kind"] == "record")
+        else:
+            try:
+                row, stop = parse_record(data, at, with_payload)
+            except ValueError as failed:
+                wrong = str(failed)
+            else:
+                yield row | {"start": at, "stop": stop}
+                at = stop
+                continue
+        nxt = resume(data, at)
         yield {"kind": "gap", "reason": wrong, "start": at, "stop": nxt}
         at = nxt
 

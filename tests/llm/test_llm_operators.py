@@ -169,6 +169,24 @@ def test_headers_of_any_length_are_read():
     assert [r["kind"] for r in rows] == ["record"] * 2 and len(rows[0]["target_uri"]) == 200_009
 
 
+def test_plain_records_and_members_in_one_file():
+    def record(i, body=b"x"):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(block)) + block + warc.END
+
+    def read(data):
+        rows = list(warc.salvage(data))
+        return [int(r["record_id"][10:-1]) for r in rows if r["kind"] == "record"], [(r["start"], r["stop"]) for r in rows if r["kind"] == "gap"]
+
+    packed = gzip.compress(b"some page")
+    broken = b"XX" + record(1, packed)[2:]
+    assert read(broken + record(2) + record(3, packed)) == ([2, 3], [(0, len(broken))])
+    assert read(record(1) + gzip.compress(record(2)) + record(3)) == ([1, 2, 3], [])
+    hurt = bytearray(gzip.compress(record(2)))
+    hurt[:2] = b"XX"
+    assert read(record(1) + bytes(hurt) + record(3) + gzip.compress(record(4)))[0] == [1, 3, 4]
+
+
 # ---- decontamination
 
 
