@@ -42,17 +42,17 @@ def _op5() -> str:
     for r in sorted(url_reputation.RULES, key=lambda r: (len(r), r)):
         at = r.index("/")
         rule = f"CASE WHEN (host = '{r[:at]}' OR ends_with(host, '.{r[:at]}')) AND starts_with(path, '{r[at:]}') THEN '{r}' ELSE {rule} END"
-    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in url_reputation.RULES.items()) + f" ELSE CASE WHEN coalesce(low, 0) > {url_reputation.LIMIT} THEN 'block' ELSE 'allow' END END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in url_reputation.RULES.items()) + f" ELSE CASE WHEN low > (SELECT {url_reputation.LIFT}*p/(1 - p + {url_reputation.LIFT}*p) FROM t) THEN 'block' ELSE 'allow' END END"
     two = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
     last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
     moments = ", ".join(
-        f"k_{lv} AS (SELECT CASE WHEN rho > 0 THEN least(10000, greatest(2, 1/rho - 1)) ELSE 10000 END AS k FROM (SELECT CASE WHEN p > 0 AND p < 1 AND (tn - sum(n*n)/tn - (count(*)-1)) > 0 THEN ((sum(bad*bad/n) - tb*tb/tn)/(p*(1-p)) - (count(*)-1))/(tn - sum(n*n)/tn - (count(*)-1)) ELSE 0 END AS rho FROM (SELECT {lv}, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1), t GROUP BY p, tn, tb))"
+        f"k_{lv} AS (SELECT CASE WHEN rho > 0 THEN least(10000, greatest(2, 1/rho - 1)) ELSE 10000 END AS k FROM (SELECT CASE WHEN p > 0 AND p < 1 AND (tn - sum(n*n)/tn - (count(*)-1)) > 0 THEN ((sum(bad*bad/n) - tb*tb/tn)/(p*(1-p)) - (count(*)-1))/(tn - sum(n*n)/tn - (count(*)-1)) ELSE 0 END AS rho FROM (SELECT {lv}, sum(n) AS n, sum(bad) AS bad FROM h WHERE n > 0 GROUP BY 1), t GROUP BY p, tn, tb))"
         for lv in url_reputation.LEVELS
     )
     z = url_reputation.Z
     return rf"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(1 - quality)::DOUBLE AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY 1),
+h0 AS (SELECT host, count(quality)::DOUBLE AS n, coalesce(sum(1 - quality), 0)::DOUBLE AS bad FROM u LEFT JOIN labels ON doc_id = page_id GROUP BY 1 HAVING host <> '' OR n > 0),
 h AS (SELECT *, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM h0),
 t AS (SELECT sum(n) AS tn, sum(bad) AS tb, sum(bad)/sum(n) AS p FROM h), {moments},
 s AS (SELECT suffix, (sum(bad) + any_value(k)*any_value(p))/(sum(n) + any_value(k)) AS ms FROM h, k_suffix, t GROUP BY 1),

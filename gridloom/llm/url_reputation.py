@@ -3,10 +3,13 @@
 Labelled pages are outcomes of their host. Each host's share of bad pages is shrunk
 towards its registered domain, that towards the suffix, and that towards all pages,
 by beta-binomial priors whose strength is estimated from the spread between hosts,
-domains and suffixes. A host is blocked where even the lower bound of its posterior
-is above a limit. DataFrame functions only.
+domains and suffixes. A host without labels has the posterior of its domain, suffix or all
+pages. A host is blocked where even the lower bound of its posterior has LIFT times the odds
+of a bad page over all pages. DataFrame functions only.
 """
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +17,10 @@ from gridloom.llm._shared import stage
 
 #: rule -> verdict; the part before the first slash is a host, the rest the beginning of a path.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
-#: Public suffixes of two labels; all others count as one label. Extend as needed.
+#: Public suffixes of two labels; all others count as one label. The default of a parameter: pass a full list where there is one.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
 Z = 1.645
-LIMIT = 0.5
+LIFT = 2.0
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -42,15 +45,20 @@ def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
     return out
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> Column:
     """Registered domain: suffix and one label more."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def limit_of(share: float, lift: float = LIFT) -> float:
+    """The share of bad pages whose odds are lift times those of `share`."""
+    return lift * share / (1 - share + lift * share)
 
 
 def strengths(counts: DataFrame, least: float = 2.0, most: float = 10_000.0) -> tuple[float, dict[str, float]]:
@@ -73,8 +81,8 @@ def strengths(counts: DataFrame, least: float = 2.0, most: float = 10_000.0) ->
     return p, out
 
 
-def host_posteriors(outcomes: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """host, n, bad, posterior_mean, posterior_low of every host with a labelled page and of the `others`.
+def host_posteriors(outcomes: DataFrame, others: DataFrame | None = None, lift: float = LIFT, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """host, n, bad, posterior_mean, posterior_low, limit of every host with a labelled page and of the `others`.
 
     outcomes: host string, bad int (1: the page is bad). Null outcomes must be gone. others: host
     string; without a labelled page (n = 0) a host has its domain's mean, that its suffix's and
@@ -85,7 +93,7 @@ def host_posteriors(outcomes: DataFrame, others: DataFrame | None = None) -> Dat
     if others is not None:
         unlabelled = others.select("host").distinct().select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"))
         hosts = hosts.unionByName(unlabelled).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = stage(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    hosts = stage(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "hosts")
     p, strength = strengths(hosts.where("n > 0"))
     above, parent = None, F.lit(p)
     for level in ("suffix", "domain"):
@@ -101,10 +109,10 @@ def host_posteriors(outcomes: DataFrame, others: DataFrame | None = None) -> Dat
     size = F.col("n") + F.lit(k)
     mean = a / size
     low = mean - F.lit(Z) * F.sqrt(mean * (1 - mean) / (size + 1))
-    return hosts.join(above, ["suffix", "domain"]).select("host", "n", "bad", mean.alias("posterior_mean"), F.greatest(low, F.lit(0.0)).alias("posterior_low"))
+    return hosts.join(above, ["suffix", "domain"]).select("host", "n", "bad", mean.alias("posterior_mean"), F.greatest(low, F.lit(0.0)).alias("posterior_low"), F.lit(limit_of(p, lift)).alias("limit"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, lift: float = LIFT, suffixes: Collection[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """id, host, path, rule, verdict, posterior_low: a row for each row of pages.
 
     outcomes: (id, bad) labels of pages; several labels of a page and repeated pages count each,
@@ -115,10 +123,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     """
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     known = outcomes.toDF("id", "bad").where("bad is not null")
-    posts = stage(host_posteriors(parts.select("id", "host").join(known, "id").select("host", "bad"), parts.where("host <> ''").select("host")), "host-posteriors")
-    judged = parts.join(posts.select("host", "posterior_low"), "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    posts = stage(host_posteriors(parts.select("id", "host").join(known, "id").select("host", "bad"), parts.where("host <> ''").select("host"), lift, suffixes), "host-posteriors")
+    judged = parts.join(posts.select("host", "posterior_low", "limit"), "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
-    own = F.when(F.col("posterior_low") > limit, F.lit("block")).otherwise("allow")
+    own = F.when(F.col("posterior_low") > F.col("limit"), F.lit("block")).otherwise("allow")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce(by_rule, own).alias("verdict"), "posterior_low")
