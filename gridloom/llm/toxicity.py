@@ -18,12 +18,13 @@ from pyspark.sql.types import BinaryType, DoubleType
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
-#: Bounds of the fitting sample: rows, taken in the order of a hash of the id. Documented parameters.
-POSITIVES, UNLABELLED = 4000, 8000
+#: Bounds of the fitting sample: rows, taken in the order of a hash of the id, and buckets of each, the least
+#: under a hash (a long text is seen in part by the fit, never by a score). Documented parameters.
+POSITIVES, UNLABELLED, ROW_BUCKETS = 4000, 8000, 1 << 14
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the words of a text, in lower case."""
+    """Sorted distinct buckets of the words of a text, in lower case: at most BUCKETS."""
     words = set(LETTERS.findall(text.lower())) if text else ()
     return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int32, len(words)))
 
@@ -86,38 +87,62 @@ def train(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     return Model(buckets, w, float(b))
 
 
-def feature_column(text: Column) -> Column:
+def feature_column(text: Column, most: int = ROW_BUCKETS) -> Column:
+    def bounded(found: np.ndarray) -> np.ndarray:
+        if len(found) <= most:
+            return found
+        scrambled = found.astype(np.uint32) * np.uint32(0x9E3779B1)
+        return np.sort(found[np.argpartition(scrambled, most)[:most]])
+
     @F.arrow_udf(BinaryType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
+            yield pa.array([bounded(features(t.as_py())).tobytes() for t in texts], pa.binary())
 
     return run(text)
 
 
+def least_ids(ids: DataFrame, salt: int, n: int) -> DataFrame:
+    """The n distinct ids that are first in the order of a hash.
+
+    Only ids below a threshold are shuffled; where many rows repeat it is raised until n are found, or all are in.
+    """
+    order, part = F.xxhash64(F.col("id"), F.lit(salt)), 4 * n / max(1, ids.count())
+    while True:
+        below = ids.where(order <= int(part * 2**64) - 2**63) if part < 1 else ids
+        below = below.distinct()
+        if part >= 1 or below.count() >= n:
+            return below.orderBy(order, "id").limit(n)
+        part *= 8
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, folds: int = 5) -> Model:
     """Learn from rows that are not held out: at most `positives` toxic ones and `unlabelled` others.
 
     Both are the first in the order of a hash of the id, so the choice does not depend on order
-    or partitions. The driver gets only their word buckets: about 12,000 short arrays. The
+    or partitions; of repeated rows of an id the text with the least hash counts. The driver gets
+    only their word buckets: 12,000 arrays of at most ROW_BUCKETS numbers. The
     prior is counted over all labels that are not held out.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id"), folds))
     toxic = own.groupBy("id").agg(F.max("y").alias("y"))
     share = toxic.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
-    order = F.xxhash64(F.col("id"), F.lit(11))
-    chosen = toxic.where("y = 1").select("id").orderBy(order, "id").limit(positives).withColumn("positive", F.lit(True))
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(~held_out(F.col("id"), folds))
-    others = ids.orderBy(F.xxhash64(F.col("id"), F.lit(13)), "id").limit(unlabelled).distinct().withColumn("positive", F.lit(False))
+    # One entry for each id, made before any text is read.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null").where(~held_out(F.col("id"), folds))
+    chosen = toxic.where("y = 1").select("id").orderBy(F.xxhash64(F.col("id"), F.lit(11)), "id").limit(positives).withColumn("positive", F.lit(True))
+    others = least_ids(rows.select("id"), 13, unlabelled).withColumn("positive", F.lit(False))
     wanted = chosen.unionByName(others).groupBy("id").agg(F.collect_list("positive").alias("as"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id")  # at most 12,000 ids
-    got = rows.select(feature_column(F.col("text")).alias("f"), "as").toPandas()
-    found, marks = [], []
-    for f, marked in zip(got["f"], got["as"], strict=True):
-        for mark in marked:
-            found.append(np.frombuffer(f, np.int32))
-            marks.append(bool(mark))
-    return train(found, np.array(marks, bool), share)
+    found = rows.join(F.broadcast(wanted), "id")  # at most 12,000 ids
+    # The buckets, not the texts, are shuffled; partial aggregation leaves one row for each id and task.
+    found = found.select("id", "as", F.xxhash64("text").alias("h"), feature_column(F.col("text")).alias("f"))
+    got = found.groupBy("id").agg(F.min(F.struct("h", "f", "as")).alias("one")).select("id", "one.f", "one.as").toArrow()
+    order = got["id"].to_numpy(zero_copy_only=False).argsort(kind="stable")
+    kept, marks = [], []
+    for f, marked in zip(got["f"].take(order), got["as"].take(order), strict=True):
+        for mark in marked.as_py():
+            kept.append(np.frombuffer(f.as_py(), np.int32))
+            marks.append(mark)
+    return train(kept, np.array(marks, bool), share)
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -145,7 +170,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the model predicts toxic; columns and other rows as they are."""
+    """docs without the rows that the model predicts toxic; columns and other rows as they are.
+
+    Null and empty texts score like a text without known words, so they stay unless most labels are toxic; null ids,
+    repeated rows and several labels: as score() says; an empty table stays empty. A column `__toxic` is reserved.
+    """
     model = fit(docs, labels)
     marked = docs.withColumn("__toxic", score_column(F.col("text"), model))
     return marked.where("__toxic < 0.5").drop("__toxic")
