@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation.
 
-Documents with equal texts are linked. Each starts in a shard that a hash picks; then rounds of
-Spark joins move linked documents to the shard where most of their group is, as far as the quota of
-that shard allows, and unlinked documents fill the shards up. Groups too large for a shard are
-first cut into parts that fit. At the end counts differ by one at most: the surplus of
+Documents with equal texts are linked. Groups that are large against a shard are placed first, the
+largest before the others: whole where a shard has the room, else over as few shards as it takes.
+The other linked documents start in a shard that a hash picks; then rounds of Spark joins move
+them to the shard where most of their group is, as far as the quota that is left there allows, and
+unlinked documents fill the shards up. At the end counts differ by one at most: the surplus of
 fuller shards, unlinked documents first, goes to the others.
 """
 
@@ -16,8 +17,38 @@ from gridloom.llm._shared import discard, rank_in_group, stage
 
 SHARDS = 8
 ROUNDS = 4
-#: A group's part holds at most this share of a shard.
-PART = 0.5
+#: Groups of more than this share of a shard are placed one by one: fewer than SHARDS / LARGE of them.
+LARGE = 1 / 64
+
+
+def place_large(groups: list[tuple[bytes, int]], quota: int, shards: int) -> tuple[list[tuple[bytes, list[float], list[int]]], dict[int, int]]:
+    """(group, upper ends of shares, shards of these) of large groups, and the rows each shard then has.
+
+    The largest comes first, to the shard where it fits with least room to spare; one that fits nowhere is
+    dealt to the fewest shards that can hold it.
+    """
+    room, out = dict.fromkeys(range(shards), quota), []
+    for g, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        fits = [s for s in range(shards) if room[s] >= size]
+        if fits:
+            parts = [(min(fits, key=lambda s: (room[s], s)), size)]
+        else:
+            few, held = [], 0
+            for s in sorted(range(shards), key=lambda s: (-room[s], s)):
+                if held < size and room[s] > 0:
+                    few.append(s)
+                    held += room[s]
+            # In proportion to their room, so each keeps some for what a hash deals it too much.
+            ends = [size * sum(room[s] for s in few[: i + 1]) // held for i in range(len(few))]
+            parts = [(s, end - before) for s, before, end in zip(few, [0, *ends], ends, strict=False)]
+        upto = 0
+        ends = []
+        for s, took in parts:
+            room[s] -= took
+            upto += took
+            ends.append(upto / size)
+        out.append((g, [*ends[:-1], 1.0], [s for s, _ in parts]))
+    return out, {s: quota - room[s] for s in range(shards)}
 
 
 def balance(spark, counts: dict[int, int], shards: int) -> tuple[DataFrame, dict[int, int]]:
@@ -42,16 +73,23 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     """Add `shard` to rows (g, key, ...): g is the group, or null for unlinked rows. docs is a staged table."""
     n = docs.count()
     quota = -(-n // shards)
-    part_rows = max(1, int(quota * PART))
     start = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(shards)).cast("int")
     sizes = stage(docs.where("g is not null").groupBy("g").count().where("count > 1"), "shard-groups")
-    linked = docs.join(sizes, "g", "left")
-    parts = F.ceil(F.col("count") / part_rows)
-    group = F.when(F.col("count").isNotNull(), F.struct("g", F.pmod(F.xxhash64("key", F.lit(5)), parts).alias("part")))
-    state = stage(linked.select(*docs.columns, group.alias("node"), start.alias("shard")), "shard-state")
+    # Fewer than shards / LARGE groups can be as large as that.
+    plan, large = place_large([(bytes(r.g), r["count"]) for r in sizes.where(F.col("count") > quota * LARGE).collect()], quota, shards)
+    linked = docs.join(sizes, "g", "left").withColumn("node", F.when(F.col("count").isNotNull(), F.col("g")))
+    if plan:
+        placed = docs.sparkSession.createDataFrame(plan, "large binary, ends array<double>, places array<int>")
+        u = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+        linked = linked.join(F.broadcast(placed), linked["g"] == placed["large"], "left")
+        at = F.size(F.filter("ends", lambda e: e <= u)) + 1
+        linked = linked.withColumn("fixed", F.col("large").isNotNull()).withColumn("shard", F.when(F.col("fixed"), F.element_at("places", at)).otherwise(start))
+    else:
+        linked = linked.withColumn("fixed", F.lit(False)).withColumn("shard", start)
+    state = stage(linked.select(*docs.columns, "node", "fixed", "shard"), "shard-state")
     for _ in range(rounds):
         # Votes: a row for each group part and shard at most, by partial aggregation.
-        votes = state.where("node is not null").groupBy("node", "shard").count()
+        votes = state.where("node is not null and not fixed").groupBy("node", "shard").count()
         wish = votes.groupBy("node").agg(F.max(F.struct("count", F.xxhash64("node", "shard").alias("tie"), "shard")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("spread"))
         wish = stage(wish.select("node", F.col("top.shard").alias("to"), "size", F.col("top.count").alias("there"), "spread"), "shard-wishes")
         if not wish.where("spread > 1").limit(1).count():
@@ -60,7 +98,7 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         # Quotas: what a shard would hold of linked rows against its capacity. Where too many wish to come, a part of
         # the groups, picked by hash, is sent to the shard with most room instead.
         load = {r.to: r.size for r in wish.groupBy("to").agg(F.sum("size").alias("size")).collect()}  # a row for each shard
-        room = {s: quota - load.get(s, 0) for s in range(shards)}
+        room = {s: quota - large[s] - load.get(s, 0) for s in range(shards)}
         to = F.col("to")
         chance = F.pmod(F.xxhash64("node", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
         free = sum(max(0, r) for r in room.values())
@@ -74,11 +112,11 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
             over = F.lit(0.0)
             for s in range(shards):
                 if room[s] < 0:
-                    over = F.when(F.col("to") == s, F.lit(-room[s] / load[s])).otherwise(over)
+                    over = F.when(F.col("to") == s, F.lit(-room[s] / max(1, load.get(s, 0)))).otherwise(over)
             to = F.when(chance < over, F.coalesce(pick, F.col("to"))).otherwise(F.col("to"))
         moves = stage(wish.select(F.col("node").alias("at"), to.cast("int").alias("to")), "shard-moves")
         joined = state.join(moves, state["node"] == moves["at"], "left")
-        new = stage(joined.select(*docs.columns, "node", F.coalesce("to", "shard").alias("shard")), "shard-state")
+        new = stage(joined.select(*docs.columns, "node", "fixed", F.when(F.col("fixed"), F.col("shard")).otherwise(F.coalesce("to", "shard")).alias("shard")), "shard-state")
         discard(state, wish, moves)
         state = new
     # Unlinked rows are dealt to the shards' remaining room, by hash and in proportion.
