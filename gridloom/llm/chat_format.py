@@ -36,7 +36,8 @@ def examples(conversations: DataFrame, trainable: str = "assistant") -> DataFram
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have one
     order; null roles and texts are empty; rows of null conv_id make one conversation; other
     columns are not read; an empty table gives none. The turns of one conversation meet in
-    one task, as its examples each hold a prefix of it.
+    one task, as its examples each hold a prefix of it; a conversation above 2 GB, the most that a row of
+    Spark holds, fails the job rather than being cut.
     """
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
@@ -68,7 +69,11 @@ def loss_text(formatted: Column, start: Column, stop: Column) -> Column:
 
 
 def digest(formatted_examples: DataFrame) -> DataFrame:
-    """Per conversation, read back from its examples: turns and loss text as counts and SHA-256 sums."""
+    """Per conversation, read back from its examples: turns and loss text as counts and SHA-256 sums.
+
+    A conversation without a reply has an empty loss text; null conv_ids make one; further columns are not read; no
+    examples give no rows. A conversation's replies meet in one row, which Spark limits to 2 GB, as examples() does.
+    """
     turns = parse(F.col("formatted"))
     whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     rows = formatted_examples.select(

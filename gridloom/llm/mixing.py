@@ -28,6 +28,12 @@ def draws(key: Column) -> list[Column]:
     return out
 
 
+def draw(key: Column, seed: Column) -> Column:
+    """The number of draws(key) at `seed`, alone."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit(":"), F.floor(seed / 4).cast("string")))
+    return F.conv(F.substring(digest, 8 * (seed % 4) + 1, F.lit(8)), 16, 10).cast("long")
+
+
 def half(key: Column) -> Column:
     """0 or 1, fixed by the key."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":half"))), 1, 1), 16, 10).cast("int") % 2
@@ -40,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     above cap times its source's size is cut to that and the excess reshared by weight. With
     sources ordered by size / weight the cut ones come first, so the common level is the first
     (total - what the cut ones take) / (weights of the others) that cuts no source more.
-    The windows run over one row for each source, which partial sums leave.
+    The windows run in one task, over one row for each source, which partial sums leave: sources may be
+    millions, but not as many as documents.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     one = W.partitionBy(F.lit(0))
@@ -63,10 +70,13 @@ def key_of(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text_col, F.lit("")))))
 
 
-def source_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target, whole (copies of every document), chance (of 2^32, for one more), seed (of both halves); staged."""
-    light = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key_of(id_col, text_col).alias("key"))
-    light = stage(light, "mix-sizes")
+def doc_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, size, key of every row: all that the mix must know of a text, so words are counted once; staged."""
+    return stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key_of(id_col, text_col).alias("key")), "mix-sizes")
+
+
+def source_rates(light: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """source, source_size, target, whole (copies of every document), chance (of 2^32, for one more), seed (of both halves) of doc_sizes; staged."""
     targets = source_targets(light, weights, cap)
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     rates = targets.withColumn("whole", F.floor(rate)).withColumn("chance", ((rate - F.col("whole")) * F.lit(float(1 << 32))).cast("long"))
@@ -79,18 +89,16 @@ def source_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = F.transform(F.sequence(F.lit(0), F.lit(SEEDS * SEEDS - 1)), lambda n: F.struct(F.abs(F.get("x0", F.floor(n / SEEDS).cast("int")) + F.get("x1", n % SEEDS) - wanted).alias("off"), n.alias("seed")))
     chosen = rates.join(found, rates["source"].eqNullSafe(found["of"])).select("source", "source_size", "target", "whole", "chance", F.array_min(pairs)["seed"].alias("seed"))
     out = stage(chosen, "mix-seeds")
-    discard(light, rates)
+    discard(rates)
     return out
 
 
-def copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with __copies (and the columns of rates, prefixed __): how often the mix emits each row."""
+def copies(rows: DataFrame, rates: DataFrame, key: Column, source_col: str) -> DataFrame:
+    """rows with __copies (and the columns of rates, prefixed __): how often the mix emits each."""
     own = rates.toDF(*[f"__{c}" for c in rates.columns])
-    joined = docs.join(own, docs[source_col].eqNullSafe(own["__source"]), "left")
-    key = key_of(id_col, text_col)
-    seed = F.when(half(key) == 0, F.floor(F.col("__seed") / SEEDS).cast("int")).otherwise(F.col("__seed") % SEEDS)
-    u = F.element_at(F.array(*draws(key)), seed + 1)
-    more = F.when(u < F.col("__chance"), 1).otherwise(0)
+    joined = rows.join(own, rows[source_col].eqNullSafe(own["__source"]), "left")
+    seed = F.when(half(key) == 0, F.floor(F.col("__seed") / SEEDS).cast("int")).otherwise((F.col("__seed") % SEEDS).cast("int"))
+    more = F.when(draw(key, seed) < F.col("__chance"), 1).otherwise(0)
     return joined.withColumn("__copies", (F.col("__whole") + more).cast("int"))
 
 
@@ -102,15 +110,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     further columns are carried along (names that begin with two underscores are reserved).
     An empty table gives an empty one.
     """
-    rates = source_rates(docs, id_col, text_col, source_col, weights, cap)
-    counted = copies(docs, rates, id_col, text_col, source_col)
+    light = doc_sizes(docs, id_col, text_col, source_col)
+    rates = source_rates(light, weights, cap)
+    discard(light)
+    counted = copies(docs, rates, key_of(id_col, text_col), source_col)
     emitted = counted.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return emitted.select(*[docs[c] for c in docs.columns])
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """id, size, source_size, target, copies, taken of every row: the mix without its texts."""
-    rates = source_rates(docs, id_col, text_col, source_col, weights, cap)
-    counted = copies(docs.select(id_col, text_col, source_col), rates, id_col, text_col, source_col)
-    counted = counted.select(id_col, word_count(F.col(text_col)).alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+    """id, size, source_size, target, copies, taken of every row: the mix without its texts.
+
+    Nulls, empty texts, repeated rows, sources of weight 0 and empty tables: as mix() says.
+    """
+    light = doc_sizes(docs, id_col, text_col, source_col)
+    counted = copies(light, source_rates(light, weights, cap), F.col("key"), "source")
+    counted = counted.select(F.col("id").alias(id_col), "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
     return counted.withColumn("taken", F.col("size") * F.col("copies"))

@@ -32,6 +32,12 @@ b AS (SELECT *, ({bits})::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {base}) <> 0 AS base_failed, (failed_bits & {base}) = 0 AND (failed_bits & {v1}) = 0 AS kept, failed_bits FROM b"""
 
 
+def _ablations() -> str:
+    whole = quality_ledger.mask("v1")
+    each = [f"SELECT '{n}' AS rule, count(*) FILTER (b & {bit} <> 0) AS failed, count(*) FILTER (b = {bit}) AS failed_alone, count(*) FILTER (b & {whole - bit} = 0) AS kept_without FROM l" for n in quality_ledger.POLICIES["v1"] for bit in [1 << quality_ledger.RULES[n][0]]]
+    return f"WITH l AS (SELECT failed_bits & {whole} AS b FROM ({_op2()})) {' UNION ALL '.join(each)}"
+
+
 OP3 = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS head FROM p)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {base32("x")} AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM g"""
@@ -92,4 +98,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _op2(), "op3_warc_salvage": OP3, "op5_url_reputation": _op5(), "op6_source_mixing": _op6(), "op9_chat_format": OP9}
+    return {"op2_quality_ledger": _op2(), "quality_ablations": _ablations(), "op3_warc_salvage": OP3, "op5_url_reputation": _op5(), "op6_source_mixing": _op6(), "op9_chat_format": OP9}

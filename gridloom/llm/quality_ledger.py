@@ -120,7 +120,8 @@ def ablations(ledger_df: DataFrame, version: str = "v1") -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that the policy keeps without it.
 
     The ledger is first counted by bit pattern (at most 2 to the number of rules rows), so
-    one partial aggregation answers every ablation.
+    one partial aggregation answers every ablation. Nulls, empty texts and repeated rows count as the
+    ledger's rows do; an empty ledger gives no rows.
     """
     whole = mask(version)
     patterns = ledger_df.groupBy(F.col("failed_bits").bitwiseAND(whole).alias("bits")).count()

@@ -20,6 +20,10 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality_ledger.passes("v1")).alias("kept"), "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.ablations(quality_ledger.ledger(table(spark, sf_dir, "documents")))
+
+
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select(warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id(F.col("refers_to")).alias("refers_to"))
@@ -60,5 +64,5 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_quality_ledger, op3_warc_salvage, op4_benchmark_decontamination, op5_url_reputation, op6_source_mixing, op7_order_minhash, op8_toxicity_nnpu, op9_chat_format, op10_balanced_sharding]
+    own = [op1_token_counts, op2_quality_ledger, op3_warc_salvage, op4_benchmark_decontamination, op5_url_reputation, op6_source_mixing, op7_order_minhash, op8_toxicity_nnpu, op9_chat_format, op10_balanced_sharding, quality_ablations]
     return {f.__name__: f for f in own}
