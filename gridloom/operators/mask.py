@@ -202,21 +202,24 @@ def majority(pixels: DataFrame, mask: str, half: int, group: list[str]) -> DataF
     return box_mean(pixels.withColumn("__v", F.col(mask).cast("double")), "__v", half, group).withColumn(mask, F.col("box") > 0.5).drop("__v", "box")
 
 
+def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Pixels whose centre is inside a polygon of (x, y) corners, even-odd rule."""
+    rows, cols = np.mgrid[0:height, 0:width]
+    inside = np.zeros((height, width), bool)
+    for (xa, ya), (xb, yb) in zip(points, np.roll(points, -1, axis=0), strict=True):
+        if ya != yb:
+            hit = (rows >= min(ya, yb)) & (rows < max(ya, yb))
+            inside ^= hit & (cols < xa + (rows - ya) * (xb - xa) / (yb - ya))
+    return inside
+
+
 def rasterize(polygons: DataFrame, height: int, width: int) -> DataFrame:
     """Pixels inside each polygon (poly_id, xs, ys), even-odd rule, pixel centres; numpy, one polygon at a time."""
 
     def run(batches):
-        rows, cols = np.mgrid[0:height, 0:width]
         for batch in batches:
             for poly_id, xs, ys in zip(batch["poly_id"], batch["xs"], batch["ys"], strict=True):
-                inside, n = np.zeros((height, width), bool), len(xs)
-                for a in range(n):
-                    b = (a + 1) % n
-                    if ys[a] == ys[b]:
-                        continue
-                    hit = (rows >= min(ys[a], ys[b])) & (rows < max(ys[a], ys[b]))
-                    inside ^= hit & (cols < xs[a] + (rows - ys[a]) * (xs[b] - xs[a]) / (ys[b] - ys[a]))
-                r, c = np.nonzero(inside)
+                r, c = np.nonzero(polygon_mask(np.column_stack([xs, ys]), height, width))
                 yield pd.DataFrame({"poly_id": poly_id, "row": r.astype(np.int32), "col": c.astype(np.int32)})
 
     return polygons.mapInPandas(run, "poly_id long, row int, col int")

@@ -17,41 +17,58 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
+def _sequence(path: Column) -> Column:
+    """The folder above the one that holds the frames, as in sequences/08/velodyne/000000.bin; empty if there is none."""
+    return F.regexp_extract(path, r"([^/]*)/[^/]*/[^/]*$", 1)
+
+
 def lidar(spark: SparkSession, path: str) -> DataFrame:
-    """frame, pid, x, y, z, intensity of float32 records."""
+    """sequence, frame, pid, x, y, z, intensity of float32 records."""
 
     def parse(batches):
         for b in batches:
-            for frame, content in zip(b["frame"], b["content"], strict=True):
+            for sequence, frame, content in zip(b["sequence"], b["frame"], b["content"], strict=True):
                 a = np.frombuffer(content, np.float32).reshape(-1, 4)
-                yield pd.DataFrame({"frame": frame, "pid": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "z": a[:, 2], "intensity": a[:, 3]})
+                yield pd.DataFrame({"sequence": sequence, "frame": frame, "pid": np.arange(len(a)), "x": a[:, 0], "y": a[:, 1], "z": a[:, 2], "intensity": a[:, 3]})
 
-    return _files(spark, path, "*.bin").select(_stem(F.col("path")).alias("frame"), "content").mapInPandas(parse, "frame string, pid long, x float, y float, z float, intensity float")
+    files = _files(spark, path, "*.bin").select(_sequence(F.col("path")).alias("sequence"), _stem(F.col("path")).alias("frame"), "content")
+    return files.mapInPandas(parse, "sequence string, frame string, pid long, x float, y float, z float, intensity float")
 
 
 def packed_labels(spark: SparkSession, path: str) -> DataFrame:
-    """frame, pid, semantic, instance of unsigned 32-bit labels."""
+    """sequence, frame, pid, semantic, instance of unsigned 32-bit labels."""
     from gridloom.functions.vec import unpack_label
 
     def parse(batches):
         for b in batches:
-            for frame, content in zip(b["frame"], b["content"], strict=True):
+            for sequence, frame, content in zip(b["sequence"], b["frame"], b["content"], strict=True):
                 a = np.frombuffer(content, np.uint32).astype(np.int64)
-                yield pd.DataFrame({"frame": frame, "pid": np.arange(len(a)), "v": a})
+                yield pd.DataFrame({"sequence": sequence, "frame": frame, "pid": np.arange(len(a)), "v": a})
 
-    rows = _files(spark, path, "*.label").select(_stem(F.col("path")).alias("frame"), "content").mapInPandas(parse, "frame string, pid long, v long")
+    files = _files(spark, path, "*.label").select(_sequence(F.col("path")).alias("sequence"), _stem(F.col("path")).alias("frame"), "content")
+    rows = files.mapInPandas(parse, "sequence string, frame string, pid long, v long")
     semantic, instance = unpack_label(F.col("v"))
-    return rows.select("frame", "pid", semantic.alias("semantic"), instance.alias("instance"))
+    return rows.select("sequence", "frame", "pid", semantic.alias("semantic"), instance.alias("instance"))
 
 
 def lidar_sequence(spark: SparkSession, path: str, classes: dict[int, int] | None = None) -> DataFrame:
-    """Points left-joined to their labels by frame stem; unlabelled frames get 0; classes maps semantic ids."""
+    """Points left-joined to their labels by sequence and frame stem; unlabelled frames get 0; classes maps semantic ids."""
     from gridloom.operators.relational import remap
 
-    out = lidar(spark, path).join(packed_labels(spark, path), ["frame", "pid"], "left").fillna(0, ["semantic", "instance"])
+    out = lidar(spark, path).join(packed_labels(spark, path), ["sequence", "frame", "pid"], "left").fillna(0, ["semantic", "instance"])
     return remap(out, "semantic", classes) if classes else out
 
 
+def frame_index(frames: DataFrame) -> DataFrame:
+    """(sequence, frame) rows, distinct, with their number `index` in the order of both: how a data set numbers its scans.
+
+    A row for each file, so one task orders them.
+    """
+    from pyspark.sql import Window as W
+
+    return frames.select("sequence", "frame").distinct().withColumn("index", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("sequence", "frame")) - 1)
+
+
 def calibration(spark: SparkSession, path: str) -> DataFrame:
     """key, m (numbers) of lines `key: numbers`."""
     parts = F.split("value", ":", 2)
@@ -100,11 +117,15 @@ def label_source(*names: str) -> Column:
 
 
 def sample_json(spark: SparkSession, path: str) -> DataFrame:
-    """Points of exported samples: sample, pos, x, y, z, label."""
+    """Points of exported samples: file, sample (its number in the file), pos, x, y, z, grid, color, label."""
     schema = "num_points int, xyz array<array<double>>, grid_coords array<array<double>>, color array<array<double>>, label array<double>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("sample", F.monotonically_increasing_id())
-    p = rows.select("sample", F.posexplode(F.arrays_zip("xyz", "grid_coords", "color", "label")).alias("pos", "p"))
-    return p.select("sample", "pos", *[F.col("p.xyz")[n].alias(a) for n, a in enumerate("xyz")], F.col("p.grid_coords").alias("grid"), F.col("p.color").alias("color"), F.col("p.label").alias("label"))
+    # A file is one array of samples, read as a whole, so that the numbers do not depend on how files are dealt to tasks.
+    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    # A file may hold one sample without an array around it.
+    text = F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    rows = whole.select("file", F.posexplode(F.from_json(text, f"array<struct<{schema.replace(' array', ':array').replace(' int', ':int')}>>")).alias("sample", "s")).select("file", "sample", "s.*")
+    p = rows.select("file", "sample", F.posexplode(F.arrays_zip("xyz", "grid_coords", "color", "label")).alias("pos", "p"))
+    return p.select("file", "sample", "pos", *[F.col("p.xyz")[n].alias(a) for n, a in enumerate("xyz")], F.col("p.grid_coords").alias("grid"), F.col("p.color").alias("color"), F.col("p.label").alias("label"))
 
 
 #: PLY scalar types and their struct codes.
@@ -173,36 +194,84 @@ def ply(spark: SparkSession, path: str, element: str = "vertex", columns: tuple[
     return _files(spark, path, "*.ply").select(_stem(F.col("path")).alias("file"), "content").mapInPandas(parse, f"file string, id long, {kinds}")
 
 
+def triangles(face: list[int]) -> list[tuple[int, int, int]]:
+    """A polygon as a fan around its first vertex."""
+    return [(face[0], face[n], face[n + 1]) for n in range(1, len(face) - 1)]
+
+
 def ply_faces(spark: SparkSession, path: str) -> DataFrame:
+    """file, fid (of the polygon), part, v0, v1, v2: triangles; polygons of more corners are fans of them."""
+
     def parse(batches):
         for b in batches:
             for name, content in zip(b["file"], b["content"], strict=True):
                 face = parse_ply(content).get("face", {})
                 rows = next(iter(face.values()), [])
-                tri = [r for r in rows if len(r) == 3]
-                yield pd.DataFrame({"file": name, "fid": np.arange(len(tri))} | {f"v{n}": np.array([r[n] for r in tri], np.int64) for n in range(3)})
+                tri = [(fid, part, *t) for fid, r in enumerate(rows) for part, t in enumerate(triangles(r))]
+                yield pd.DataFrame(tri, columns=["fid", "part", "v0", "v1", "v2"], dtype=np.int64).assign(file=name)[["file", "fid", "part", "v0", "v1", "v2"]]
 
-    return _files(spark, path, "*.ply").select(_stem(F.col("path")).alias("file"), "content").mapInPandas(parse, "file string, fid long, v0 long, v1 long, v2 long")
+    return _files(spark, path, "*.ply").select(_stem(F.col("path")).alias("file"), "content").mapInPandas(parse, "file string, fid long, part int, v0 long, v1 long, v2 long")
 
 
 def decode_rle(counts: list[int], height: int, width: int) -> np.ndarray:
-    """Uncompressed run lengths, column-major, zeros first."""
-    flat = np.repeat(np.arange(len(counts)) % 2, counts).astype(bool)
-    return np.pad(flat, (0, height * width - len(flat)))[: height * width].reshape(width, height).T
+    """Uncompressed run lengths, column-major, zeros first; they must fill the image."""
+    if sum(counts) != height * width:
+        raise ValueError(f"runs of {sum(counts)} pixels for an image of {height} x {width}")
+    return np.repeat(np.arange(len(counts)) % 2, counts).astype(bool).reshape(width, height).T
+
+
+def rle_counts(text: str) -> list[int]:
+    """Run lengths of a compressed string: little-endian groups of five bits above code point 48, bit 5 set where
+    more follow, signed; from the fourth run on each is the difference to the run two before."""
+    out, at = [], 0
+    while at < len(text):
+        value = shift = 0
+        while True:
+            c = ord(text[at]) - 48
+            at += 1
+            value |= (c & 31) << shift
+            shift += 5
+            if not c & 32:
+                break
+        if c & 16:
+            value -= 1 << shift
+        out.append(value + out[-2] if len(out) > 2 else value)
+    return out
+
+
+def coco(spark: SparkSession, path: str, height: int = 0, width: int = 0) -> DataFrame:
+    """image_id, category_id, row, col: the union of the masks of each image and category.
 
+    Segmentations are polygons, run lengths or compressed run lengths. The size is that of the image's entry, or
+    height and width where the file has none.
+    """
+    from gridloom.operators.mask import polygon_mask
 
-def coco(spark: SparkSession, path: str, height: int, width: int) -> DataFrame:
-    """image_id, category_id, row, col: the union of the masks of each image and category, from RLE annotations."""
-    schema = "annotations array<struct<image_id:long, category_id:long, segmentation:struct<counts:array<int>, size:array<int>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", F.col("a.segmentation.counts").alias("counts"))
+    schema = "images array<struct<id:long, height:int, width:int>>, annotations array<struct<image_id:long, category_id:long, segmentation:string>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    # One map for each file: the sizes of its images travel with its annotations.
+    sizes = F.map_from_entries(F.transform(F.coalesce("images", F.expr("array()").cast("array<struct<id:long,height:int,width:int>>")), lambda i: F.struct(i["id"], F.struct(i["height"], i["width"]))))
+    each = rows.select(sizes.alias("sizes"), F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.segmentation", F.try_element_at("sizes", F.col("a.image_id")).alias("s"))
+    each = each.select("image_id", "category_id", "segmentation", F.coalesce("s.height", F.lit(height)).alias("h"), F.coalesce("s.width", F.lit(width)).alias("w"))
 
     def pixels(batches):
+        import json
+
         for b in batches:
-            for image, category, counts in zip(b["image_id"], b["category_id"], b["counts"], strict=True):
-                r, c = np.nonzero(decode_rle(list(counts), height, width))
+            for image, category, said, h, w in zip(b["image_id"], b["category_id"], b["segmentation"], b["h"], b["w"], strict=True):
+                what = json.loads(said)
+                if isinstance(what, list):
+                    found = np.zeros((h, w), bool)
+                    for flat in what:
+                        found |= polygon_mask(np.asarray(flat, float).reshape(-1, 2), h, w)
+                else:
+                    counts = what["counts"]
+                    h, w = what.get("size", (h, w))
+                    found = decode_rle(rle_counts(counts) if isinstance(counts, str) else counts, h, w)
+                r, c = np.nonzero(found)
                 yield pd.DataFrame({"image_id": image, "category_id": category, "row": r.astype(np.int32), "col": c.astype(np.int32)})
 
-    return rows.mapInPandas(pixels, "image_id long, category_id long, row int, col int").distinct()
+    return each.mapInPandas(pixels, "image_id long, category_id long, row int, col int").distinct()
 
 
 def labelme(spark: SparkSession, path: str) -> DataFrame:

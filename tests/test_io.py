@@ -173,3 +173,56 @@ def test_scale_between_masks(spark):
     cdf, scales = F.array(*[F.lit(c) for c in (0.3, 0.7, 1.0)]), F.array(*[F.lit(c) for c in (1.0, 3.0, 7.0)])
     got = spark.createDataFrame([(0.1, 0.5), (0.5, 0.5), (0.99, 0.25), (1.5, 1.0)], "u double, v double").select(mask.pick_scale(cdf, scales, F.col("u"), F.col("v")).alias("s")).collect()
     assert [r.s for r in got] == [0.5, 2.0, 4.0, 7.0]
+
+
+def test_frames_of_two_sequences_stay_apart(spark, tmp_path):
+    for n, seq in enumerate(("00", "08")):
+        for kind, name, data in (("velodyne", "000000.bin", np.arange(12, dtype=np.float32) + 100 * n), ("labels", "000000.label", np.array([n + 1] * 3, np.uint32))):
+            folder = tmp_path / "sequences" / seq / kind
+            folder.mkdir(parents=True)
+            (folder / name).write_bytes(data.tobytes())
+    rows = readers.lidar_sequence(spark, str(tmp_path)).collect()
+    assert len(rows) == 6
+    assert {(r.sequence, r.semantic, r.x >= 100) for r in rows} == {("00", 1, False), ("08", 2, True)}
+    assert [tuple(r) for r in readers.frame_index(readers.lidar(spark, str(tmp_path))).orderBy("index").collect()] == [("00", "000000", 0), ("08", "000000", 1)]
+    kept = readers.split_sequences(readers.lidar(spark, str(tmp_path)), {"train": ["00"], "valid": ["08"]}, "valid")
+    assert {r.sequence for r in kept.collect()} == {"08"}
+
+
+def encode_counts(counts):
+    """The compressed form, by its definition: differences to two runs before, five bits a character."""
+    out = []
+    for i, c in enumerate(counts):
+        x = c - counts[i - 2] if i > 2 else c
+        while True:
+            low, x = x & 31, x >> 5
+            more = not (x == 0 and not low & 16 or x == -1 and low & 16)
+            out.append(chr((low | 32 * more) + 48))
+            if not more:
+                break
+    return "".join(out)
+
+
+def test_coco_polygons_and_compressed_runs(spark, tmp_path):
+    counts = [3, 40, 2, 1, 60, 5, 9]
+    assert readers.rle_counts(encode_counts(counts)) == counts
+    h, w = 10, 12
+    square = [2, 2, 6, 2, 6, 5, 2, 5]
+    notes = [
+        {"image_id": 1, "category_id": 1, "segmentation": [square, [8, 8, 10, 8, 10, 9, 8, 9]]},
+        {"image_id": 1, "category_id": 2, "segmentation": {"counts": counts, "size": [h, w]}},
+        {"image_id": 2, "category_id": 2, "segmentation": {"counts": encode_counts(counts), "size": [h, w]}},
+    ]
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"images": [{"id": 1, "height": h, "width": w}], "annotations": notes}))
+    got = {}
+    for r in readers.coco(spark, str(path), h, w).collect():
+        got.setdefault((r.image_id, r.category_id), set()).add((r.row, r.col))
+    assert got[1, 1] == {(r, c) for r in range(2, 5) for c in range(2, 6)} | {(8, 8), (8, 9)}
+    assert got[1, 2] == got[2, 2] and len(got[1, 2]) == 40 + 1 + 5
+    with pytest.raises(ValueError):
+        readers.decode_rle([1, 2], 2, 2)
+
+
+def test_polygons_of_a_mesh_become_fans():
+    assert readers.triangles([4, 5, 6, 7]) == [(4, 5, 6), (4, 6, 7)] and readers.triangles([1, 2]) == []
