@@ -14,10 +14,12 @@ WHITE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) is a temporary folder chosen.
+    Only where a local session names none (tests) is a temporary folder chosen; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,26 +30,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
-def stage(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, arrow_rows: int | None = None, spread: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no more than one stage) and gives the
     planner the table's true size, so that it broadcasts only what is small and
     can split skewed partitions of a join that follows. arrow_rows bounds the
     batches that go to Python while this table is made: texts in batches of
-    10,000 rows, the default, hold much memory outside the heap.
+    10,000 rows, the default, hold much memory outside the heap. spread keeps
+    small shuffle partitions apart, where few bytes mean much work.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(ARROW_ROWS)
-    if arrow_rows:
-        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    wanted = ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {}) | ({COALESCE: "false"} if spread else {})
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

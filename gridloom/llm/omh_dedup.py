@@ -10,23 +10,26 @@ candidate pair is linked where a banded alignment of the words finds at most
 
 Each member first meets its buckets' least members (leaders), the one with most common buckets
 before the others, so most classes form without a look at the pairs of a bucket. A third phase
-compares what is left: in every bucket of one sample whose members are still of several classes,
-each pair of members of different classes, in cells of a bounded number of texts. So every pair that
-collides is aligned or in one class by other links; the work of the third phase grows with the
-square of a bucket's texts only where these are unlike. With similarity 0.8 of five-word shingles a
-sample collides with probability about 0.5, so 20 samples miss a pair once in a million.
+compares what is left: members of one bucket whose labels still differ. Texts within the allowed
+edits share at least n - edits of their words, so (as in prefix filtering) they share one of their
+edits + 1 rarest words; an equi-join on these rare words, instead of all pairs of the bucket, finds
+every pair that may align. So each pair that collides in a sample is aligned or in one class by
+other links, and a passage that many texts share costs no pairs, as its words are not rare.
+With similarity 0.8 of five-word shingles a sample collides with probability about 0.5, so 20
+samples miss a pair once in a million.
 """
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from gridloom.llm._shared import WORD, discard, stage
 
@@ -34,8 +37,16 @@ K, SKETCHES, MINIMA, SIMILARITY = 5, 20, 3, 0.8
 CHUNK = 1 << 18
 #: Rows in a batch of texts for Python.
 BATCH = 500
-#: Texts and bytes of text in half a cell of the third phase, about.
-CELL_TEXTS, CELL_BYTES = 128, 1 << 24
+#: Counters that order words from rare to frequent: a fixed size, whatever the corpus.
+COUNTERS = 1 << 20
+#: Rows in half a cell of the third phase, about; rare words of at most CELL / 32 texts share cells.
+CELL = 2048
+#: Classes of at most FEW texts meet others pair by pair; larger ones in cells of two blocks of so many texts and bytes, about.
+FEW, BLOCK, BLOCK_BYTES = 16, 256, 1 << 21
+#: Characters of text whose words an alignment keeps for the next pair, about.
+CACHE_CHARS = 1 << 22
+#: Bits that an alignment keeps as whole masks of words: 64 MB.
+MASK_BITS = 1 << 29
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,6 +127,46 @@ def sketch_column(text: Column, k: int = K, sketches: int = SKETCHES, minima: in
     return run(text)
 
 
+class Places:
+    """Where a word stands in a text, as bits of the band of `most` places around a position.
+
+    The most frequent words have a mask of the whole text, as many words as MASK_BITS allow (all, below some
+    20,000 words); the band of another word is made of its few places when it is asked for. So memory grows
+    with the text, not with its square.
+    """
+
+    def __init__(self, a: list[int], most: int):
+        self.most, self.places, self.masks = most, {}, {}
+        if len(a) < 2048:
+            for i, w in enumerate(a):
+                self.masks[w] = self.masks.get(w, 0) | 1 << i
+            return
+        for i, w in enumerate(a):
+            self.places.setdefault(w, []).append(i)
+        dense = sorted(self.places, key=lambda w: -len(self.places[w]))[: max(1, MASK_BITS // max(1, len(a)))]
+        self.masks = {w: self.bits(self.places[w], 0) for w in dense}
+
+    @staticmethod
+    def bits(places: list[int], low: int) -> int:
+        if len(places) < 4:
+            return sum(1 << (p - low) for p in places)
+        out = bytearray((places[-1] - low) // 8 + 1)
+        for p in places:
+            out[(p - low) >> 3] |= 1 << ((p - low) & 7)
+        return int.from_bytes(out, "little")
+
+    def band(self, word: int, j: int) -> int:
+        """Bit i is set where the text has the word at place j - most + i."""
+        low = j - self.most
+        mask = self.masks.get(word)
+        if mask is not None:
+            return mask << -low if low <= 0 else mask >> low
+        places = self.places.get(word, ())
+        if not places:
+            return 0
+        return self.bits(places[bisect_left(places, low) : bisect_right(places, j + self.most)], low)
+
+
 def banded(a: list[int], b: list[int], most: int) -> bool:
     """Whether at most `most` edits turn a into b; len(b) <= len(a) <= len(b) + most, most < len(a). Exact.
 
@@ -124,14 +175,11 @@ def banded(a: list[int], b: list[int], most: int) -> bool:
     """
     n, m, width = len(a), len(b), 2 * most + 1
     full = (1 << width) - 1
-    places: dict[int, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
+    equal_at = Places(a, most)
     up, down = full ^ ((1 << most) - 1), 0
     distance, lowest, bottom = most, 1 << (width - 1), 1 << (width - 2) if width > 1 else 0
     for j in range(m):
-        at = places.get(b[j], 0)
-        equal = (at << (most - j) if j <= most else at >> (j - most)) & full
+        equal = equal_at.band(b[j], j) & full
         diagonal = ((((equal & up) + up) ^ up) | equal | down) & full
         plus, minus = down | (full ^ (diagonal | up)), diagonal & up
         if j < n - most:
@@ -147,8 +195,9 @@ def banded(a: list[int], b: list[int], most: int) -> bool:
     return distance <= most
 
 
-def aligned(a: list[str], b: list[str], most: int) -> bool:
+def aligned(a: list[str], b: list[str], most: int, counts: tuple[Counter, Counter] | None = None) -> bool:
     """Whether at most `most` insertions, deletions and substitutions of words turn a into b; exact.
+    counts: how often each word is in a and in b, where that is known.
 
     Words that only one text has bound the edits from below, which rejects most unlike pairs, and
     tell how wide a band to try before the full one.
@@ -160,7 +209,8 @@ def aligned(a: list[str], b: list[str], most: int) -> bool:
         return False
     if most >= n or a == b:
         return True
-    least = n - (Counter(a) & Counter(b)).total()
+    left, right = counts or (Counter(a), Counter(b))
+    least = n - (left & right).total()
     if least > most:
         return False
     codes: dict[str, int] = {}
@@ -169,15 +219,31 @@ def aligned(a: list[str], b: list[str], most: int) -> bool:
     return (narrow < most and banded(x, y, narrow)) or banded(x, y, most)
 
 
+class Parsed(dict):
+    """text -> (words, how often each), kept for the next pairs: the joins leave the pairs of a text side by side."""
+
+    def __init__(self, find):
+        self.find, self.held = find, 0
+
+    def __missing__(self, text: str) -> tuple[list[str], Counter]:
+        self.held += len(text)
+        if self.held > CACHE_CHARS:
+            self.clear()
+            self.held = len(text)
+        words = self.find(text)
+        self[text] = out = words, Counter(words)
+        return out
+
+
 def similar_column(left: Column, right: Column, similarity: float = SIMILARITY) -> Column:
     word = WORD
 
     @F.arrow_udf(BooleanType())
     def run(lefts: pa.Array, rights: pa.Array) -> pa.Array:
-        find, out = re.compile(word).findall, []
+        known, out = Parsed(re.compile(word).findall), []
         for a, b in zip(lefts, rights, strict=True):
-            a, b = find(a.as_py() or ""), find(b.as_py() or "")
-            out.append(aligned(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)))
+            (a, p), (b, q) = known[a.as_py() or ""], known[b.as_py() or ""]
+            out.append(aligned(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9), (p, q)))
         return pa.array(out, pa.bool_())
 
     return run(left, right)
@@ -208,11 +274,100 @@ def candidates(prints: DataFrame) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (k, leader) pairs whose texts align; staged. texts: k, text."""
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float, more: list[str] = ()) -> DataFrame:
+    """The (k, leader) pairs whose texts align, with `more` columns; staged. texts: k, text."""
     left = pairs.join(texts.withColumnRenamed("text", "a"), "k")
     both = left.join(texts.select(F.col("k").alias("leader"), F.col("text").alias("b")), "leader")
-    return stage(both.where(similar_column(F.col("a"), F.col("b"), similarity)).select("k", "leader"), "omh-links", BATCH)
+    return stage(both.where(similar_column(F.col("a"), F.col("b"), similarity)).select("k", "leader", *more), "omh-links", BATCH, spread=True)
+
+
+def labelled_words(text: str, find=re.compile(WORD).findall) -> np.ndarray:
+    """A 63-bit hash of each word of a text with the number of its earlier occurrences there."""
+    words = find(text)
+    seen: dict[str, int] = {}
+    out = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        seen[w] = at = seen.get(w, 0) + 1
+        raw = w.encode()
+        out[i] = (zlib.crc32(raw) | (zlib.crc32(raw, 0x2545F491) << 32)) + at * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    with np.errstate(over="ignore"):
+        return mix(out) >> np.uint64(1)
+
+
+def counter_of(words: np.ndarray) -> np.ndarray:
+    return (words % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def word_counters(texts: DataFrame, words_of: Callable[[str], np.ndarray]) -> np.ndarray:
+    """How many words have each of the COUNTERS hash values, 0 where their texts have one label: at most that many numbers for the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, low, high = np.zeros(COUNTERS, np.int64), np.full(COUNTERS, 1 << 56), np.full(COUNTERS, -1)
+        for batch in batches:
+            for label, t in zip(batch.column(0), batch.column(1), strict=True):
+                at, of = counter_of(words_of(t.as_py())), int.from_bytes(label.as_py()[:7])
+                np.add.at(held, at, 1)
+                low[at], high[at] = np.minimum(low[at], of), np.maximum(high[at], of)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, held[at], low[at], high[at])], names=["at", "n", "low", "high"])
+
+    rows = texts.select("label", "text").mapInArrow(count, "at long, n long, low long, high long")
+    rows = rows.groupBy("at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def rarest(words: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """Places of the allowed edits + 1 rarest words: in the order of their counters, then hashes, one order for all texts."""
+    return np.lexsort((words, often[counter_of(words)]))[: int((1 - similarity) * len(words) + 1e-9) + 1]
+
+
+def rare_words(text: Column, often, shared, similarity: float) -> Column:
+    """struct<n, rare>: the number of words and, of the rarest, those that are rare in a text of another label too, with their places."""
+    place = StructType([StructField("word", LongType()), StructField("place", LongType())])
+
+    @F.arrow_udf(StructType([StructField("n", LongType()), StructField("rare", ArrayType(place))]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sizes, rows = [], []
+            for t in texts:
+                words = labelled_words(t.as_py())
+                first = rarest(words, often.value, similarity)
+                first = first[shared.value[counter_of(words[first])] > 0]
+                sizes.append(len(words))
+                rows.append([{"word": int(w), "place": int(p)} for w, p in zip(words[first], first, strict=True)])
+            kind = pa.list_(pa.struct([("word", pa.int64()), ("place", pa.int64())]))
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(rows, kind)], names=["n", "rare"])
+
+    return run(text)
+
+
+def cell_pairs(cell: pa.Table, similarity: float) -> pa.Table:
+    """(k, other): a text, and the label of one that has a rare word in common with it, may align and shares a bucket.
+
+    Of two labels the one of more texts is the other, so a text meets a class of copies once.
+    """
+    cell = cell.sort_by([("word", "ascending"), ("k", "ascending")])
+    word, n, place, block, members = (cell[c].to_numpy() for c in ("word", "n", "place", "block", "members"))
+    inner = cell["i"][0].as_py() == cell["j"][0].as_py()
+    k, label = cell["k"].to_pylist(), cell["label"].to_pylist()
+    codes: dict[bytes, int] = {}
+    code = np.array([codes.setdefault(x, len(codes)) for x in label])
+    buckets = [frozenset(b) for b in cell["buckets"].to_pylist()]
+    found = set()
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    for low, high in zip(starts, [*starts[1:], len(word)], strict=True):
+        for y in range(low + 1, high):
+            most = ((1 - similarity) * np.maximum(n[low:y], n[y]) + 1e-9).astype(np.int64)
+            may = (code[low:y] != code[y]) & (np.abs(n[low:y] - n[y]) <= most) & (np.abs(place[low:y] - place[y]) <= most)
+            if not inner:
+                may &= block[low:y] != block[y]
+            for x in (np.flatnonzero(may) + low).tolist():
+                pair = (k[x], label[y]) if (members[x], label[x]) < (members[y], label[y]) else (k[y], label[x])
+                if pair not in found and not buckets[x].isdisjoint(buckets[y]):
+                    found.add(pair)
+    return pa.table([pa.array(c, pa.binary()) for c in ([a for a, _ in found], [b for _, b in found])], names=["k", "other"])
 
 
 def shared_words(texts: list[list[str]]) -> np.ndarray:
@@ -239,63 +394,97 @@ def shared_words(texts: list[list[str]]) -> np.ndarray:
     return out
 
 
-def cell_links(cell: pa.Table, similarity: float) -> pa.Table:
-    """(a, b) labels of aligned texts of a cell. A pair is taken where its first common sample is the cell's."""
+def class_links(cell: pa.Table, similarity: float) -> pa.Table:
+    """(a, b) labels: that of a text which asks and that of the class, where the text aligns with a member of the cell."""
     find = re.compile(WORD).findall
-    sample, whole = cell["sample"][0].as_py(), cell["i"][0].as_py() == cell["j"][0].as_py()
-    block, label = cell["block"].to_numpy(), cell["label"].to_pylist()
-    sketch = np.array(cell["sketch"].to_pylist(), np.int64)
     texts = [find(t) for t in cell["text"].to_pylist()]
     size, common = np.array([len(t) for t in texts]), shared_words(texts)
-    up = {x: x for x in label}
+    asks, label, other = cell["asks"].to_numpy(zero_copy_only=False), cell["label"].to_pylist(), cell["other"][0].as_py()
+    members, links = np.flatnonzero(~asks), set()
+    for x in np.flatnonzero(asks).tolist():
+        if label[x] in links:
+            continue
+        longer = np.maximum(size[members], size[x])
+        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        off = longer - common[members, x]
+        for at in np.argsort(off, kind="stable").tolist():
+            if off[at] <= most[at] and aligned(texts[x], texts[members[at]], int(most[at])):
+                links.add(label[x])
+                break
+    return pa.table({"a": pa.array(list(links), pa.binary()), "b": pa.array([other] * len(links), pa.binary())})
 
-    def top(x: bytes) -> bytes:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
 
-    links = []
-    for y in range(1, len(texts)):
-        longer = np.maximum(size[:y], size[y])
-        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        may = (longer - common[y, :y] <= most) & ((sketch[:y] == sketch[y]).argmax(axis=1) == sample)
-        if not whole:
-            may &= block[:y] != block[y]
-        for x in np.flatnonzero(may).tolist():
-            a, b = top(label[x]), top(label[y])
-            if a != b and aligned(texts[x], texts[y], int(most[x])):
-                up[a] = b
-                links.append((label[x], label[y]))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+def meeting_links(meets: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) labels of (k, other) rows where the text k aligns with a text of the label other; staged. met: k, label, members, text.
+
+    Classes of at most FEW texts give pairs. A larger one and the texts that must meet it are dealt into blocks,
+    and every block of one with every block of the other makes a cell of bounded size, which gives links only.
+    """
+    own = met.select("k", F.col("label").alias("la"))
+    sizes = met.groupBy("label").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
+    asked = meets.join(own, "k").join(sizes.withColumnRenamed("label", "other"), "other")
+    asked = stage(asked, "omh-asked")
+    m = met.select(F.col("k").alias("leader"), F.col("label").alias("lb"))
+    few = asked.where(F.col("members") <= FEW)
+    pairs = stage(few.join(m, few["other"] == m["lb"]).select("k", "leader", "la", "lb"), "omh-unmet-pairs")
+    close = verify(pairs, met.select("k", "text"), similarity, ["la", "lb"])
+    many = asked.where(F.col("members") > FEW).join(met.select("k", "text"), "k")
+    many = stage(many.select("k", "la", "other", "members", "bytes", "text"), "omh-many")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    plan = many.groupBy("other").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.max("members").alias("members"), F.max("bytes").alias("bytes"))
+    plan = stage(plan.select("other", blocks(F.col("members"), F.col("bytes")).alias("rows"), blocks(F.col("n"), F.col("size")).alias("cols")), "omh-plan")
+    deal = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = many.join(plan, "other").select("other", all_of("rows").alias("i"), deal("cols").alias("j"), F.lit(True).alias("asks"), F.col("la").alias("label"), "text")
+    held = met.join(plan, met["label"] == plan["other"]).select("other", deal("rows").alias("i"), all_of("cols").alias("j"), F.lit(False).alias("asks"), "label", "text")
+    found = asks.unionByName(held).groupBy("other", "i", "j").applyInArrow(lambda cell: class_links(cell, similarity), "a binary, b binary")
+    links = close.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(stage(found, "omh-class-links", spread=True))
+    links = stage(links.distinct(), "omh-unmet-links")
+    discard(asked, pairs, close, many, plan)
+    return links
 
 
 def unmet_links(prints: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """(a, b) labels that a pair of texts links which share a sample and of which neither leads that bucket; staged.
 
-    Where such texts of a bucket have one label, nothing is left to find. The members of the other
-    buckets are dealt into blocks, and every two blocks (and each block by itself) make a cell.
+    Where such texts of a bucket have one label, nothing is left to find. The others are joined on their
+    rare words, in cells of a bounded number of rows, which tells what classes a text must meet.
     """
     named = prints.where(F.size("sketch") > 0).join(labels, "k", "left").select("k", "sketch", F.coalesce("label", "k").alias("label"))
-    named = stage(named, "omh-named")
-    buckets = named.select("k", "label", F.posexplode("sketch").alias("sample", "value"))
-    # Sums for each bucket leave out its leader, which all others have met.
-    leaders = buckets.groupBy("sample", "value").agg(F.min(F.struct("k", "label")).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    leaders = stage(leaders.where("members > 2 and low <> high").select("sample", "value", F.col("leader.k").alias("leader")), "omh-open")
-    met = stage(buckets.join(leaders, ["sample", "value"]).where("k <> leader").select("k", "label", "sample", "value"), "omh-unmet")
-    sizes = texts.select("k", F.octet_length("text").alias("bytes"))
-    sums = met.join(sizes, "k").groupBy("sample", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("bytes").alias("bytes")).where("low <> high")
-    n = F.greatest(F.ceil(F.col("members") / CELL_TEXTS), F.ceil(F.col("bytes") / CELL_BYTES), F.lit(1)).cast("int")
-    # A bucket that makes a single cell is one block.
-    n = F.when((F.col("members") <= 2 * CELL_TEXTS) & (F.col("bytes") <= 2 * CELL_BYTES), 1).otherwise(n)
-    sums = stage(sums.select("sample", "value", n.alias("blocks")), "omh-blocks")
-    placed = met.join(sums, ["sample", "value"]).withColumn("block", F.pmod(F.xxhash64("k", "sample"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("k", "sample", "value", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    placed = stage(placed, "omh-placed")
-    full = placed.join(named, "k").join(texts, "k").select("sample", "value", "i", "j", "block", "label", "sketch", "text")
-    links = full.groupBy("sample", "value", "i", "j").applyInArrow(lambda cell: cell_links(cell, similarity), "a binary, b binary")
-    links = stage(links.distinct(), "omh-unmet-links")
-    discard(named, leaders, met, sums, placed)
+    buckets = stage(named.select("k", "label", F.posexplode("sketch").alias("sample", "value")).select("k", "label", F.xxhash64("sample", "value").alias("bucket")), "omh-named")
+    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("k", "label")).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+    leaders = stage(leaders.where("members > 2 and low <> high").select("bucket", F.col("leader.k").alias("leader")), "omh-open")
+    # Leaders have met all others of their bucket; buckets whose others have one label are done.
+    rest = stage(buckets.join(leaders, "bucket").where("k <> leader").select("k", "label", "bucket"), "omh-rest")
+    open_ = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    # At most one bucket for each sample, so these lists are short.
+    met = rest.join(open_, "bucket").groupBy("k", "label").agg(F.collect_set("bucket").alias("buckets"))
+    met = stage(met.join(texts, "k"), "omh-unmet")
+    share = prints.sparkSession.sparkContext.broadcast  # COUNTERS numbers, whatever the corpus
+    often = share(word_counters(met, labelled_words))
+
+    def own_rarest(text: str) -> np.ndarray:
+        words = labelled_words(text)
+        return words[rarest(words, often.value, similarity)]
+
+    shared = share(word_counters(met, own_rarest))
+    rare = met.select("k", "label", "buckets", rare_words(F.col("text"), often, shared, similarity).alias("r")).select("k", "label", "buckets", "r.n", "r.rare")
+    sizes = stage(met.groupBy("label").agg(F.count("*").alias("members")), "omh-label-sizes")
+    rare = rare.join(sizes, "label").select("k", "label", "members", "buckets", "n", F.explode("rare").alias("w"))
+    rare = stage(rare.select("k", "label", "members", "buckets", "n", "w.word", "w.place"), "omh-rare", BATCH)
+    words = rare.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    small = F.col("rows") <= CELL // 32
+    cells = max(1, -(-rare.count() // CELL))
+    blocks = F.when(F.col("rows") <= 2 * CELL, 1).otherwise(F.ceil(F.col("rows") / CELL)).cast("int")
+    words = stage(words.select("word", blocks.alias("blocks"), F.when(small, F.pmod(F.xxhash64("word"), F.lit(cells))).otherwise(-1).alias("cell"), F.when(~small, F.col("word")).alias("alone")), "omh-words")
+    placed = rare.join(words, "word").withColumn("block", F.pmod(F.xxhash64("k", "word"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    meets = placed.groupBy("cell", "alone", "i", "j").applyInArrow(lambda cell: cell_pairs(cell, similarity), "k binary, other binary")
+    meets = stage(meets.distinct(), "omh-meets", spread=True)
+    links = meeting_links(meets, met, similarity)
+    discard(buckets, leaders, rest, met, rare, sizes, words, meets)
+    often.unpersist()
+    shared.unpersist()
     return links
 
 
