@@ -311,7 +311,9 @@ def word_counters(texts: DataFrame, words_of: Callable[[str], np.ndarray]) -> np
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, held[at], low[at], high[at])], names=["at", "n", "low", "high"])
 
-    rows = texts.select("label", "text").mapInArrow(count, "at long, n long, low long, high long")
+    # Few tasks, each of some 16 MB of text: every one gives a row for each counter that it met.
+    parts = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = texts.select("label", "text").coalesce(1 + parts // (1 << 24)).mapInArrow(count, "at long, n long, low long, high long")
     rows = rows.groupBy("at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
