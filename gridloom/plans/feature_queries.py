@@ -431,7 +431,7 @@ def m9b(spark, d):
 
 @query("C6_pca")
 def c6(spark, d):
-    return vector.pca(vectors(spark, d), 4).select("vec_id", F.size("projection").alias("k"))
+    return vector.pca(vectors(spark, d), 4).select("vec_id", "projection")
 
 
 @query("C9_residual_codes")
@@ -456,7 +456,7 @@ def n5(spark, d):
 
     rng = np.random.default_rng(0)
     layers = [(rng.normal(size=(64, 32)), np.zeros(32)), (rng.normal(size=(32, 8)), np.zeros(8))]
-    return vectors(spark, d).select("vec_id", F.size(vector.mlp(vec.dbl(F.col("embedding")), layers, True)).alias("k"))
+    return vectors(spark, d).select("vec_id", vector.mlp(vec.dbl(F.col("embedding")), layers, True).alias("out"))
 
 
 @query("J13_J14_gather", "SELECT l_orderkey, l_partkey, l_suppkey, s_nationkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")

@@ -339,7 +339,7 @@ def w8(spark, d):
 def w9(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("batch_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("q"), F.col("embedding").alias("k"), F.col("embedding").alias("v"))
     rows = order.patches(order.ranked(e, "pos"), 16)
-    return order.patch_attention(rows.select("batch_id", "patch", "pos", "q", "k", "v"), 0.125).select("pos", F.size("out").alias("n"))
+    return order.patch_attention(rows.select("batch_id", "patch", "pos", "q", "k", "v"), 0.125).select("batch_id", "patch", "pos", "out")
 
 
 @query("W10_running_sum", "SELECT event_id, sum(round(value*100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS running FROM events")
