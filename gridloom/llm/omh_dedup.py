@@ -39,6 +39,8 @@ CHUNK = 1 << 18
 BATCH = 500
 #: Counters that order words from rare to frequent: a fixed size, whatever the corpus.
 COUNTERS = 1 << 20
+#: Counters in a row that a task hands on (at most 64 rows for each task), and such rows in a batch: 32 MB.
+COUNTER_BLOCK, COUNTER_ROWS = 1 << 14, 64
 #: Rows in half a cell of the third phase, about; rare words of at most CELL / 32 texts share cells.
 CELL = 2048
 #: Classes of at most FEW texts meet others pair by pair; larger ones in cells of two blocks of so many texts and bytes, about.
@@ -298,23 +300,51 @@ def counter_of(words: np.ndarray) -> np.ndarray:
     return (words % np.uint64(COUNTERS)).astype(np.int64)
 
 
+def packed(held: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counters that are not 0, a row for each block of COUNTER_BLOCK of them."""
+    at = np.flatnonzero(held)
+    for first in range(0, COUNTERS, COUNTER_BLOCK):
+        part = at[np.searchsorted(at, first) : np.searchsorted(at, first + COUNTER_BLOCK)]
+        if len(part):
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (part, held[part], low[part], high[part])]
+            yield pa.RecordBatch.from_arrays([pa.array([first // COUNTER_BLOCK], pa.int64()), *lists], names=["block", "at", "n", "low", "high"])
+
+
 def word_counters(texts: DataFrame, words_of: Callable[[str], np.ndarray]) -> np.ndarray:
-    """How many words have each of the COUNTERS hash values, 0 where their texts have one label: at most that many numbers for the driver."""
+    """How many words have each of the COUNTERS hash values, 0 where their texts have one label: at most that many numbers for the driver.
+
+    Each task counts its texts and gives a row for each block of counters; a block's rows meet in one task,
+    which adds them up as they come. Memory is three arrays of COUNTERS numbers, whatever the texts and tasks.
+    """
+
+    def empty() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(COUNTERS, np.int64), np.full(COUNTERS, 1 << 56), np.full(COUNTERS, -1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, low, high = np.zeros(COUNTERS, np.int64), np.full(COUNTERS, 1 << 56), np.full(COUNTERS, -1)
+        held, low, high = empty()
         for batch in batches:
             for label, t in zip(batch.column(0), batch.column(1), strict=True):
                 at, of = counter_of(words_of(t.as_py())), int.from_bytes(label.as_py()[:7])
                 np.add.at(held, at, 1)
                 low[at], high[at] = np.minimum(low[at], of), np.maximum(high[at], of)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, held[at], low[at], high[at])], names=["at", "n", "low", "high"])
+        yield from packed(held, low, high)
 
-    rows = texts.select("label", "text").mapInArrow(count, "at long, n long, low long, high long")
-    rows = rows.groupBy("at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, low, high = empty()
+        for batch in batches:
+            # The counters of one row differ, so plain indexing adds each once.
+            for lists in zip(*(batch.column(c) for c in ("at", "n", "low", "high")), strict=True):
+                at, n, least, most = (x.values.to_numpy() for x in lists)
+                held[at] += n
+                low[at], high[at] = np.minimum(low[at], least), np.maximum(high[at], most)
+        yield from packed(np.where(low != high, held, 0), low, high)
+
+    kind = "block long, at array<long>, n array<long>, low array<long>, high array<long>"
+    blocks = stage(texts.select("label", "text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind), "omh-counters", COUNTER_ROWS)
     out = np.zeros(COUNTERS, np.int64)
-    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    for batch in blocks.select("at", "n").toArrow().to_batches():
+        out[batch.column("at").flatten().to_numpy()] = batch.column("n").flatten().to_numpy()
+    discard(blocks)
     return out
 
 

@@ -598,6 +598,22 @@ def test_rare_words_of_aligned_texts_meet():
             assert first(x) & first(y)
 
 
+def test_word_counters_add_up_over_tasks(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(bytes([t % 3] * 16), " ".join(words[t::7] + words[:5] * 2)) for t in range(20)] + [(bytes([9] * 16), "")]
+    held, labels = np.zeros(omh_dedup.COUNTERS, np.int64), {}
+    for label, text in rows:
+        for at in omh_dedup.counter_of(omh_dedup.labelled_words(text)).tolist():
+            held[at] += 1
+            labels.setdefault(at, set()).add(label)
+    want = np.array([n if len(labels.get(at, ())) > 1 else 0 for at, n in enumerate(held)])
+    for tasks in (1, 6):
+        got = omh_dedup.word_counters(spark.createDataFrame(rows, "label binary, text string").repartition(tasks), omh_dedup.labelled_words)
+        assert (got == want).all() and want.any()
+    none = omh_dedup.word_counters(spark.createDataFrame([], "label binary, text string"), omh_dedup.labelled_words)
+    assert not none.any()
+
+
 def test_places_of_frequent_and_rare_words(monkeypatch):
     r = random.Random(12)
     a = [r.randrange(400) ** 2 // 400 for _ in range(5000)]
