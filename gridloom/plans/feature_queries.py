@@ -1,5 +1,7 @@
 """Queries over masks, vectors, metrics, clusters, strings and sets (rows A, C, F, J, K, T, U, X, M)."""
 
+from statistics import NormalDist
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +31,12 @@ def c1(spark, d):
     return mask.suppress(px, scores, iou_most=0.05, inner=0.6)
 
 
-@query("C2_greedy_boxes")
+@query("C2_greedy_boxes", f"""WITH RECURSIVE {PIX}, bx AS (SELECT image_id, mask_id AS box_id, min(col) AS x0, min(row) AS y0, max(col) AS x1, max(row) AS y1, count(*)::DOUBLE AS score FROM pix GROUP BY 1,2),
+    rk AS (SELECT *, (x1-x0)*(y1-y0) AS area, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id) AS n FROM bx),
+    step(image_id, n, kept) AS (SELECT image_id, n, [{{'id': box_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': area, 'score': score}}] FROM rk WHERE n=1
+        UNION ALL SELECT rk.image_id, rk.n, CASE WHEN len(list_filter(list_transform(kept, lambda b: [greatest(least(b.x1,rk.x1)-greatest(b.x0,rk.x0),0)*greatest(least(b.y1,rk.y1)-greatest(b.y0,rk.y0),0), b.area+rk.area]), lambda s: s[2]>s[1] AND s[1]/(s[2]-s[1])::DOUBLE > 0.7::DOUBLE))=0
+            THEN list_append(kept, {{'id': rk.box_id, 'x0': rk.x0, 'y0': rk.y0, 'x1': rk.x1, 'y1': rk.y1, 'area': rk.area, 'score': rk.score}}) ELSE kept END FROM step JOIN rk ON rk.image_id=step.image_id AND rk.n=step.n+1),
+    ends AS (SELECT image_id, unnest(arg_max(kept, n)) AS b FROM step GROUP BY 1) SELECT image_id, b.id AS box_id, b.score AS score FROM ends""")
 def c2(spark, d):
     b = pixels(spark, d).groupBy("image_id", F.col("mask_id").alias("box_id")).agg(F.min("col").alias("x0"), F.min("row").alias("y0"), F.max("col").alias("x1"), F.max("row").alias("y1"), F.count("*").cast("double").alias("score"))
     return mask.greedy_boxes(b)
@@ -65,7 +72,10 @@ def x17(spark, d):
     return mask.erode(pixels(spark, d))
 
 
-@query("F15_components")
+@query("F15_components", f"""WITH RECURSIVE {PIX}, p AS (SELECT DISTINCT image_id, row, col FROM pix),
+    lab(image_id, row, col, label) USING KEY (image_id, row, col) AS (SELECT image_id, row, col, row*100000+col FROM p
+        UNION SELECT own.image_id, own.row, own.col, min(new.label) FROM lab new JOIN recurring.lab own ON own.image_id=new.image_id AND abs(own.row-new.row)<=1 AND abs(own.col-new.col)<=1 WHERE new.label<own.label GROUP BY 1,2,3)
+    SELECT image_id, 0 AS mask_id, row, col FROM (SELECT *, count(*) OVER (PARTITION BY image_id, label) AS n FROM lab) WHERE n>=20""")
 def f15(spark, d):
     return mask.drop_islands(pixels(spark, d).select("image_id", F.lit(0).alias("mask_id"), "row", "col").distinct(), 20)
 
@@ -80,7 +90,10 @@ def x16(spark, d):
     return mask.box_mean(dense(spark, d), "value", 3, ["image_id"]).select("image_id", "row", "col", "box")
 
 
-@query("X16_relevancy_mask")
+@query("X16_relevancy_mask", f"""WITH {DENSE}, bm AS (SELECT a.image_id, a.row, a.col, 0.5::DOUBLE*(sum(b.value)/count(*)::DOUBLE + any_value(a.value)) AS blend FROM dense a JOIN dense b ON a.image_id=b.image_id AND abs(b.row-a.row)<=3 AND abs(b.col-a.col)<=3 GROUP BY 1,2,3),
+    un AS (SELECT *, (blend-min(blend) OVER i)/(max(blend) OVER i-min(blend) OVER i+1e-9) AS unit FROM bm WINDOW i AS (PARTITION BY image_id)),
+    m AS (SELECT image_id, row, col, least(greatest(unit*2-1,0),1)>0.4::DOUBLE AS mask FROM un)
+    SELECT a.image_id, a.row, a.col, avg(b.mask::INT)>0.5 AS mask FROM m a JOIN m b ON a.image_id=b.image_id AND abs(b.row-a.row)<=1 AND abs(b.col-a.col)<=1 GROUP BY 1,2,3""")
 def x16b(spark, d):
     px = dense(spark, d).withColumn("value", F.col("value").cast("double"))
     return mask.majority(mask.relevancy_mask(px, "value", ["image_id"], half=3), "mask", 1, ["image_id"]).select("image_id", "row", "col", "mask")
@@ -375,10 +388,12 @@ def x9(spark, d):
     return spark.createDataFrame(list(enumerate(knots)), "n int, knot double").withColumn("knot", F.round("knot", 6))
 
 
-@query("X9_to_normal")
+@query("X9_to_normal", f"""WITH {PTS}, q AS (SELECT quantile_cont(z, {[i / 100 for i in range(101)]}) AS xs, {[NormalDist().inv_cdf(min(1 - 1e-7, max(1e-7, i / 100))) for i in range(101)]}::DOUBLE[] AS ys FROM pts WHERE z>0),
+    b AS (SELECT pid, z, xs, ys, least(greatest(len(list_filter(xs, lambda x: x<=z)),1),100) AS n FROM pts, q)
+    SELECT pid, round(ys[n]+least(greatest(coalesce((z-xs[n])/nullif(xs[n+1]-xs[n],0),0),0),1)*(ys[n+1]-ys[n]),6) AS v FROM b""")
 def x9b(spark, d):
     p = points(spark, d)
-    return p.select("pid", quantile.to_normal(F.col("z"), quantile.knots(p, "z", 101)).alias("v"))
+    return p.select("pid", F.round(quantile.to_normal(F.col("z"), quantile.knots(p, "z", 101)), 6).alias("v"))
 
 
 @query("X10_lower_median", f"WITH {PTS} SELECT mask_id, quantile_disc(z, 0.5) AS m FROM pts GROUP BY 1")
@@ -439,12 +454,22 @@ def c9(spark, d):
     return vector.residual_codes(vectors(spark, d), 2, 8).select("vec_id", "codes")
 
 
-@query("C8_dbscan")
+#: Density clusters from the definition: cores, components of cores, and border points with their least core neighbour.
+CLUSTERS = f"""{PTS}, near AS (SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON b.x>a.x-60 AND b.x<a.x+60 WHERE (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2<3600),
+    core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*)>=5),
+    lab(id, label) USING KEY (id) AS (SELECT id, id FROM core
+        UNION SELECT own.id, min(new.label) FROM lab new JOIN near ON near.b=new.id JOIN recurring.lab own ON own.id=near.a WHERE new.label<own.label GROUP BY 1),
+    reach AS (SELECT a, arg_min(label, CASE WHEN a=b THEN -1 ELSE b END) AS label FROM near JOIN lab ON b=id GROUP BY 1),
+    found AS (SELECT pid AS id, coalesce(label, -1) AS label FROM pts LEFT JOIN reach ON a=pid)"""
+
+
+@query("C8_dbscan", f"WITH RECURSIVE {CLUSTERS} SELECT id, label FROM found")
 def c8(spark, d):
     return cluster.dbscan(points(spark, d), 60.0, 5)
 
 
-@query("J10_noise_fill")
+@query("J10_noise_fill", f"""WITH RECURSIVE {CLUSTERS}, known AS (SELECT * FROM found JOIN pts ON pid=id), far AS (SELECT n.id, k.label, row_number() OVER (PARTITION BY n.id ORDER BY (n.x-k.x)**2+(n.y-k.y)**2+(n.z-k.z)**2, k.id) AS r FROM known n JOIN known k ON n.label<0 AND k.label>=0)
+    SELECT id, label FROM known WHERE label>=0 UNION ALL SELECT id, label FROM far WHERE r=1""")
 def j10(spark, d):
     p = points(spark, d)
     return cluster.fill_noise(p, cluster.dbscan(p, 60.0, 5), 60.0)
@@ -482,7 +507,8 @@ def f14(spark, d):
     return relational.crop_box(points(spark, d), (100.0, 200.0, 0.0), (900.0, 1800.0, 3000.0)).select("pid")
 
 
-@query("X20_resize_bilinear")
+@query("X20_resize_bilinear", f"""WITH {DENSE}, y AS (SELECT r, greatest((r+0.5::DOUBLE)*52/26-0.5,0) AS y FROM range(26) t(r)), x AS (SELECT c, greatest((c+0.5::DOUBLE)*22/11-0.5,0) AS x FROM range(11) t(c))
+    SELECT image_id, r::INT AS row, c::INT AS col, sum(value*(1-abs(y-row))*(1-abs(x-col))) AS value FROM dense JOIN y ON abs(y-row)<1 JOIN x ON abs(x-col)<1 GROUP BY ALL""")
 def x20b(spark, d):
     return mask.resize_bilinear(dense(spark, d), "value", (52, 22), (26, 11))
 

@@ -320,7 +320,26 @@ def w7(spark, d):
     return order.patches(order.ranked(keyed, "code"), 32).select(*voxel.KEY, "rank", "patch")
 
 
-@query("W3_hilbert")
+def hilbert_sql(cells: str, bits: int) -> str:
+    """Skilling's transposition as one SELECT for each step, and the bits of the three axes interleaved."""
+    flip = lambda a, q: f"CASE WHEN ({a}&{q})<>0 THEN xor(x,{q - 1}) ELSE xor(x,xor(x,{a})&{q - 1}) END AS x"
+    keep = lambda a, q: f"CASE WHEN ({a}&{q})<>0 THEN {a} ELSE xor({a},xor(x,{a})&{q - 1}) END AS {a}"
+    sql = f"SELECT *, i AS x, j AS y, k AS z FROM {cells}"
+    tops = [1 << b for b in range(bits - 1, 0, -1)]
+    for q in tops:
+        sql = f"SELECT * REPLACE (CASE WHEN (x&{q})<>0 THEN xor(x,{q - 1}) ELSE x END AS x) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({flip('y', q)}, {keep('y', q)}) FROM ({sql})"
+        sql = f"SELECT * REPLACE ({flip('z', q)}, {keep('z', q)}) FROM ({sql})"
+    sql = f"SELECT * REPLACE (xor(x,y) AS y, xor(xor(x,y),z) AS z) FROM ({sql})"
+    turn = "0"
+    for q in tops:
+        turn = f"xor({turn}, CASE WHEN (z&{q})<>0 THEN {q - 1} ELSE 0 END)"
+    sql = f"SELECT * REPLACE (xor(x,turn) AS x, xor(y,turn) AS y, xor(z,turn) AS z) FROM (SELECT *, {turn} AS turn FROM ({sql}))"
+    code = "+".join(f"((({a}>>{b})&1)<<{3 * b + 2 - n})" for b in range(bits) for n, a in enumerate("xyz"))
+    return f"SELECT * EXCLUDE (x, y, z, turn), ({code})::BIGINT AS code FROM ({sql})"
+
+
+@query("W3_hilbert", f"WITH {LINES} " + hilbert_sql(f"(SELECT DISTINCT {K} FROM lines)", 8))
 def w3(spark, d):
     return grid(spark, d).withColumn("code", order.hilbert(F.col("i"), F.col("j"), F.col("k"), 8))
 
