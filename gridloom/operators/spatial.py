@@ -18,15 +18,21 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in AXES[1:]), (F.col(f"{a}_x") - F.col(f"{b}_x")) * (F.col(f"{a}_x") - F.col(f"{b}_x"))))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pid", carried: list[str] | None = None) -> DataFrame:
-    """Pairs closer than radius: cells as wide as the radius, the right side sent to its 27 cells, an equi-join, then the test."""
-    a = _cell(left, "c", radius)
-    a = a.select("cx", "cy", "cz", *[F.col(pid).alias("a_id")], *[F.col(c).cast("double").alias(f"a_{c}") for c in AXES])
+def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pid", carried: list[str] | None = None, spread: str = "right") -> DataFrame:
+    """Pairs closer than radius: cells as wide as the radius, one side sent to its 27 cells, an equi-join, then the test.
+
+    spread names the side that is sent, "left" or "right": the one of fewer rows should be.
+    """
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]))
-    b = _cell(right, "c", radius).withColumn("d", around)
-    b = b.select(*[(F.col(f"c{c}") + F.col(f"d.d{c}")).alias(f"c{c}") for c in AXES], F.col(pid).alias("b_id"), *[F.col(c).cast("double").alias(f"b_{c}") for c in AXES], *[F.col(c).alias(f"b_{c}") for c in carried or []])
-    pairs = a.join(b, ["cx", "cy", "cz"]).withColumn("distance", _distance("a", "b"))
-    return pairs.where(F.col("distance") < radius).drop("cx", "cy", "cz")
+
+    def side(df: DataFrame, name: str, more: list[str], sent: bool) -> DataFrame:
+        df = _cell(df, "c", radius)
+        if sent:
+            df = df.withColumn("d", around).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.d{c}") for c in AXES})
+        return df.select("cx", "cy", "cz", F.col(pid).alias(f"{name}_id"), *[F.col(c).cast("double").alias(f"{name}_{c}") for c in AXES], *[F.col(c).alias(f"{name}_{c}") for c in more])
+
+    pairs = side(left, "a", [], spread == "left").join(side(right, "b", carried or [], spread != "left"), ["cx", "cy", "cz"])
+    return pairs.withColumn("distance", _distance("a", "b")).where(F.col("distance") < radius).drop("cx", "cy", "cz")
 
 
 def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", carried: list[str] | None = None, k: int = 1) -> DataFrame:
@@ -41,7 +47,8 @@ def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", c
     ok = finite(*[F.col(a).cast("double") for a in AXES])
     right = right.where(ok)
     todo, done, radius = left.where(ok), None, float(width)
-    enough = min(k, right.count())
+    rows, open_ = right.count(), todo.count()
+    enough = min(k, rows)
     by_distance = W.partitionBy("a_id").orderBy("distance", "b_id")
 
     def best(met: DataFrame) -> DataFrame:
@@ -49,20 +56,21 @@ def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", c
         return stage(top.select("a_id", (F.col("rank") - 1).alias("rank"), "b_id", "distance", *[F.col(f"b_{c}").alias(c) for c in carried]), "nearest")
 
     while True:
-        top = best(radius_join(todo, right, radius, pid, carried))
+        top = best(radius_join(todo, right, radius, pid, carried, "left" if open_ < rows else "right"))
         whole = top.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("a_id")
         whole = stage(whole, "nearest-done")
         found = top.join(whole, "a_id", "left_semi")
         done = found if done is None else done.unionByName(found)
         todo = stage(todo.join(whole, todo[pid] == whole["a_id"], "left_anti"), "nearest-todo")
-        if not enough or not todo.limit(1).count():
+        open_ = todo.count()
+        if not enough or not open_:
             return done
         radius *= 2
 
 
 def nearest_within(left: DataFrame, right: DataFrame, bound: float, pid: str = "pid") -> DataFrame:
     """Distance to the nearest right row below the bound, infinity where there is none."""
-    best = radius_join(left, right, bound, pid).groupBy("a_id").agg(F.min("distance").alias("distance"))
+    best = radius_join(left, right, bound, pid, spread="left" if left.count() < right.count() else "right").groupBy("a_id").agg(F.min("distance").alias("distance"))
     return left.join(best, left[pid] == best["a_id"], "left").select(pid, F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
