@@ -16,18 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: cuts lineage, and the planner learns its size."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; only local sessions that name none get a temporary folder."""
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back: cuts lineage, and the planner learns its size."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
