@@ -2,12 +2,13 @@
 
 from statistics import NormalDist
 
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import quantile, vec
-from gridloom.operators import cluster, mask, metrics, order, relational, sample, vector
-from gridloom.plans.inputs import DENSE, DOT, PIX, PTS, dense, pixels, points, vectors
+from gridloom.operators import cluster, mask, metrics, order, relational, sample, vector, voxel
+from gridloom.plans.inputs import DENSE, DOT, LINES, PIX, PTS, cells, dense, pixels, points, vectors
 from gridloom.plans.registry import query
 from gridloom.sources import sinks
 from gridloom.streaming import fusion
@@ -524,3 +525,65 @@ def s4(spark, d):
 @query("C7_fit_sample_label_all")
 def c7(spark, d):
     return cluster.coherence(cluster.fit_sample_label_all(vectors(spark, d).drop("label"), 8, dims=16)).select("label", "n", "coherence")
+
+
+@query(
+    "W17_ranking",
+    """SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rank, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dense, ntile(4) OVER w AS quarter, coalesce(lead(o_orderkey) OVER w, -1) AS next,
+        coalesce(nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), -1) AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""",
+)
+def w17(spark, d):
+    own = W.partitionBy("o_custkey")
+    w, p = own.orderBy(F.desc("o_totalprice"), "o_orderkey"), own.orderBy("o_orderpriority")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return table(spark, d, "orders").select("o_orderkey", F.rank().over(p).alias("rank"), F.dense_rank().over(p).alias("dense"), F.ntile(4).over(w).alias("quarter"), F.coalesce(F.lead("o_orderkey").over(w), F.lit(-1)).alias("next"), F.coalesce(F.nth_value("o_orderkey", 2).over(whole), F.lit(-1)).alias("second"))
+
+
+@query("P20_colours", f"WITH {PTS}, c AS (SELECT pid, x%256 AS r, y%300 AS g, z%256 AS b FROM pts), t AS (SELECT greatest(max(r),max(g),max(b)) AS top FROM c) SELECT pid, {', '.join(f'least(greatest({a}/CASE WHEN top>1 THEN 255 ELSE 1 END,0),1) AS {a}' for a in 'rgb')} FROM c, t")
+def p20(spark, d):
+    rows = points(spark, d).select("pid", (F.col("x") % 256).alias("r"), (F.col("y") % 300).alias("g"), (F.col("z") % 256).alias("b"))
+    return relational.normalized_colors(rows, ["r", "g", "b"], False)
+
+
+@query("P21_intrinsics", "SELECT s_suppkey, s_suppkey/4 AS fx, (s_suppkey+1)/4 AS fy, 80.0::DOUBLE AS cx, 60.0::DOUBLE AS cy FROM supplier")
+def p21(spark, d):
+    cameras = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").alias("fx"), (F.col("s_suppkey") + 1).alias("fy"), F.lit(320.0).alias("cx"), F.lit(240.0).alias("cy"))
+    return relational.scaled_intrinsics(cameras, 0.25)
+
+
+@query("P18_poses", "SELECT s_suppkey, -s_nationkey::DOUBLE AS m01, (5-s_nationkey)::DOUBLE AS m03, s_suppkey::DOUBLE AS m10, (s_suppkey+6)::DOUBLE AS m13, 8.0::DOUBLE AS m23 FROM supplier")
+def p18(spark, d):
+    row = lambda *v: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("double") for x in v])
+    n, r = F.col("s_suppkey"), F.col("s_nationkey")
+    pose = F.array(row(n, 1, 0, n), row(2, r, 0, r), row(0, 0, 1, 1), row(0, 0, 0, 1))
+    turn = F.array(row(0, -1, 0, 5), row(1, 0, 0, 6), row(0, 0, 1, 7), row(0, 0, 0, 1))
+    m = table(spark, d, "supplier").select("s_suppkey", vec.matmul(turn, pose).alias("m"))
+    return m.select("s_suppkey", *[F.col("m")[i][j].alias(f"m{i}{j}") for i, j in ((0, 1), (0, 3), (1, 0), (1, 3), (2, 3))])
+
+
+@query("P27_concat", f"WITH {LINES}, a AS (SELECT batch_id, i, j, k, count(*) AS n FROM lines GROUP BY ALL), b AS (SELECT batch_id, i, j, k, max(qty) AS q FROM lines WHERE tax>0.04::DOUBLE GROUP BY ALL) SELECT batch_id, i, j, k, n::DOUBLE AS first, q AS second, 2 AS channels FROM a JOIN b USING (batch_id, i, j, k)")
+def p27(spark, d):
+    c = cells(spark, d)
+    one = c.groupBy(*voxel.KEY).agg(F.array(F.count("*").cast("double")).alias("a"))
+    two = c.where(F.col("tax") > 0.04).groupBy(*voxel.KEY).agg(F.array(F.max("qty")).alias("b"))
+    out = voxel.concat_features(one, two, "a", "b")
+    return out.select(*voxel.KEY, F.col("features")[0].alias("first"), F.col("features")[1].alias("second"), F.size("features").alias("channels"))
+
+
+@query("X18_polygons", "SELECT s_suppkey AS poly_id, r::INT AS row, c::INT AS col FROM supplier, range(40) t(r), range(40) u(c) WHERE r<10+s_nationkey AND c<20+s_suppkey%20+(r*(0-20-s_suppkey%20))/(10+s_nationkey)::DOUBLE")
+def x18(spark, d):
+    """Right-angled triangles with the corner at the origin."""
+    a, b = (20 + F.col("s_suppkey") % 20).cast("double"), (10 + F.col("s_nationkey")).cast("double")
+    zero = F.lit(0.0)
+    return mask.rasterize(table(spark, d, "supplier").select(F.col("s_suppkey").alias("poly_id"), F.array(zero, a, zero).alias("xs"), F.array(zero, zero, b).alias("ys")), 40, 40)
+
+
+@query("J25_undo", f"WITH {PTS} SELECT pid, mask_id FROM pts WHERE z>100 AND mask_id=2")
+def j25(spark, d):
+    """A crop, a second one that is undone, and a third."""
+    p = points(spark, d).select("pid", "mask_id", "z")
+    view = relational.Snapshots(p)
+    view.crop(p.where("z > 100").select("pid"))
+    view.crop(p.where("mask_id = 1").select("pid"))
+    view.undo()
+    return view.crop(p.where("mask_id = 2").select("pid")).select("pid", "mask_id")
