@@ -97,5 +97,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(CASE WHEN role = 'assistant' OR p = m THEN upto END)::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""
 
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT row_number() OVER () AS pid, lang, w FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d) WHERE len(w) > 0),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS MATERIALIZED (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE words = 1 GROUP BY 1),
+h AS MATERIALIZED (SELECT lang, words, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE f >= 30),
+c AS (SELECT lang, phrase, words, w, f AS a, unnest(range(1, words)) AS k FROM h WHERE words >= 2),
+j AS (SELECT c.lang, c.phrase, c.words, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score FROM c JOIN h x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN h y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f FROM (SELECT *, unnest(range(1, words - m + 2)) AS i FROM h, (SELECT unnest([2, 3]) AS m) WHERE words > m) GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase WHERE e.f IS NULL OR 100::HUGEINT * e.f < 80::HUGEINT * b.a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000"""
+
+
+def _op12() -> str:
+    def assign(name: str, book: str) -> str:
+        met = f"SELECT s.rn, s.part, b.entry, sum((s.x - b.x)*(s.x - b.x))::BIGINT AS d FROM s JOIN {book} b ON b.part = s.part AND b.pos = s.pos GROUP BY ALL"
+        return f"{name} AS MATERIALIZED (SELECT rn, part, min(d*64 + entry) % 64 AS entry, min(d*64 + entry) // 64 AS d FROM ({met}) GROUP BY ALL)"
+
+    def move(name: str, assigned: str, book: str) -> str:
+        mean = "(sum(s.x)::BIGINT - ((sum(s.x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*)"  # floors negative sums too
+        means = f"SELECT s.part, a.entry, s.pos, {mean} AS x FROM s JOIN {assigned} a ON a.rn = s.rn AND a.part = s.part GROUP BY ALL"
+        return f"{name} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN ({means}) m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)"
+
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256*x::DOUBLE)::BIGINT) AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rn FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT rn, o // (n // 16) AS part, o % (n // 16) AS pos, e[o + 1] AS x FROM (SELECT rn, e, len(e) AS n, unnest(range(len(e))) AS o FROM v)),
+b0 AS MATERIALIZED (SELECT part, rn AS entry, pos, x FROM s WHERE rn < 64),
+{assign('a0', 'b0')}, {move('b1', 'a0', 'b0')}, {assign('a1', 'b1')}, {move('b2', 'a1', 'b1')}, {assign('a2', 'b2')},
+c AS (SELECT rn, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM v JOIN c ON c.rn = v.rn"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_ledger": _op2(), "quality_ablations": _ablations(), "op3_warc_salvage": OP3, "op5_url_reputation": _op5(), "op6_source_mixing": _op6(), "op9_chat_format": OP9}
+    return {"op2_quality_ledger": _op2(), "quality_ablations": _ablations(), "op3_warc_salvage": OP3, "op5_url_reputation": _op5(), "op6_source_mixing": _op6(), "op9_chat_format": OP9, "op11_phrase_collocations": OP11, "op12_vector_codes": _op12()}

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat_format, decontaminate, mixing, omh_dedup, quality_ledger, sharding, token_counts, toxicity, url_reputation, warc
+from gridloom.llm import chat_format, decontaminate, hmm_lm, mixing, omh_dedup, phrases, quality_ledger, sharding, token_counts, toxicity, url_reputation, vector_codes, warc
 from gridloom.llm._shared import table
 from gridloom.llm.oracles import oracle_sql  # noqa: F401  part of the registry
 
@@ -63,6 +63,18 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_quality_ledger, op3_warc_salvage, op4_benchmark_decontamination, op5_url_reputation, op6_source_mixing, op7_order_minhash, op8_toxicity_nnpu, op9_chat_format, op10_balanced_sharding, quality_ablations]
+    own = [op1_token_counts, op2_quality_ledger, op3_warc_salvage, op4_benchmark_decontamination, op5_url_reputation, op6_source_mixing, op7_order_minhash, op8_toxicity_nnpu, op9_chat_format, op10_balanced_sharding, op11_phrase_collocations, op12_vector_codes, op13_hmm_scores, quality_ablations]
     return {f.__name__: f for f in own}

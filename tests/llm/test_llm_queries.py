@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, db, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()}
     assert "pipeline" in entry.queries()
 
 
