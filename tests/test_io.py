@@ -137,10 +137,10 @@ def test_streamed_fusion_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[part::3], schema).write.parquet(str(tmp_path / "in" / str(part)))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = fusion.fuse_stream(stream, "value", "w", "fused_cells", str(tmp_path / "ck"))
+    q = fusion.fuse_stream(stream, ["value"], "w", str(tmp_path / "out"), str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
-    got = sorted(map(tuple, fusion.fused(spark.table("fused_cells"), "value").collect()))
+    got = sorted(map(tuple, fusion.fused(spark, str(tmp_path / "out"), ["value"]).collect()))
     want = sorted(map(tuple, voxel.fuse(spark.createDataFrame(rows, schema), "value", "w").collect()))
     assert got == want
 
