@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import depth, voxel
-from gridloom.plans.inputs import DENSE, LINES, cells, dense
+from gridloom.operators import density, depth, meshes, order, voxel
+from gridloom.plans.inputs import DENSE, LINES, PROBES, cells, dense, probes
 from gridloom.plans.registry import query
+from gridloom.session import stage, table
 
 K = "batch_id, i, j, k"
 SIZE, TRUNCATION = 0.5, 1.0
@@ -67,3 +68,87 @@ def depth_mesh(spark, d):
     vertices, faces = depth.mesh(grid, "tsdf")
     sums = vertices.agg(F.count("*").alias("vertices"), *[F.round(F.sum(F.round(a, 9)), 4).alias(a) for a in "xyz"])
     return sums.join(F.broadcast(faces.agg(F.count("*").alias("faces")))).select("vertices", "faces", "x", "y", "z")  # one row each
+
+
+def customers(spark, d):
+    """Customers as points with whole-number coordinates."""
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") * 37 % 400).cast("double").alias("x"), (F.col("c_nationkey") * 16).cast("double").alias("y"), F.round(F.col("c_acctbal") / 25).alias("z"))
+
+
+CUSTOMERS = "cu AS (SELECT c_custkey AS pid, (c_custkey*37 % 400)::DOUBLE AS x, (c_nationkey*16)::DOUBLE AS y, round(c_acctbal/25::DOUBLE) AS z FROM customer)"
+
+
+def far_sql(points: str) -> str:
+    return f"SELECT a.pid AS a, b.pid AS b, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM {points} a, {points} b"
+
+
+@query("C7_core_distances", f"WITH {CUSTOMERS} SELECT a AS id, round(d, 9) AS core FROM ({far_sql('cu')}) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 5")
+def c7_cores(spark, d):
+    return density.core_distances(customers(spark, d), 5, 32.0).select("id", F.round("core", 9).alias("core"))
+
+
+@query(
+    "C7_spanning_tree",
+    f"""WITH RECURSIVE {PROBES}, pr AS MATERIALIZED ({far_sql('probes')}), co AS (SELECT a, d AS core FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 3),
+e AS MATERIALIZED (SELECT pr.a, pr.b, greatest(d, x.core, y.core) AS w FROM pr JOIN co x ON x.a = pr.a JOIN co y ON y.a = pr.b WHERE pr.a <> pr.b),
+grow(n, inside, w, lo, hi) AS (SELECT 1::BIGINT, [min(pid)], NULL::DOUBLE, NULL::BIGINT, NULL::BIGINT FROM probes UNION ALL
+  SELECT n + 1, list_append(inside, s.b), s.w, s.lo, s.hi FROM (SELECT n, inside, (SELECT min({{'w': e.w, 'lo': least(e.a, e.b)::BIGINT, 'hi': greatest(e.a, e.b)::BIGINT, 'b': e.b}}) FROM e WHERE list_contains(inside, e.a) AND NOT list_contains(inside, e.b)) AS s FROM grow) WHERE s IS NOT NULL)
+SELECT lo AS a, hi AS b, round(w, 9) AS weight FROM grow WHERE w IS NOT NULL""",
+)
+def c7_tree(spark, d):
+    points = probes(spark, d)
+    tree = density.spanning_tree(points, stage(density.core_distances(points, 3, 400.0), "cores"), 400.0)
+    return tree.select("a", "b", F.round("weight", 9).alias("weight"))
+
+
+@query("C7_density_clusters")
+def c7_clusters(spark, d):
+    found = density.cluster(customers(spark, d), 4, 8, 32.0)
+    return found.select("pid", "label", F.round("prob", 9).alias("prob"))
+
+
+def line_mesh(spark, d):
+    """The surface between line items of either status: open where the grid ends."""
+    v = cells(spark, d).groupBy(*voxel.KEY).agg(F.sum(F.when(F.col("line_status") == "F", 1).otherwise(-1)).alias("v"))
+    return depth.mesh(v, "v")
+
+
+#: Faces of that mesh by numbered vertices, and its open edges with the edge that follows each.
+LINE_MESH = f"""{LINES}, vox AS (SELECT {K}, sum(CASE WHEN line_status='F' THEN 1 ELSE -1 END) AS v FROM lines GROUP BY ALL), {triangle_sql('v').replace("AS direction, vp/(vp - vq) AS t FROM tr", "AS direction, vp/(vp - vq) AS t, i, j, k, part, turn FROM tr")},
+vn AS (SELECT *, row_number() OVER (ORDER BY batch_id, vi, vj, vk, direction) - 1 AS vid FROM (SELECT batch_id, vi, vj, vk, direction, min(t) AS t FROM corners GROUP BY ALL)),
+pos AS MATERIALIZED (SELECT vid, vi + t*(direction & 1) AS x, vj + t*(direction >> 1 & 1) AS y, vk + t*(direction >> 2 & 1) AS z FROM vn),
+fa AS MATERIALIZED (SELECT max(CASE WHEN turn = 0 THEN vid END) AS v0, max(CASE WHEN turn = 1 THEN vid END) AS v1, max(CASE WHEN turn = 2 THEN vid END) AS v2 FROM corners c JOIN vn USING (batch_id, vi, vj, vk, direction) GROUP BY batch_id, c.i, c.j, c.k, c.part),
+he AS (SELECT v0 AS a, v1 AS b FROM fa UNION ALL SELECT v1, v2 FROM fa UNION ALL SELECT v2, v0 FROM fa),
+net AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, sum(CASE WHEN a < b THEN 1 ELSE -1 END) AS s FROM he WHERE a <> b GROUP BY ALL HAVING s <> 0),
+oe AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b, copy) AS e, a, b FROM (SELECT CASE WHEN s > 0 THEN lo ELSE hi END AS a, CASE WHEN s > 0 THEN hi ELSE lo END AS b, unnest(range(1, abs(s)::BIGINT + 1)) AS copy FROM net)),
+nx AS MATERIALIZED (SELECT x.e, y.e AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY e) AS turn FROM oe) x JOIN (SELECT *, row_number() OVER (PARTITION BY a ORDER BY e) AS turn FROM oe) y ON y.a = x.b AND y.turn = x.turn),
+walk(first_e, cur, n) AS (SELECT e, e, 0 FROM nx UNION ALL SELECT first_e, nxt, n + 1 FROM walk JOIN nx ON nx.e = cur WHERE nxt <> first_e),
+lp AS MATERIALIZED (SELECT first_e AS least_e, cur AS e, n AS place, count(*) OVER (PARTITION BY first_e) AS size FROM walk QUALIFY min(cur) OVER (PARTITION BY first_e) = first_e),
+ld AS (SELECT dense_rank() OVER (ORDER BY least_e) - 1 AS loop, place, size, a, b FROM lp JOIN oe USING (e))"""
+
+
+@query("C13_boundary_loops", f"WITH RECURSIVE {LINE_MESH} SELECT loop, place::BIGINT AS place, size, a, b FROM ld")
+def c13_loops(spark, d):
+    return meshes.boundary_loops(line_mesh(spark, d)[1])
+
+
+COT = "((p.x-r.x)*(q.x-r.x)+(p.y-r.y)*(q.y-r.y)+(p.z-r.z)*(q.z-r.z))/nullif(sqrt(((p.y-r.y)*(q.z-r.z)-(p.z-r.z)*(q.y-r.y))**2+((p.z-r.z)*(q.x-r.x)-(p.x-r.x)*(q.z-r.z))**2+((p.x-r.x)*(q.y-r.y)-(p.y-r.y)*(q.x-r.x))**2), 0)"
+
+
+@query(
+    "C13_filled_gaps",
+    f"""WITH RECURSIVE {LINE_MESH}, ce AS MATERIALIZED (SELECT loop, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ld JOIN pos ON vid = a WHERE size >= 3 GROUP BY 1),
+co2 AS (SELECT p.loop, q.x, q.y, q.z, {COT} AS w FROM ld JOIN ce p ON p.loop = ld.loop JOIN pos q ON q.vid = ld.a JOIN pos r ON r.vid = ld.b UNION ALL SELECT p.loop, q.x, q.y, q.z, {COT} FROM ld JOIN ce p ON p.loop = ld.loop JOIN pos q ON q.vid = ld.b JOIN pos r ON r.vid = ld.a),
+su AS (SELECT loop, count(*) FILTER (w IS NULL) AS odd, sum(w) AS w, sum(w*x) AS x, sum(w*y) AS y, sum(w*z) AS z FROM co2 GROUP BY 1)
+SELECT loop, {', '.join(f'round(CASE WHEN odd = 0 AND su.w > 1e-12::DOUBLE THEN su.{c}/su.w ELSE ce.{c} END, 5) AS {c}' for c in 'xyz')}, (SELECT count(*) FROM ld l WHERE l.loop = ce.loop) AS faces FROM ce JOIN su USING (loop)""",
+)
+def c13_filled(spark, d):
+    vertices, faces = line_mesh(spark, d)
+    more_v, more_f = meshes.fill_gaps(vertices, faces)
+    first = vertices.agg(F.max("vid").alias("last"))
+    caps = more_v.join(F.broadcast(first)).where("vid > last").withColumn("n", F.col("vid") - F.col("last") - 1)  # one row
+    around = more_f.groupBy(F.col("v0").alias("vid")).agg(F.count("*").alias("faces"))
+    # Loops of fewer than three edges have no cap, so caps count through the others.
+    numbers = order.global_rank(meshes.boundary_loops(faces).where("size >= 3").select("loop").distinct(), ["loop"], "n")
+    return caps.join(around, "vid").join(numbers, "n").select("loop", *[F.round(c, 5).alias(c) for c in "xyz"], "faces")
