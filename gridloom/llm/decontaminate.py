@@ -4,9 +4,10 @@ Texts become templates: letters in lower case, punctuation gone, and numbers (in
 words), units after numbers and names (capitalised words) replaced by typed placeholders whose
 values are kept as slots. Windows of eight template tokens of every document are looked up in a
 hash table of the benchmark's windows, and a document leaks an item if matched windows cover
-enough of the item and the slots are consistent: one value of the item always stands for the
-same value of the document, and two for two. Equal slots are a copy, others a re-parameterised
-question.
+enough of the item and the slots are consistent: one value of the item stands for one value
+of the document, and two names for two. Windows in which a slot says something else than it
+mostly does are left out, unless they match word for word. Equal slots are a copy, others a
+re-parameterised question.
 
 A window is read in up to three ways: as its words are, with numbers and units as placeholders,
 and with names as placeholders too. So case tells names only where that helps: copies in other
@@ -222,27 +223,54 @@ class Index:
         return sorted(out, key=lambda r: (r[3], r[0] is None, r[0] or ""))
 
     def judge(self, run: list[tuple[int, int]], entry: dict, words: list[str]) -> tuple | None:
-        """(coverage, slots differ, item id, first token) of an item that stands at a run; none if its slots clash."""
+        """(coverage, slots differ, item id, first token) of an item that stands at a run; none if no window holds.
+
+        A slot's value is what most of its places in the document say, and of equally many what an item says. Windows with
+        another value in a slot do not count, unless they read like an item's word for word. A name stands for one slot, that
+        with more places; numbers and units may be equal by chance.
+        """
         width = min(self.width, len(entry["names"]))
-        hit, slots = {q for _, q in run}, entry["pattern"]
+        slots = entry["pattern"]
+        if slots:
+            votes: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+            for place, i in {(p + i - q, i) for p, q in run for i in range(q, q + width) if i in slots}:
+                votes[slots[i]][words[place]] += 1
+            value, taken = {}, set()
+            best = {slot: max(found, key=lambda w: (found[w], w in self.owned(entry, slot), w)) for slot, found in votes.items()}
+            for slot in sorted(best, key=lambda k: (-votes[k][best[k]], k)):
+                if entry["names"][slot] != NAME or best[slot] not in taken:
+                    value[slot] = best[slot]
+                    taken.add(best[slot] if entry["names"][slot] == NAME else None)
+            run = [(p, q) for p, q in run if all(value.get(slots[i]) == words[p + i - q] for i in range(q, q + width) if i in slots) or self.literal(entry, words[p : p + width], q)]
+            if not run:
+                return None
+        hit = {q for _, q in run}
         share = len(hit) / entry["windows"]
         for may in (entry["typed"], entry["plain"]):
             # Windows made of slots cannot match other values; what can must be half of the item.
             if 2 * len(may) >= entry["windows"]:
                 share = max(share, len(hit & may) / len(may))
-        forth, back, values = {}, {}, {}
-        if slots:
-            for p, q in run:
-                for i in range(q, q + width):
-                    if i in slots:
-                        said = words[p + i - q]
-                        kind = entry["names"][i]
-                        if forth.setdefault(slots[i], said) != said or back.setdefault((kind, said), slots[i]) != slots[i]:
-                            return None
-                        values[i] = said
-        covered = tuple(values)
-        item, differ = self.member(entry, tuple(sorted(covered)), values)
-        return share, differ, item, run[0][0]
+        values = {i: words[p + i - q] for p, q in run for i in range(q, q + width) if i in slots}
+        item, differ = self.member(entry, tuple(sorted(values)), values)
+        return share, differ, item, min(p for p, _ in run)
+
+    @staticmethod
+    def owned(entry: dict, slot: int) -> set[str]:
+        """What the items of a class have in a slot."""
+        known = entry.setdefault("owned", {})
+        if slot not in known:
+            n = entry["where"].index(slot)
+            known[slot] = {own[n] for own in entry["items"]}
+        return known[slot]
+
+    @staticmethod
+    def literal(entry: dict, window: list[str], q: int) -> bool:
+        """Whether a window reads as it stands in an item of the class; slots aside it is known to be equal."""
+        known = entry.setdefault("literal", {})
+        inner = [n for n, i in enumerate(entry["where"]) if q <= i < q + len(window)]
+        if q not in known:
+            known[q] = {tuple(own[n] for n in inner) for own in entry["items"]}
+        return tuple(window[entry["where"][n] - q] for n in inner) in known[q]
 
     @staticmethod
     def member(entry: dict, covered: tuple[int, ...], values: dict[int, str]) -> tuple[str | None, bool]:
