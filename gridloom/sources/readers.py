@@ -332,8 +332,15 @@ def colmap_text(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"cameras": cameras, "images": images, "points": points}
 
 
+def colmap_binary(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """cameras, images and points of a binary reconstruction, split by records."""
+    from gridloom.sources.scene_binary import read_scene
+
+    return read_scene(spark, path)
+
+
 #: Scene readers by dataset type; splat readers by suffix. Add to them to support more formats.
-SCENES = {"colmap": colmap_text}
+SCENES = {"colmap": colmap_text, "colmap_binary": colmap_binary}
 SPLATS = {".ply": lambda spark, path: ply(spark, path, "vertex", ("x", "y", "z", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3", "f_dc_0", "f_dc_1", "f_dc_2")), ".parquet": lambda spark, path: spark.read.parquet(path)}
 
 
