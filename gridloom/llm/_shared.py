@@ -33,7 +33,7 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 
 
-def stage(df: DataFrame, name: str, arrow_rows: int | None = None, spread: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, arrow_rows: int | None = None, spread: bool = False, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no more than one stage) and gives the
@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str, arrow_rows: int | None = None, spread: bool
     can split skewed partitions of a join that follows. arrow_rows bounds the
     batches that go to Python while this table is made: texts in batches of
     10,000 rows, the default, hold much memory outside the heap. spread keeps
-    small shuffle partitions apart, where few bytes mean much work.
+    small shuffle partitions apart, where few bytes mean much work. codec: a compression other than the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -50,7 +50,7 @@ def stage(df: DataFrame, name: str, arrow_rows: int | None = None, spread: bool
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -167,7 +167,7 @@ def some_model(k=3, c=12, seed=0):
 
 def test_recursions_equal_brute_force(monkeypatch):
     monkeypatch.setattr(hmm_lm, "CHUNK", 7)
-    monkeypatch.setattr(hmm_lm, "SLICE", 5)
+    monkeypatch.setattr(hmm_lm, "SLICE", 30)
     rng, model = np.random.default_rng(2), some_model()
     sizes = np.array([1, 40, 7, 8, 3, 14, 90, 1, 21])
     classes = rng.integers(0, 12, sizes.sum())
