@@ -69,24 +69,52 @@ def suppress(pixels: DataFrame, scores: DataFrame, iou_most: float = 0.7, score_
     return rows.withColumn("kept", kept).select("image_id", "mask_id", "score", "rank", "iou_better", "in_better", "in_worse", "kept")
 
 
-def greedy_boxes(boxes: DataFrame, iou_most: float = 0.7) -> DataFrame:
-    """Greedy suppression of boxes (image_id, box_id, x0, y0, x1, y1, score), image by image."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "box_id"], ascending=[False, True]).reset_index(drop=True)
-        x0, y0, x1, y1 = (rows[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
-        area, alive, kept = (x1 - x0) * (y1 - y0), np.ones(len(rows), bool), []
-        for n in range(len(rows)):
-            if not alive[n]:
-                continue
-            kept.append(n)
-            w = np.clip(np.minimum(x1[n], x1) - np.maximum(x0[n], x0), 0, None)
-            h = np.clip(np.minimum(y1[n], y1) - np.maximum(y0[n], y0), 0, None)
-            both = area[n] + area - w * h
-            alive &= ~(np.where(both > 0, w * h / np.where(both > 0, both, 1), 0) > iou_most)
-        return rows.loc[kept, ["image_id", "box_id", "score"]]
-
-    return boxes.groupBy("image_id").applyInPandas(run, "image_id long, box_id long, score double")
+def greedy_boxes(boxes: DataFrame, iou_most: float = 0.7, tile: int = 64) -> DataFrame:
+    """Greedy suppression of boxes (image_id, box_id, x0, y0, x1, y1, score), image by image, in rounds of joins; see crops.settled."""
+    from gridloom.operators.crops import overlapping, settled
+
+    rows = stage(boxes.select(F.col("image_id").alias("group"), "box_id", "x0", "y0", "x1", "y1", "score"), "boxes")
+    kept = settled(rows, overlapping(rows, iou_most, tile))
+    return rows.join(kept, ["group", "box_id"], "left_semi").select(F.col("group").alias("image_id"), "box_id", "score")
+
+
+def _thinning() -> list[list[bool]]:
+    """For both phases, whether a pixel goes, by its eight neighbours (bit n: the n-th from the top on, clockwise) as a number."""
+    out = []
+    for phase in (0, 1):
+        row = []
+        for code in range(256):
+            p = [code >> n & 1 for n in range(8)]  # top, top right, right, bottom right, bottom, bottom left, left, top left
+            turns = sum(not p[n] and p[(n + 1) % 8] for n in range(8))
+            top, right, bottom, left = p[0], p[2], p[4], p[6]
+            ends = (top and right and bottom, right and bottom and left) if phase == 0 else (top and right and left, top and bottom and left)
+            row.append(bool(2 <= sum(p) <= 6 and turns == 1 and not any(ends)))
+        out.append(row)
+    return out
+
+
+def skeleton(pixels: DataFrame) -> DataFrame:
+    """Pixels of each mask thinned to lines of one pixel: two phases in turn until neither changes anything. Repeated pixels count once.
+
+    A pixel goes if it has two to six neighbours in one run, and, by phase, none to the lower right or the upper left
+    whose loss would break a line. Each phase is one aggregation of what pixels send to their neighbours.
+    """
+    from gridloom.session import discard
+
+    key = ["image_id", "mask_id", "row", "col"]
+    steps = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+    around = F.explode(F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(256).alias("bit")), *[F.struct(F.lit(-a).alias("a"), F.lit(-b).alias("b"), F.lit(1 << n).alias("bit")) for n, (a, b) in enumerate(steps)])).alias("d")
+    now, still, phase = stage(pixels.select(*key).distinct(), "skeleton"), 0, 0
+    tables = [F.array(*map(F.lit, t)) for t in _thinning()]
+    while still < 2:
+        sent = now.select(*key, around).select("image_id", "mask_id", (F.col("row") + F.col("d.a")).alias("row"), (F.col("col") + F.col("d.b")).alias("col"), F.col("d.bit").alias("bit"))
+        seen = sent.groupBy(*key).agg(F.sum("bit").alias("code")).where("code >= 256")
+        marked = stage(seen.select(*key, F.get(tables[phase], (F.col("code") - 256).cast("int")).alias("goes")), "skeleton")
+        changed = marked.where("goes").limit(1).count()
+        discard(now)
+        now = marked.where("not goes").drop("goes") if not changed else stage(marked.where("not goes").drop("goes"), "skeleton")
+        still, phase = (0 if changed else still + 1), 1 - phase
+    return now
 
 
 def area_filter(masks: DataFrame, image_area: int, most: float = 0.95) -> DataFrame:

@@ -1,6 +1,7 @@
 """Embeddings: top-k codes, codebooks, retrieval, projection."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,17 +55,100 @@ def decode(weights: DataFrame, codebook: DataFrame, key: list[str]) -> DataFrame
     return weights.join(codebook, "code").groupBy(*key, "pos").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
-def score_phrases(items: DataFrame, phrases: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Relevancy of every item for every positive phrase against all negatives.
+def packed(df: DataFrame, key: str, vec: str, rows: int = 4096) -> DataFrame:
+    """ids, m: some rows' keys and their vectors as one matrix of doubles, made where the rows are. Null vectors are left out; all must have one length."""
+    kind = dict(df.dtypes)[key]
 
-    phrases: phrase_id, positive, vec. A prompt's phrases are a stated, bounded query set, held as literals.
+    def run(batches):
+        for batch in batches:
+            for low in range(0, len(batch), rows):
+                part = batch.slice(low, rows)
+                sizes = set(part.column(1).value_lengths().to_pylist())
+                if len(sizes) != 1:
+                    raise ValueError(f"vectors of several lengths: {sorted(sizes)}")
+                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
+
+    return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).alias("v")).mapInArrow(run, f"ids array<{kind}>, m binary")
+
+
+def against(items: DataFrame, queries: DataFrame, reduce, schema: str, key: str, query_key: str, vec: str = "embedding", query_vec: str | None = None) -> DataFrame:
+    """What reduce(item ids, item matrix, query ids, query matrix) yields for every block of items with every block of queries, as rows of `schema`.
+
+    The query set is a table like any other: the planner broadcasts its blocks if they are measured as
+    small, and pairs them with the items' blocks where they are if not. The driver sees none of it. reduce should leave little: its rows are all that moves on.
+    """
+    left = packed(items, key, vec)
+    right = packed(queries, query_key, query_vec or vec).select(F.col("ids").alias("query_ids"), F.col("m").alias("query_m"))
+
+    def run(batches):
+        for batch in batches:
+            for n in range(len(batch)):
+                ids, own, query_ids, other = (batch.column(c)[n] for c in range(4))
+                a, b = (np.frombuffer(m.as_buffer(), np.float64).reshape(len(i), -1) for i, m in ((ids, own), (query_ids, other)))
+                yield from reduce(ids.values, a, query_ids.values, b)
+
+    return left.crossJoin(right).mapInArrow(run, schema)
+
+
+def affinities(items: DataFrame, clicks: DataFrame, least: float = 0.9, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """key, click, affinity of every item and click whose product is `least` or more."""
+    kind, click = dict(items.dtypes)[key], dict(clicks.dtypes)[key]
+
+    def reduce(ids, a, query_ids, b):
+        products = a @ b.T
+        at, of = np.nonzero(products >= least)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), query_ids.take(pa.array(of)), pa.array(products[at, of])], [key, "click", "affinity"])
+
+    return against(items, clicks, reduce, f"`{key}` {kind}, click {click}, affinity double", key, key, vec)
+
+
+def strongest(items: DataFrame, queries: DataFrame, name: str, key: str = "vec_id", query_key: str | None = None, vec: str = "embedding", query_vec: str | None = None) -> DataFrame:
+    """key, name: the greatest product of every item with any query; one row an item and block of queries is exchanged."""
+    kind = dict(items.dtypes)[key]
+
+    def reduce(ids, a, query_ids, b):
+        yield pa.RecordBatch.from_arrays([ids, pa.array((a @ b.T).max(1))], [key, name])
+
+    best = against(items, queries, reduce, f"`{key}` {kind}, `{name}` double", key, query_key or key, vec, query_vec)
+    return best.groupBy(key).agg(F.max(name).alias(name))
+
+
+def score_phrases(items: DataFrame, phrases: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """key, phrase_id, relevancy of every item (of unique keys) for every positive phrase against all negatives.
+
+    phrases: phrase_id, positive, vec; a table of any size. Without a negative phrase there is no relevancy, and no row.
+    """
+    kind, phrase = dict(items.dtypes)[key], dict(phrases.dtypes)["phrase_id"]
+
+    def reduce(ids, a, query_ids, b):
+        n, m = len(a), len(b)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(n), m))), query_ids.take(pa.array(np.tile(np.arange(m), n))), pa.array((a @ b.T).ravel())], [key, "phrase_id", "product"])
+
+    products = against(items, phrases.where("positive"), reduce, f"`{key}` {kind}, phrase_id {phrase}, product double", key, "phrase_id", vec, "vec")
+    negative = strongest(items, phrases.where("not positive"), "__neg", key, "phrase_id", vec, "vec")
+    return products.join(negative, key).select(key, "phrase_id", relevancy(F.col("product"), F.col("__neg")).alias("relevancy"))
+
+
+def nearest_codes(vectors: DataFrame, codes: DataFrame, key: str = "vec_id", vec: str = "embedding", code: str = "code") -> DataFrame:
+    """key, code, code_distance: the nearest row of a table of codes (code, vec) to each vector, the lesser code on ties.
+
+    Products find the candidates; those within rounding of the best are measured again by their differences.
     """
-    rows = phrases.collect()
-    negative = F.array(*[F.array(*[F.lit(float(x)) for x in r.vec]) for r in rows if not r.positive])
-    strongest = F.array_max(F.transform(negative, lambda n: dot(F.col(vec), n)))
-    book = F.array(*[F.struct(F.lit(r.phrase_id).alias("phrase_id"), F.array(*[F.lit(float(x)) for x in r.vec]).alias("v")) for r in rows if r.positive])
-    each = items.withColumn("__neg", strongest).withColumn("p", F.explode(book))
-    return each.withColumn("phrase_id", F.col("p.phrase_id")).withColumn("relevancy", relevancy(dot(F.col(vec), F.col("p.v")), F.col("__neg"))).drop("p", "__neg")
+    kind, of = dict(vectors.dtypes)[key], dict(codes.dtypes)[code]
+
+    def reduce(ids, a, query_ids, b):
+        names = np.array(query_ids.to_pylist())
+        squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+        close = squares <= squares.min(1, keepdims=True) + 1e-9 * (1 + (a * a).sum(1)[:, None])
+        at, which = np.nonzero(close)
+        exact = np.sqrt(((a[at] - b[which]) ** 2).sum(1))
+        order = np.lexsort((names[which], exact, at))
+        first = order[np.unique(at[order], return_index=True)[1]]
+        yield pa.RecordBatch.from_arrays([ids, query_ids.take(pa.array(which[first])), pa.array(exact[first])], [key, "code", "code_distance"])
+
+    best = against(vectors, codes, reduce, f"`{key}` {kind}, code {of}, code_distance double", key, code, vec, vec)
+    return best.groupBy(key).agg(F.min(F.struct("code_distance", "code")).alias("m")).select(key, "m.code", "m.code_distance")
 
 
 def affinity(items: DataFrame, click: list[float], least: float = 0.9, vec: str = "embedding") -> DataFrame:

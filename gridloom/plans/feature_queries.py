@@ -124,12 +124,8 @@ PAIR_DOT = f"round({DOT},6)"
 
 @query("X5_X12_affinity", f"SELECT a.vec_id, b.vec_id AS click, {PAIR_DOT} AS affinity FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b WHERE {DOT} >= 0.3")
 def x12(spark, d):
-    clicks = vectors(spark, d).where("vec_id % 50 = 0").orderBy("vec_id").collect()  # the stated query set
-    out = None
-    for c in clicks:
-        part = vector.affinity(vectors(spark, d), list(c.embedding), 0.3).select("vec_id", F.lit(c.vec_id).cast("long").alias("click"), F.round("affinity", 6).alias("affinity"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    e = vectors(spark, d)
+    return vector.affinities(e, e.where("vec_id % 50 = 0"), 0.3).withColumn("affinity", F.round("affinity", 6))
 
 
 REL = "WITH n AS (SELECT vec_id, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS neg FROM (SELECT vec_id, embedding FROM embeddings) a, (SELECT embedding FROM embeddings WHERE vec_id % 50 = 25) b GROUP BY vec_id)".replace("SELECT vec_id, max", "SELECT a.vec_id, max").replace("GROUP BY vec_id", "GROUP BY a.vec_id")
@@ -144,17 +140,16 @@ def x11(spark, d):
 
 @query("X13_negative_evidence", f"WITH m AS (SELECT a.vec_id, max(CASE WHEN b.vec_id % 50 = 0 THEN {DOT} END) AS p, max(CASE WHEN b.vec_id % 50 = 25 THEN {DOT} END) AS n FROM embeddings a, embeddings b WHERE b.vec_id % 50 IN (0,25) GROUP BY 1) SELECT vec_id, (p>=0.3 AND p>n*0.5::DOUBLE) AS dominate, p-n*0.5::DOUBLE>=0.3::DOUBLE AS subtract, (p>=0.3 AND n<0.5) AS veto FROM m")
 def x13(spark, d):
-    rows = vectors(spark, d).where("vec_id % 50 in (0, 25)").collect()  # the stated query set
-    book = lambda k: F.array(*[F.array(*[F.lit(float(x)) for x in r.embedding]) for r in rows if r.vec_id % 50 == k])
-    best = lambda k: F.array_max(F.transform(book(k), lambda v: vec.dot(F.col("embedding"), v)))
-    out = vectors(spark, d).withColumn("p", best(0)).withColumn("n", best(25))
+    e = vectors(spark, d)
+    out = vector.strongest(e, e.where("vec_id % 50 = 0"), "p").join(vector.strongest(e, e.where("vec_id % 50 = 25"), "n"), "vec_id")
     return out.select("vec_id", *[vector.negative_evidence(F.col("p"), F.col("n"), m, 0.3, 0.5).alias(m) for m in ("dominate", "subtract", "veto")])
 
 
 @query("J21_codebook_assign", "WITH m AS (SELECT a.vec_id, b.vec_id AS code, sqrt(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: (z[1]::DOUBLE-z[2]::DOUBLE)*(z[1]::DOUBLE-z[2]::DOUBLE)))) AS dist FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b) SELECT vec_id, arg_min(code, dist) AS code, round(min(dist),6) AS code_distance FROM m GROUP BY 1")
 def j21(spark, d):
-    book = [(r.vec_id, list(r.embedding)) for r in vectors(spark, d).where("vec_id % 50 = 0").orderBy("vec_id").collect()]  # the stated query set
-    return vector.assign_codes(vectors(spark, d), book).select("vec_id", F.col("code").cast("long").alias("code"), F.round("code_distance", 6).alias("code_distance"))
+    e = vectors(spark, d)
+    found = vector.nearest_codes(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "code"))
+    return found.select("vec_id", "code", F.round("code_distance", 6).alias("code_distance"))
 
 
 @query("T1_topk_code", "WITH e AS (SELECT vec_id, unnest(range(64)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT *, exp(v)/sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, n) AS rk FROM s) SELECT vec_id, n::INT AS code, round(p/(sum(p) OVER (PARTITION BY vec_id)+1e-10),6) AS w FROM r WHERE rk <= 4")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import density, depth, meshes, order, voxel
-from gridloom.plans.inputs import DENSE, LINES, PROBES, cells, dense, probes
+from gridloom.functions import tables
+from gridloom.operators import crops, density, depth, mask, meshes, order, splats, voxel
+from gridloom.plans.inputs import DENSE, LINES, PIX, PROBES, cells, dense, pixels, probes
 from gridloom.plans.registry import query
 from gridloom.session import stage, table
 
@@ -152,3 +153,94 @@ def c13_filled(spark, d):
     # Loops of fewer than three edges have no cap, so caps count through the others.
     numbers = order.global_rank(meshes.boundary_loops(faces).where("size >= 3").select("loop").distinct(), ["loop"], "n")
     return caps.join(around, "vid").join(numbers, "n").select("loop", *[F.round(c, 5).alias(c) for c in "xyz"], "faces")
+
+
+def part_splats(spark, d):
+    """Parts as splats before two cameras."""
+    p = table(spark, d, "part")
+    key = F.col("p_partkey")
+    splats_ = p.select(F.lit("scene").alias("batch_id"), key.alias("sid"), (key * 37 % 400 / 100 - 2).alias("x"), (key * 53 % 300 / 100 - 1.5).alias("y"), (4 + F.col("p_size") / 16).alias("z"), *[(0.0625 + key % m / 32).alias(s) for s, m in (("sx", 3), ("sy", 4), ("sz", 5))], F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(q) for q in ("qx", "qy", "qz")], ((key % 9 + 1) / 10).alias("opacity"))
+    pose = [F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("frame") / 2, F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("frame").cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    cameras = spark.range(2).select(F.lit("scene").alias("batch_id"), F.col("id").alias("frame")).select("*", F.lit(32.0).alias("fx"), F.lit(32.0).alias("fy"), F.lit(32.0).alias("cx"), F.lit(24.0).alias("cy"), F.lit(64).alias("width"), F.lit(48).alias("height"), F.array(*pose).alias("pose"))
+    return splats_, cameras
+
+
+SHOWN = """sp AS (SELECT p_partkey AS sid, p_partkey*37 % 400/100::DOUBLE - 2 AS x, p_partkey*53 % 300/100::DOUBLE - 1.5 AS y, 4 + p_size/16::DOUBLE AS z, 0.0625 + p_partkey % 3/32::DOUBLE AS sx, 0.0625 + p_partkey % 4/32::DOUBLE AS sy, 0.0625 + p_partkey % 5/32::DOUBLE AS sz, (p_partkey % 9 + 1)/10::DOUBLE AS op FROM part),
+ey AS (SELECT sid, frame, sx, sy, sz, op, x - frame/2::DOUBLE AS x, y, z - frame AS z FROM sp, (SELECT unnest([0, 1]) AS frame)),
+fp AS (SELECT *, 32*x/z + 32 AS u, 32*y/z + 24 AS v, (32/z*sx)**2 + (32*x/(z*z)*sz)**2 + 0.3::DOUBLE AS xx, 32*x/(z*z)*sz*32*y/(z*z)*sz AS xy, (32/z*sy)**2 + (32*y/(z*z)*sz)**2 + 0.3::DOUBLE AS yy, 2*ln(op*255) AS reach FROM ey WHERE z > 0.01 AND op*255 >= 1),
+al AS (SELECT frame, r AS row, c AS col, sid, z AS depth, least(0.999::DOUBLE, op*exp(-0.5::DOUBLE*(yy*(c+0.5-u)**2 - 2*xy*(c+0.5-u)*(r+0.5-v) + xx*(r+0.5-v)**2)/(xx*yy - xy*xy))) AS alpha FROM (SELECT *, unnest(range(greatest(0, ceil(u - sqrt(reach*xx) - 0.5))::BIGINT, least(63, floor(u + sqrt(reach*xx) - 0.5))::BIGINT + 1)) AS c FROM (SELECT *, unnest(range(greatest(0, ceil(v - sqrt(reach*yy) - 0.5))::BIGINT, least(47, floor(v + sqrt(reach*yy) - 0.5))::BIGINT + 1)) AS r FROM fp))),
+bl AS (SELECT *, exp(sum(ln(1 - alpha)) OVER w) AS lft, row_number() OVER w - 1 AS place FROM al WHERE alpha*255 >= 1 WINDOW w AS (PARTITION BY frame, row, col ORDER BY depth, sid ROWS UNBOUNDED PRECEDING))"""
+
+
+@query("N4_contributors", f"WITH {SHOWN} SELECT frame, row, col, place::INT AS place, sid, round(alpha*lft/(1 - alpha), 6) AS weight FROM bl WHERE lft > 0.0001")
+def n4(spark, d):
+    return splats.contributors(*part_splats(spark, d)).select("frame", "row", "col", "place", "sid", F.round("weight", 6).alias("weight"))
+
+
+RAYS = "SELECT o_orderkey AS ray, (o_custkey % 13)/7::DOUBLE AS ox, (o_custkey % 17)/11::DOUBLE AS oy, (o_orderkey % 19)/13::DOUBLE AS oz, (o_orderkey % 7 - 3)/9::DOUBLE + 0.011 AS dx, (o_orderkey % 5 - 2)/17::DOUBLE + 0.013 AS dy, (o_custkey % 11 - 5)/23::DOUBLE + 0.017 AS dz FROM orders"
+
+
+@query(
+    "Z6_ray_cells",
+    f"WITH r AS ({RAYS}), e AS (SELECT *, {', '.join(f'floor((o{a} + {t}*d{a})/0.3)::BIGINT AS {n}{a}' for n, t in (('f', '0.2'), ('l', '9.7')) for a in 'xyz')} FROM r) SELECT ray, 1 + abs(lx - fx) + abs(ly - fy) + abs(lz - fz) AS cells, fx, fy, fz, lx, ly, lz FROM e".replace("0.2*", "0.2::DOUBLE*").replace("9.7*", "9.7::DOUBLE*").replace("/0.3", "/0.3::DOUBLE"),
+)
+def z6(spark, d):
+    tables.register(spark)
+    o = table(spark, d, "orders")
+    part = lambda c, m, s, n: ((F.col(c) % m - s) / n)
+    rays = o.select(F.col("o_orderkey").alias("ray"), part("o_custkey", 13, 0, 7).alias("ox"), part("o_custkey", 17, 0, 11).alias("oy"), part("o_orderkey", 19, 0, 13).alias("oz"), (part("o_orderkey", 7, 3, 9) + 0.011).alias("dx"), (part("o_orderkey", 5, 2, 17) + 0.013).alias("dy"), (part("o_custkey", 11, 5, 23) + 0.017).alias("dz"))
+    walk = tables.WalkCells(*[F.col(c).outer() for c in ("ox", "oy", "oz", "dx", "dy", "dz")], F.lit(0.3), F.lit(0.2), F.lit(9.7))
+    met = rays.lateralJoin(walk)
+    ends = [F.min_by(c, F.struct("enter", "leave")).alias(f"f{a}") for c, a in zip("ijk", "xyz", strict=True)] + [F.max_by(c, F.struct("leave", "enter")).alias(f"l{a}") for c, a in zip("ijk", "xyz", strict=True)]
+    return met.groupBy("ray").agg(F.count("*").alias("cells"), *ends)
+
+
+#: The pixel masks as seen on crops of images of 24 by 52 pixels: the image and two by two crops that share 7 pixels.
+WIDTH, HEIGHT = 24, 52
+
+
+def crop_sql() -> str:
+    shared = int(512 / 1500 * min(WIDTH, HEIGHT))
+    size = [-(-(shared + whole) // 2) for whole in (WIDTH, HEIGHT)]
+    grid = [(0, 0, 0, WIDTH, HEIGHT)]
+    grid += [(1 + 2 * x + y, (size[0] - shared) * x, (size[1] - shared) * y, min((size[0] - shared) * x + size[0], WIDTH), min((size[1] - shared) * y + size[1], HEIGHT)) for x in (0, 1) for y in (0, 1)]
+    return ", ".join(map(str, grid))
+
+
+def greedy_sql(name: str, source: str, group: str, order: str) -> str:
+    """Boxes of a relation that greedy suppression at 0.7 keeps: in the order of rank, each against those kept before."""
+    cut = "len(list_filter(list_transform(kept, lambda b: [greatest(least(b.x1,r.x1)-greatest(b.x0,r.x0),0)*greatest(least(b.y1,r.y1)-greatest(b.y0,r.y0),0), (b.x1-b.x0)*(b.y1-b.y0)+(r.x1-r.x0)*(r.y1-r.y0)]), lambda s: s[2]>s[1] AND s[1]/(s[2]-s[1])::DOUBLE > 0.7::DOUBLE))=0"
+    one = "{'crop': r.crop, 'mask_id': r.mask_id, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}"
+    return f"""{name}_r AS MATERIALIZED (SELECT *, {group} AS grp, row_number() OVER (PARTITION BY {group} ORDER BY {order} DESC, crop, mask_id) AS n FROM {source}),
+{name}_s(grp, n, kept) AS (SELECT grp, n, [{one}] FROM {name}_r r WHERE n = 1 UNION ALL SELECT r.grp, r.n, CASE WHEN {cut} THEN list_append(kept, {one}) ELSE kept END FROM {name}_s s JOIN {name}_r r ON r.grp = s.grp AND r.n = s.n + 1),
+{name} AS (SELECT r.* FROM {name}_r r JOIN (SELECT grp, unnest(arg_max(kept, n)) AS b FROM {name}_s GROUP BY 1) k ON k.grp = r.grp AND k.b.crop = r.crop AND k.b.mask_id = r.mask_id)"""
+
+
+@query(
+    "C4_crop_assembly",
+    f"""WITH RECURSIVE {PIX}, cr(crop, cx0, cy0, cx1, cy1) AS (VALUES {crop_sql()}),
+bx AS (SELECT image_id, crop, mask_id, min(col) AS x0, min(row) AS y0, max(col) AS x1, max(row) AS y1, count(*) AS area, count(*)/64::DOUBLE AS score, any_value(1/((cx1-cx0)*(cy1-cy0))) AS small FROM pix, cr WHERE col >= cx0 AND col < cx1 AND row >= cy0 AND row < cy1 GROUP BY 1, 2, 3),
+st AS (SELECT bx.* FROM bx JOIN cr USING (crop) WHERE NOT ((abs(x0-cx0) <= 1 AND abs(x0) > 1) OR (abs(y0-cy0) <= 1 AND abs(y0) > 1) OR (abs(x1-cx1) <= 1 AND abs(x1-{WIDTH}) > 1) OR (abs(y1-cy1) <= 1 AND abs(y1-{HEIGHT}) > 1))),
+{greedy_sql('own', 'st', 'image_id * 8 + crop', 'score')}, al AS (SELECT * EXCLUDE (grp, n) FROM own), {greedy_sql('fin', 'al', 'image_id', 'small')}
+SELECT image_id, crop, mask_id, x0, y0, x1, y1, area, score FROM fin""",
+)
+def c4(spark, d):
+    px = pixels(spark, d)
+    images = px.select("image_id").distinct().select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+    grid = crops.crop_boxes(images, 1)
+    seen = px.join(grid, "image_id").where("col >= x0 and col < x1 and row >= y0 and row < y1").select("image_id", "crop", "mask_id", (F.col("row") - F.col("y0")).alias("row"), (F.col("col") - F.col("x0")).alias("col"))
+    scores = seen.groupBy("image_id", "crop", "mask_id").agg((F.count("*") / 64).alias("score"))
+    return crops.assemble(seen, scores, images, 1, near=1.0)
+
+
+@query(
+    "X19_skeleton",
+    f"""WITH RECURSIVE {PIX}, nb(bit, a, b) AS (VALUES (1,-1,0),(2,-1,1),(4,0,1),(8,1,1),(16,1,0),(32,1,-1),(64,0,-1),(128,-1,-1)),
+bits AS (SELECT unnest(range(256)) AS code), gone AS MATERIALIZED (SELECT phase, code FROM bits, (SELECT unnest([0, 1]) AS phase) WHERE bit_count(code::INT) BETWEEN 2 AND 6
+  AND len(list_filter(range(8), lambda n: (code >> n) & 1 = 0 AND (code >> ((n + 1) % 8)) & 1 = 1)) = 1 AND CASE WHEN phase = 0 THEN (code & 21) <> 21 AND (code & 84) <> 84 ELSE (code & 69) <> 69 AND (code & 81) <> 81 END),
+th(n, image_id, mask_id, row, col) AS (SELECT DISTINCT 0, image_id, mask_id % 4, row, col FROM pix UNION ALL
+  SELECT n + 1, image_id, mask_id, row, col FROM (SELECT p.n, p.image_id, p.mask_id, p.row, p.col, sum(CASE WHEN q.n IS NULL THEN 0 ELSE bit END) AS code FROM th p CROSS JOIN nb LEFT JOIN th q ON q.image_id = p.image_id AND q.mask_id = p.mask_id AND q.row = p.row + a AND q.col = p.col + b GROUP BY 1, 2, 3, 4, 5) c WHERE n < 60 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.phase = c.n % 2 AND g.code = c.code))
+SELECT image_id, mask_id, row, col FROM th WHERE n = 60""",
+)
+def x19(spark, d):
+    return mask.skeleton(pixels(spark, d).withColumn("mask_id", F.col("mask_id") % 4))
