@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.vec import finite
-from gridloom.session import stage
+from gridloom.session import discard, stage
 
 AXES = ("x", "y", "z")
 
@@ -18,11 +18,13 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in AXES[1:]), (F.col(f"{a}_x") - F.col(f"{b}_x")) * (F.col(f"{a}_x") - F.col(f"{b}_x"))))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pid", carried: list[str] | None = None, spread: str = "right") -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pid", carried: list[str] | None = None, spread: str | None = None) -> DataFrame:
     """Pairs closer than radius: cells as wide as the radius, one side sent to its 27 cells, an equi-join, then the test.
 
-    spread names the side that is sent, "left" or "right": the one of fewer rows should be.
+    spread names the side that is sent, "left" or "right"; unless it is given both are counted, and the one of fewer rows is sent.
     """
+    if spread is None:
+        spread = "left" if left.count() < right.count() else "right"
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]))
 
     def side(df: DataFrame, name: str, more: list[str], sent: bool) -> DataFrame:
@@ -46,7 +48,7 @@ def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", c
     carried = carried or []
     ok = finite(*[F.col(a).cast("double") for a in AXES])
     right = right.where(ok)
-    todo, done, radius = left.where(ok), None, float(width)
+    todo, done, radius, rounds = left.where(ok), None, float(width), 0
     rows, open_ = right.count(), todo.count()
     enough = min(k, rows)
     by_distance = W.partitionBy("a_id").orderBy("distance", "b_id")
@@ -61,7 +63,10 @@ def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", c
         whole = stage(whole, "nearest-done")
         found = top.join(whole, "a_id", "left_semi")
         done = found if done is None else done.unionByName(found)
-        todo = stage(todo.join(whole, todo[pid] == whole["a_id"], "left_anti"), "nearest-todo")
+        rest = stage(todo.join(whole, todo[pid] == whole["a_id"], "left_anti"), "nearest-todo")
+        if rounds:
+            discard(todo)
+        todo, rounds = rest, rounds + 1
         open_ = todo.count()
         if not enough or not open_:
             return done
