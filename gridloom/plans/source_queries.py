@@ -124,7 +124,7 @@ def binary_scene(spark, d):
     seen = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"), F.col("l_partkey").alias("pid")))).alias("s"))
     seen = seen.select("l_orderkey", F.transform("s", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["pid"].alias("pid"))).alias("seen"))
     orders = table(spark, d, "orders").join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    images = orders.select(F.col("o_orderkey").alias("image_id"), F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")], F.col("o_totalprice").alias("tx"), *[F.lit(0.0).alias(c) for c in ("ty", "tz")], (F.col("o_custkey") % 10 + 1).alias("camera_id"), F.concat("o_orderpriority", F.lit("/é "), F.col("o_orderkey").cast("string")).alias("name"), "seen")
+    images = orders.select(F.col("o_orderkey").alias("image_id"), F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")], F.col("o_totalprice").alias("tx"), *[F.lit(0.0).alias(c) for c in ("ty", "tz")], (F.col("o_custkey") % 10).alias("camera_id"), F.concat("o_orderpriority", F.lit("/é "), F.col("o_orderkey").cast("string")).alias("name"), "seen")
     track = li.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("place")))).alias("track"))
     points = table(spark, d, "part").join(track, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("pid"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.lit(0.5).alias("z"), *[(F.col("p_partkey") % m).cast("int").alias(c) for c, m in zip("rgb", (256, 100, 7), strict=True)], (F.col("p_size") / 4).alias("error"), "track")
     scene_binary.write_scene(path, part_bytes=1 << 16, cameras=cameras, images=images, points=points)
@@ -134,12 +134,12 @@ def binary_scene(spark, d):
 @query(
     "S13_K10_binary_images",
     f"""WITH m(n, model, params) AS (VALUES {", ".join(f"({n}, '{name}', {size})" for n, (name, size) in scene_binary.MODELS.items())}), c AS (SELECT s_suppkey, s_nationkey, s_acctbal, model, params FROM supplier JOIN m ON n = s_suppkey % {len(scene_binary.MODELS)})
-    SELECT o_orderkey AS image_id, o_orderpriority || '/é ' || o_orderkey AS name, o_totalprice AS tx, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_partkey) - 1 AS place, l_quantity AS x, l_extendedprice AS y, l_partkey AS pid, model, s_nationkey + 640 AS width, params AS n_params, s_acctbal + params AS last_param FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN c ON s_suppkey = o_custkey % 10 + 1""",
+    SELECT o_orderkey AS image_id, o_orderpriority || '/é ' || o_orderkey AS name, o_totalprice AS tx, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_partkey) - 1 AS place, l_quantity AS x, l_extendedprice AS y, l_partkey AS pid, model, s_nationkey + 640 AS width, params AS n_params, s_acctbal + params AS last_param FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN c ON s_suppkey = o_custkey % 10""",
 )
 def binary_images(spark, d):
     scene = binary_scene(spark, d)
     cameras = scene["cameras"].select("camera_id", "model", "width", F.size("params").alias("n_params"), F.element_at("params", -1).alias("last_param"))
-    return scene["images"].join(cameras, "camera_id", "left").select("image_id", "name", "tx", F.posexplode("seen").alias("place", "s"), "model", "width", "n_params", "last_param").select("image_id", "name", "tx", "place", "s.x", "s.y", "s.pid", "model", "width", "n_params", "last_param")
+    return scene["images"].join(cameras, "camera_id").select("image_id", "name", "tx", F.posexplode("seen").alias("place", "s"), "model", "width", "n_params", "last_param").select("image_id", "name", "tx", "place", "s.x", "s.y", "s.pid", "model", "width", "n_params", "last_param")
 
 
 @query("S13_K10_binary_points", "SELECT p_partkey AS pid, p_size::DOUBLE AS x, p_retailprice AS y, 0.5::DOUBLE AS z, p_partkey % 256 AS r, p_partkey % 100 AS g, p_partkey % 7 AS b, p_size/4 AS error, count(l_orderkey) AS length, coalesce(sum(l_orderkey), 0)::BIGINT AS images FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL")
