@@ -6,7 +6,7 @@ values are kept as slots. Windows of eight template tokens of every document are
 hash table of the benchmark's windows, and a document leaks an item if matched windows cover
 enough of the item and the slots are consistent: one value of the item stands for one value
 of the document, and two names for two. Windows in which a slot says something else than it
-mostly does are left out, unless they match word for word. Equal slots are a copy, others a
+mostly does are left out, unless they match word for word, and each such place counts against the copy. Equal slots are a copy, others a
 re-parameterised question.
 
 A window is read in up to three ways: as its words are, with numbers and units as placeholders,
@@ -227,10 +227,10 @@ class Index:
 
         A slot's value is what most of its places in the document say, and of equally many what an item says. Windows with
         another value in a slot do not count, unless they read like an item's word for word. A name stands for one slot, that
-        with more places; numbers and units may be equal by chance.
+        with more places; numbers and units may be equal by chance. Each place that says something else counts as a further window that is missing.
         """
         width = min(self.width, len(entry["names"]))
-        slots = entry["pattern"]
+        slots, odd = entry["pattern"], 0
         if slots:
             votes: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
             for place, i in {(p + i - q, i) for p, q in run for i in range(q, q + width) if i in slots}:
@@ -241,15 +241,16 @@ class Index:
                 if entry["names"][slot] != NAME or best[slot] not in taken:
                     value[slot] = best[slot]
                     taken.add(best[slot] if entry["names"][slot] == NAME else None)
+            odd = sum(n for slot, found in votes.items() for word, n in found.items() if word != value.get(slot))
             run = [(p, q) for p, q in run if all(value.get(slots[i]) == words[p + i - q] for i in range(q, q + width) if i in slots) or self.literal(entry, words[p : p + width], q)]
             if not run:
                 return None
         hit = {q for _, q in run}
-        share = len(hit) / entry["windows"]
+        share = len(hit) / (entry["windows"] + odd)
         for may in (entry["typed"], entry["plain"]):
             # Windows made of slots cannot match other values; what can must be half of the item.
             if 2 * len(may) >= entry["windows"]:
-                share = max(share, len(hit & may) / len(may))
+                share = max(share, len(hit & may) / (len(may) + odd))
         values = {i: words[p + i - q] for p, q in run for i in range(q, q + width) if i in slots}
         item, differ = self.member(entry, tuple(sorted(values)), values)
         return share, differ, item, min(p for p, _ in run)
