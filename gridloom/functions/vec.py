@@ -143,8 +143,10 @@ def unpack_label(v: Column) -> tuple[Column, Column]:
     return v.bitwiseAND(0xFFFF), F.shiftrightunsigned(v, 16)
 
 
-def pack_label(semantic: Column, instance: Column) -> Column:
-    return semantic + F.shiftleft(instance.cast("long"), 16).bitwiseAND(0xFFFF0000)
+def pack_label(semantic: Column, instance: Column, wide: bool = False) -> Column:
+    """An unsigned 32-bit label held as a long, as files hold it; wide keeps instances of more than 16 bits."""
+    high = F.shiftleft(instance.cast("long"), 16)
+    return semantic + (high if wide else high.bitwiseAND(0xFFFF0000))
 
 
 def quaternion(m: Column) -> Column:
