@@ -1,5 +1,7 @@
 """Embeddings: top-k codes, codebooks, retrieval, projection."""
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,18 +11,28 @@ from pyspark.sql import functions as F
 from gridloom.functions.vec import dbl, dot, l2, relevancy
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once a row: a column that a lambda names is made again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    powers = let(v, lambda own: let(F.array_max(own), lambda top: F.transform(own, lambda x: F.exp(x - top))))
+    return let(powers, shares)
 
 
 def topk_code(logits: Column, k: int, eps: float = 1e-10) -> Column:
     """The k largest softmax weights, renormalised, as map<index, weight>; ties go to the lower index."""
     pairs = F.transform(softmax(dbl(logits)), lambda p, n: F.struct((-p).alias("m"), n.alias("n")))
-    best = F.slice(F.array_sort(pairs), 1, k)
-    total = F.aggregate(best, F.lit(0.0), lambda s, b: s - b["m"])
-    return F.map_from_arrays(F.transform(best, lambda b: b["n"]), F.transform(best, lambda b: -b["m"] / (total + F.lit(eps))))
+
+    def weighed(best: Column) -> Column:
+        total = F.aggregate(best, F.lit(0.0), lambda s, b: s - b["m"])
+        return F.map_from_arrays(F.transform(best, lambda b: b["n"]), let(total, lambda t: F.transform(best, lambda b: -b["m"] / (t + F.lit(eps)))))
+
+    return let(F.slice(F.array_sort(pairs), 1, k), weighed)
 
 
 def assign_codes(vectors: DataFrame, centers: list[tuple[int, list[float]]], vec: str = "embedding") -> DataFrame:

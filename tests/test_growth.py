@@ -30,3 +30,9 @@ def same(spark, tmp_path):
 def test_labels_of_more_than_16_bits(same):
     lines = "select * replace ((l_partkey + 70000)::bigint as l_partkey, (l_suppkey + 65530)::bigint as l_suppkey) from old_lineitem where l_orderkey < 50"
     assert same("X4_S3_labels", lineitem=lines)["instance"].min() > 65535
+
+
+def test_topk_code_makes_each_power_once(spark, capsys):
+    QUERIES["T1_topk_code"](spark, SF).explain(True)
+    plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert plan.lower().count("exp(") == 1
