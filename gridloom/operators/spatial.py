@@ -1,5 +1,7 @@
 """Radius and nearest-neighbour joins by grid buckets, and what is built on them."""
 
+from math import prod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,22 +35,42 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, pid: str = "pi
             df = df.withColumn("d", around).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.d{c}") for c in AXES})
         return df.select("cx", "cy", "cz", F.col(pid).alias(f"{name}_id"), *[F.col(c).cast("double").alias(f"{name}_{c}") for c in AXES], *[F.col(c).alias(f"{name}_{c}") for c in more])
 
-    pairs = side(left, "a", [], spread == "left").join(side(right, "b", carried or [], spread != "left"), ["cx", "cy", "cz"])
+    # The planner takes a side that is sent for as small as its file; it must not broadcast it.
+    pairs = side(left, "a", [], spread == "left").join(side(right, "b", carried or [], spread != "left").hint("merge"), ["cx", "cy", "cz"])
     return pairs.withColumn("distance", _distance("a", "b")).where(F.col("distance") < radius).drop("cx", "cy", "cz")
 
 
+def fitting_width(points: DataFrame, width: float, k: int = 1, pairs: float = 2e7) -> float:
+    """width, halved until a cell would hold few more than k points (or so many that all cells make `pairs` pairs) if they were spread evenly in their box: so work grows with the points.
+
+    A box may be thin: of its volume, its largest face and its longest side, what asks for the widest cells counts.
+    """
+    axes = [F.col(a).cast("double") for a in AXES]
+    box = points.where(finite(*axes)).agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(a) for a, c in zip(AXES, axes, strict=True)]).first()
+    sides, width = sorted((box[a] for a in AXES if box[a]), reverse=True), float(width)
+    share = max((k + 2) / 2, pairs / 27 / max(1, box.n)) / max(1, box.n)
+    fit = max(((prod(sides[:n]) * share) ** (1 / n) for n in range(1, len(sides) + 1)), default=width)
+    while 0 < fit < width:
+        width /= 2
+    return width
+
+
 def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", carried: list[str] | None = None, k: int = 1) -> DataFrame:
     """The k nearest right rows of each left row, exact: a_id, rank, b_id, distance and the carried columns.
 
     Rounds with cells of doubled width: a left row is done when k rows are nearer than the width of that
     round's cells, since all rows that near are then among the 27 cells. Rounds end as the cells come to
     span the points; rows that are not finite have no neighbours. The k best are kept by rank,
-    which Spark limits on each partition before it shuffles.
+    which Spark limits on each partition before it shuffles. Of right rows in one place only the k of least id
+    can be among the nearest, and the first width is no more than their density asks for.
     """
     carried = carried or []
     ok = finite(*[F.col(a).cast("double") for a in AXES])
-    right = right.where(ok)
-    todo, done, radius, rounds = left.where(ok), None, float(width), 0
+    place = W.partitionBy(*[F.col(a).cast("double") + F.lit(0.0) for a in AXES]).orderBy(pid)
+    kept = right.where(ok).withColumn("__nth", F.row_number().over(place)).where(F.col("__nth") <= k)
+    right = stage(kept.select(pid, *[a for a in AXES], *[c for c in carried if c not in (pid, *AXES)], "__nth"), "nearest-right")
+    todo, done, rounds = left.where(ok), None, 0
+    radius = fitting_width(right.where("__nth = 1"), width, k)
     rows, open_ = right.count(), todo.count()
     enough = min(k, rows)
     by_distance = W.partitionBy("a_id").orderBy("distance", "b_id")
