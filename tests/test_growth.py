@@ -36,3 +36,38 @@ def test_topk_code_makes_each_power_once(spark, capsys):
     QUERIES["T1_topk_code"](spark, SF).explain(True)
     plan = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     assert plan.lower().count("exp(") == 1
+
+
+@pytest.mark.parametrize("blocks", [(4096, 1 << 18), (3, 40)])
+def test_masks_meet_in_blocks(same, monkeypatch, blocks):
+    from gridloom.operators import mask
+
+    monkeypatch.setattr(mask, "BLOCK_MASKS", blocks[0])
+    monkeypatch.setattr(mask, "BLOCK_WORDS", blocks[1])
+    lines = "select l.* replace ((l_suppkey + 100 * r)::bigint as l_suppkey, l_quantity + r % 2 as l_quantity) from old_lineitem l, range(3) t(r) where l_orderkey < 300"
+    assert len(same("A23_pair_iou", lineitem=lines))
+    assert len(same("C1_mask_suppression", lineitem=lines))
+
+
+def test_equal_boxes_stand_for_each_other(same, spark):
+    from gridloom.operators import crops
+
+    lines = "select * replace ((l_suppkey + 100 * r)::bigint as l_suppkey) from old_lineitem, range(4) t(r)"
+    same("C2_greedy_boxes", lineitem=lines)
+    same("C4_crop_assembly", lineitem=lines)
+    boxes = spark.createDataFrame([(0, n, 0, 0, 9, 9, 1.0) for n in range(500)] + [(0, 900, 3, 3, 3, 9, 1.0), (0, 901, 3, 3, 3, 9, 1.0)], "group int, box_id int, x0 int, y0 int, x1 int, y1 int, score double")
+    assert sorted(r.box_id for r in crops.unequal(boxes, 0.7).collect()) == [0, 900, 901]
+
+
+def test_words_of_pixels_reach_over_their_ends(same, spark):
+    from gridloom.operators import mask
+
+    same("X17_erosion", lineitem="select * replace ((l_suppkey % 3)::bigint as l_suppkey, l_extendedprice * 7 as l_extendedprice) from old_lineitem")
+    square = [(1, 1, r, c) for r in range(-2, 2) for c in range(-34, 35)]
+    got = mask.erode(spark.createDataFrame(square * 2, "image_id int, mask_id int, row int, col int"))
+    assert sorted((r.row, r.col) for r in got.collect()) == sorted((r, c) for r in range(-2, 2) for c in range(-34, 35) if (c not in (-34, 34)) or r in (-1, 0))
+
+
+def test_products_do_not_move(spark):
+    plan = QUERIES["X11_relevancy"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Cross") < plan.index("Join Inner")
