@@ -1,6 +1,7 @@
 """Masks proposed on overlapping crops, put together for the whole image; greedy suppression of boxes by rounds of joins."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.session import discard, stage
@@ -64,6 +65,18 @@ def overlapping(boxes: DataFrame, iou_more: float, tile: int = 64) -> DataFrame:
     return met.where((union > 0) & (both / union > iou_more)).select("group", F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
 
 
+def unequal(boxes: DataFrame, iou_most: float) -> DataFrame:
+    """boxes without those that equal a better one of their group: these overlap whole, so that greedy suppression drops them whatever else it keeps.
+
+    The better one is kept, or goes by a kept box that both overlap. Boxes without area overlap none.
+    """
+    if iou_most >= 1:
+        return boxes
+    solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("i"))).over(W.partitionBy("group", "x0", "y0", "x1", "y1"))
+    return boxes.withColumn("__best", best).where(~solid | (F.col("__best")["i"] == F.col("box_id"))).drop("__best")
+
+
 def settled(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     """group, box_id of the boxes that greedy suppression keeps: those that no kept better one overlaps.
 
@@ -102,6 +115,7 @@ def assemble(pixels: DataFrame, scores: DataFrame, images: DataFrame, layers: in
     def suppressed(rows: DataFrame, group: list[str], order: Column) -> DataFrame:
         named = stage(rows.select(*rows.columns, F.struct(*group).alias("group"), F.struct("crop", "mask_id").alias("box_id"), order.alias("__order")), "crop-ranked")
         ranked = named.drop("score").withColumnRenamed("__order", "score")
+        ranked = stage(unequal(ranked, iou_most), "crop-unequal")
         left = settled(ranked, overlapping(ranked, iou_most))
         return named.join(left, ["group", "box_id"], "left_semi").select(*rows.columns)
 
