@@ -133,13 +133,20 @@ def score_phrases(items: DataFrame, phrases: DataFrame, vec: str = "embedding",
     """
     kind, phrase = dict(items.dtypes)[key], dict(phrases.dtypes)["phrase_id"]
 
-    def reduce(ids, a, query_ids, b):
-        n, m = len(a), len(b)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(n), m))), query_ids.take(pa.array(np.tile(np.arange(m), n))), pa.array((a @ b.T).ravel())], [key, "phrase_id", "product"])
-
-    products = against(items, phrases.where("positive"), reduce, f"`{key}` {kind}, phrase_id {phrase}, product double", key, "phrase_id", vec, "vec")
+    # What the negatives say goes to the items, as a further component, before they meet the positives: products do not move.
     negative = strongest(items, phrases.where("not positive"), "__neg", key, "phrase_id", vec, "vec")
-    return products.join(negative, key).select(key, "phrase_id", relevancy(F.col("product"), F.col("__neg")).alias("relevancy"))
+    told = items.select(key, vec).join(negative, key).select(key, F.concat(dbl(F.col(vec)), F.array("__neg")).alias(vec))
+
+    def reduce(ids, a, query_ids, b):
+        m = len(b)
+        step = max(1, (1 << 16) // m)
+        for low in range(0, len(a), step):
+            own = a[low : low + step]
+            at = np.arange(low, low + len(own))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, m))), query_ids.take(pa.array(np.tile(np.arange(m), len(own)))), pa.array((own[:, :-1] @ b.T).ravel()), pa.array(np.repeat(own[:, -1], m))], [key, "phrase_id", "product", "__neg"])
+
+    products = against(told, phrases.where("positive"), reduce, f"`{key}` {kind}, phrase_id {phrase}, product double, __neg double", key, "phrase_id", vec, "vec")
+    return products.select(key, "phrase_id", relevancy(F.col("product"), F.col("__neg")).alias("relevancy"))
 
 
 def nearest_codes(vectors: DataFrame, codes: DataFrame, key: str = "vec_id", vec: str = "embedding", code: str = "code") -> DataFrame:
