@@ -23,7 +23,7 @@ meets all documents (one pass over the corpus for each block, no shuffle of text
 
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,8 +38,6 @@ WINDOW = 8
 COVER, LITERALS = 0.6, 3
 #: Most windows in a block: about 60 MB in each Python worker.
 BLOCK_WINDOWS = 500_000
-#: Pairs of equal windows of a document and an item that are looked at one by one; beyond, chains are followed greedily.
-PAIRS = 50_000
 
 TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+")
 #: Unit words and symbols, as they may follow a number.
@@ -211,7 +209,7 @@ class Index:
         for of, groups in matched.items():
             entry, best = self.classes[of], None
             length = len(entry["names"])
-            for run in self.placements(groups, length, made, entry):
+            for run in self.placements(groups, length, made, entry, cover):
                 found = self.judge(run, entry, made.words)
                 if found and found[0] >= cover and (best is None or (-found[0], found[1], found[3]) < best[0]):
                     best = (-found[0], found[1], found[3]), found
@@ -290,85 +288,69 @@ class Index:
         return (least(same), False) if same else (entry["least"], True)
 
     @classmethod
-    def placements(cls, groups: list[tuple[list[int], list[int]]], length: int, made: Template, entry: dict) -> Iterator[list[tuple[int, int]]]:
+    def placements(cls, groups: list[tuple[list[int], list[int]]], length: int, made: Template, entry: dict, cover: float) -> Iterator[list[tuple[int, int]]]:
         """Matches (place in the document, in the item) that may be one occurrence of the item.
 
         Runs of matches near each other, the longest chain of each in the order of both texts, and diagonals: an
         item with equal windows matches each with all of them, which mixes places in a run; a copy is a diagonal,
-        and a chain where words were put in or left out. Where a repetitive text and item have too many
-        pairs to list, whole copies are tried at every place, and chains are followed one place at a time.
+        and a chain where words were put in or left out. What has too few of the item's windows to cover it, or reads like
+        a diagonal before it, is left out, as it changes nothing.
         """
-        if sum(len(ps) * len(qs) for ps, qs in groups) > PAIRS:
-            yield from cls.follow(groups, length, made, entry)
-            return
-        pairs = sorted({(p, q) for ps, qs in groups for p in ps for q in qs})
-        for run in cls.runs(pairs, length):
-            yield run
-            if len({p for p, _ in run}) < len(run) or len({q for _, q in run}) < len(run):
-                yield cls.chain(run)
-        diagonals = defaultdict(list)
-        for p, q in pairs:
-            diagonals[p - q].append((p, q))
-        if len(diagonals) > 1:
-            yield from diagonals.values()
+        codes = np.unique(np.concatenate([((np.asarray(ps, np.int64) << 32)[:, None] | np.asarray(qs, np.int64)[None]).ravel() for ps, qs in groups]))
+        p, q = codes >> 32, codes & 0xFFFFFFFF
 
-    @staticmethod
-    def follow(groups: list[tuple[list[int], list[int]]], length: int, made: Template, entry: dict) -> Iterator[list[tuple[int, int]]]:
-        """Whole copies, then chains that go on along their diagonal, else at the next equal window of the item."""
-        places: dict[int, list[int]] = defaultdict(list)
-        for ps, qs in groups:
-            for p in ps:
-                places[p].extend(qs)
-        names = made.tokens(NAMES)
-        seen = set()
-        for p in sorted(places):
-            if 0 in places[p] and names[p : p + length] == entry["names"]:
-                # Equal words give equal results.
-                words = tuple(made.words[p + i] for i in entry["where"])
-                if words not in seen:
-                    seen.add(words)
-                    yield [(p + q, q) for q in range(entry["windows"])]
-        chain: list[tuple[int, int]] = []
-        for p in sorted(places):
-            qs = sorted(set(places[p]))
-            if chain:
-                before, last = chain[-1]
-                want = last + p - before
-                at = bisect_left(qs, want)
-                if at == len(qs) or qs[at] != want:
-                    at = bisect_right(qs, last)
-                if at < len(qs) and p - before <= length and p - chain[0][0] <= 2 * length:
-                    chain.append((p, qs[at]))
-                    continue
-                yield chain
-            chain = [(p, qs[0])]
-        if chain:
-            yield chain
+        def covers(windows: np.ndarray) -> bool:
+            hit = set(np.unique(windows).tolist())
+            shares = [len(hit & may) / len(may) for may in (entry["typed"], entry["plain"]) if 2 * len(may) >= entry["windows"]]
+            return max([len(hit) / entry["windows"], *shares]) >= cover
+
+        for low, high in cls.runs(p, q, length):
+            if covers(q[low:high]):
+                run = list(zip(p[low:high].tolist(), q[low:high].tolist(), strict=True))
+                yield run
+                if len(np.unique(p[low:high])) < len(run) or len(np.unique(q[low:high])) < len(run):
+                    yield cls.chain(run)
+        order = np.argsort(p - q, kind="stable")
+        ends = np.flatnonzero(np.diff((p - q)[order])) + 1
+        if not len(ends):
+            return
+        known = set()
+        for own in sorted(np.split(order, ends), key=lambda d: d[0]):
+            if covers(q[own]):
+                at = int(p[own[0]] - q[own[0]])
+                reads = q[own].tobytes(), tuple(made.words[at + i] if 0 <= at + i < len(made.words) else None for i in entry["where"])
+                if reads not in known:
+                    known.add(reads)
+                    yield list(zip(p[own].tolist(), q[own].tolist(), strict=True))
 
     @staticmethod
     def chain(run: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """A longest part of a run in which both positions increase."""
-        ends, last, before = [], [], {}
+        ends, last = [], []
         for p, q in sorted(run, key=lambda m: (m[0], -m[1])):
             at = bisect_left(ends, q)
-            ends[at:at + 1], last[at:at + 1] = [q], [(p, q)]
-            before[p, q] = last[at - 1] if at else None
+            # Each match holds the one before it, so those that no chain needs any more are free.
+            ends[at:at + 1], last[at:at + 1] = [q], [(p, q, last[at - 1] if at else None)]
         out, m = [], last[-1]
         while m:
-            out.append(m)
-            m = before[m]
+            out.append(m[:2])
+            m = m[2]
         return out[::-1]
 
     @staticmethod
-    def runs(pairs: list[tuple[int, int]], length: int) -> Iterator[list[tuple[int, int]]]:
-        run: list[tuple[int, int]] = []
-        for p, q in pairs:
-            if run and (p - run[-1][0] > length or q <= run[0][1] and p - run[0][0] >= length):
-                yield run
-                run = []
-            run.append((p, q))
-        if run:
-            yield run
+    def runs(p: np.ndarray, q: np.ndarray, length: int, step: int = 4096) -> Iterator[tuple[int, int]]:
+        """First and last (exclusive) of the runs of pairs in order: one ends at a gap of more than length, or after length places where the item begins again."""
+        gaps, start = np.append(np.flatnonzero(np.diff(p) > length) + 1, len(p)), 0
+        while start < len(p):
+            end = int(gaps[np.searchsorted(gaps, start, "right")])
+            at = max(start + 1, int(np.searchsorted(p, p[start] + length)))
+            while at < end:
+                again = np.flatnonzero(q[at : min(at + step, end)] <= q[start])
+                if len(again):
+                    end = at + int(again[0])
+                at += step
+            yield start, end
+            start = end
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_windows: int) -> Iterator[list[tuple[str | None, str]]]:
