@@ -115,8 +115,8 @@ def pose_files(spark, d):
     return rows.select("file_path", "pos", "model", "fx", "fy", "cx", "cy", F.col("transform_matrix")[0][3].alias("shift"))
 
 
-def binary_scene(spark, d):
-    """Suppliers as cameras, orders as images that see their line items, parts as points with the line items as tracks: written and read as binary files."""
+def binary_scene(spark, d, *names):
+    """Suppliers as cameras, orders as images that see their line items, parts as points with the line items as tracks: those named, written and read as binary files."""
     path = shared_path(spark, "scene")
     li, kinds = table(spark, d, "lineitem"), sorted(scene_binary.MODELS)
     model, sizes = (F.element_at(F.array(*[F.lit(scene_binary.MODELS[k][n]) for k in kinds]), (F.col("s_suppkey") % len(kinds) + 1).cast("int")) for n in (0, 1))
@@ -127,7 +127,8 @@ def binary_scene(spark, d):
     images = orders.select(F.col("o_orderkey").alias("image_id"), F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")], F.col("o_totalprice").alias("tx"), *[F.lit(0.0).alias(c) for c in ("ty", "tz")], (F.col("o_custkey") % 10).alias("camera_id"), F.concat("o_orderpriority", F.lit("/é "), F.col("o_orderkey").cast("string")).alias("name"), "seen")
     track = li.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("place")))).alias("track"))
     points = table(spark, d, "part").join(track, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("p_partkey").alias("pid"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.lit(0.5).alias("z"), *[(F.col("p_partkey") % m).cast("int").alias(c) for c, m in zip("rgb", (256, 100, 7), strict=True)], (F.col("p_size") / 4).alias("error"), "track")
-    scene_binary.write_scene(path, part_bytes=1 << 16, cameras=cameras, images=images, points=points)
+    tables = {"cameras": cameras, "images": images, "points": points}
+    scene_binary.write_scene(path, part_bytes=1 << 20, **{n: tables[n] for n in names})
     return readers.load_scene(spark, path, "colmap_binary")
 
 
@@ -137,12 +138,12 @@ def binary_scene(spark, d):
     SELECT o_orderkey AS image_id, o_orderpriority || '/é ' || o_orderkey AS name, o_totalprice AS tx, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice, l_partkey) - 1 AS place, l_quantity AS x, l_extendedprice AS y, l_partkey AS pid, model, s_nationkey + 640 AS width, params AS n_params, s_acctbal + params AS last_param FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN c ON s_suppkey = o_custkey % 10""",
 )
 def binary_images(spark, d):
-    scene = binary_scene(spark, d)
+    scene = binary_scene(spark, d, "cameras", "images")
     cameras = scene["cameras"].select("camera_id", "model", "width", F.size("params").alias("n_params"), F.element_at("params", -1).alias("last_param"))
     return scene["images"].join(cameras, "camera_id").select("image_id", "name", "tx", F.posexplode("seen").alias("place", "s"), "model", "width", "n_params", "last_param").select("image_id", "name", "tx", "place", "s.x", "s.y", "s.pid", "model", "width", "n_params", "last_param")
 
 
 @query("S13_K10_binary_points", "SELECT p_partkey AS pid, p_size::DOUBLE AS x, p_retailprice AS y, 0.5::DOUBLE AS z, p_partkey % 256 AS r, p_partkey % 100 AS g, p_partkey % 7 AS b, p_size/4 AS error, count(l_orderkey) AS length, coalesce(sum(l_orderkey), 0)::BIGINT AS images FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL")
 def binary_points(spark, d):
-    points = binary_scene(spark, d)["points"]
+    points = binary_scene(spark, d, "points")["points"]
     return points.select("pid", "x", "y", "z", "r", "g", "b", "error", F.size("track").alias("length"), F.aggregate("track", F.lit(0).cast("long"), lambda t, x: t + x["image_id"]).alias("images"))
