@@ -1,7 +1,8 @@
 """Masks proposed on overlapping crops, put together for the whole image; greedy suppression of boxes by rounds of joins."""
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.session import discard, stage
@@ -59,10 +60,15 @@ def overlapping(boxes: DataFrame, iou_more: float, tile: int = 64) -> DataFrame:
     met = sides[0].join(sides[1], ["group", "tx", "ty"]).where("a_rank < b_rank")
     left, top = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     met = met.where((F.floor(left / tile) == F.col("tx")) & (F.floor(top / tile) == F.col("ty")))
-    both = F.greatest(F.least("a_x1", "b_x1") - left, F.lit(0.0)) * F.greatest(F.least("a_y1", "b_y1") - top, F.lit(0.0))
+    return met.where(_alike(iou_more)).select("group", F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
+
+
+def _alike(iou_more: float) -> Column:
+    """Whether boxes a_x0 .. a_y1 and b_x0 .. b_y1 have an intersection over union above iou_more."""
+    both = F.greatest(F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.lit(0.0)) * F.greatest(F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"), F.lit(0.0))
     area = lambda n: (F.col(f"{n}_x1") - F.col(f"{n}_x0")) * (F.col(f"{n}_y1") - F.col(f"{n}_y0"))
     union = area("a") + area("b") - both
-    return met.where((union > 0) & (both / union > iou_more)).select("group", F.col("a_id").alias("better"), F.col("b_id").alias("worse"))
+    return (union > 0) & (both / union > iou_more)
 
 
 def unequal(boxes: DataFrame, iou_most: float) -> DataFrame:
@@ -73,8 +79,8 @@ def unequal(boxes: DataFrame, iou_most: float) -> DataFrame:
     if iou_most >= 1:
         return boxes
     solid = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("i"))).over(W.partitionBy("group", "x0", "y0", "x1", "y1"))
-    return boxes.withColumn("__best", best).where(~solid | (F.col("__best")["i"] == F.col("box_id"))).drop("__best")
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("i"), F.struct(*boxes.columns).alias("row")))
+    return boxes.where(solid).groupBy("group", "x0", "y0", "x1", "y1").agg(best.alias("b")).select("b.row.*").unionByName(boxes.where(~F.coalesce(solid, F.lit(False))))
 
 
 def settled(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,6 +107,77 @@ def settled(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+BUCKET = ["__lw", "__lh", "__bx", "__by"]
+
+#: Open boxes that are settled by their pairs, which are then few.
+FEW = 2_000
+
+
+def _bucketed(boxes: DataFrame, t: float) -> DataFrame:
+    """Solid boxes with their bucket: the power of 1/t that their width and height come to, and the place of their first corner in cells of that size."""
+    step = log(1 / t) * (1 + 1e-6)
+    level = lambda lo, hi: F.floor(F.log(F.col(hi) - F.col(lo)) / step)
+    cell = lambda lo, of: F.floor(F.col(lo) / ((1 - t) * F.exp((F.col(of) + 1) * step)))
+    return boxes.withColumns({"__lw": level("x0", "x1"), "__lh": level("y0", "y1")}).withColumns({"__bx": cell("x0", "__lw"), "__by": cell("y0", "__lh")})
+
+
+def _around(boxes: DataFrame, t: float) -> DataFrame:
+    """Bucketed boxes sent to all buckets whose boxes may have an intersection over union above t with them: widths differ by less than a factor of 1/t, first corners by at most 1 - t of the larger width."""
+    step, more = log(1 / t) * (1 + 1e-6), 1 + 1e-6
+
+    def along(lo: str, hi: str, level: str) -> Column:
+        found = []
+        for d in (-1, 0, 1):
+            n = F.col(level) + d
+            most, size = F.exp((n + 1) * step), F.col(hi) - F.col(lo)
+            reach = (1 - t) * more * F.greatest(size, F.least(size / t * more, most))
+            ends = [F.floor((F.col(lo) + way * reach) / ((1 - t) * most)) for way in (-1, 1)]
+            found.append(F.transform(F.sequence(*ends), lambda b: F.struct(n.alias("n"), b.alias("b"))))  # noqa: B023
+        return F.concat(*found)
+
+    sent = boxes.withColumn("__x", F.explode(along("x0", "x1", "__lw"))).withColumn("__y", F.explode(along("y0", "y1", "__lh")))
+    return sent.select(*[c for c in boxes.columns if c not in BUCKET], F.col("__x.n").alias("__lw"), F.col("__y.n").alias("__lh"), F.col("__x.b").alias("__bx"), F.col("__y.b").alias("__by"))
+
+
+def greedy(boxes: DataFrame, iou_most: float, tile: int = 64) -> DataFrame:
+    """group, box_id of the boxes that greedy suppression keeps, without the pairs of those that go.
+
+    boxes: group, box_id, x0, y0, x1, y1, score. In a round the best open box of each bucket is kept if it is better than the best of all
+    buckets whose boxes may be too much like it, and open boxes too much like a kept one go. Boxes that are kept are unlike each other, so that
+    a box meets few of them, however many are alike.
+    """
+    if not 0 < iou_most < 1:
+        rows = stage(boxes, "boxes")
+        return settled(rows, overlapping(rows, iou_most, tile))
+    solid = F.coalesce((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.lit(False))
+    corners = ["x0", "y0", "x1", "y1"]
+    rows = stage(boxes.select("group", "box_id", *[F.col(c).cast("double").alias(c) for c in corners], "score"), "boxes")
+    kept = [rows.where(~solid).select("group", "box_id")]
+    rank = F.struct((-F.col("score")).alias("s"), F.col("box_id").alias("i"))
+    open_ = stage(_bucketed(unequal(rows.where(solid), iou_most), iou_most).select("group", "box_id", *corners, rank.alias("rank"), *BUCKET), "box-open")
+    key = ["group", *BUCKET]
+    # A table that is sent to many buckets must not be broadcast for the size of its file.
+    sent = lambda df: _around(df, iou_most).select(*[F.col(c).alias(f"b_{c}") for c in (*key, *corners, "rank")]).hint("merge")
+    same = F.col("group").eqNullSafe(F.col("b_group"))
+    for c in BUCKET:
+        same = same & (F.col(c) == F.col(f"b_{c}"))
+    while open_.count() > FEW:
+        leaders = stage(open_.groupBy(*key).agg(F.min(F.struct("rank", *corners)).alias("m")).select(*key, "m.*"), "box-leaders")
+        now = stage(leaders.join(sent(leaders), same & (F.col("b_rank") < F.col("rank")), "left_anti"), "box-kept")
+        named = open_.select("group", "box_id", "rank", *BUCKET, *[F.col(c).alias(f"a_{c}") for c in corners])
+        left = named.join(sent(now), same & _alike(iou_most), "left_anti")
+        rest = stage(left.select("group", "box_id", "rank", *BUCKET, *[F.col(f"a_{c}").alias(c) for c in corners]), "box-open")
+        discard(open_, leaders)
+        open_ = rest
+        kept.append(now.select("group", F.col("rank.i").alias("box_id")))
+    rest = open_.withColumn("score", -F.col("rank.s"))
+    kept.append(settled(rest, overlapping(rest, iou_most, tile)))
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def assemble(pixels: DataFrame, scores: DataFrame, images: DataFrame, layers: int = 1, overlap: float = 512 / 1500, near: float = 20.0, iou_most: float = 0.7) -> DataFrame:
     """image_id, crop, mask_id, x0, y0, x1, y1, area, score of the masks that stay when all crops' proposals are put together.
 
@@ -114,9 +191,7 @@ def assemble(pixels: DataFrame, scores: DataFrame, images: DataFrame, layers: in
 
     def suppressed(rows: DataFrame, group: list[str], order: Column) -> DataFrame:
         named = stage(rows.select(*rows.columns, F.struct(*group).alias("group"), F.struct("crop", "mask_id").alias("box_id"), order.alias("__order")), "crop-ranked")
-        ranked = named.drop("score").withColumnRenamed("__order", "score")
-        ranked = stage(unequal(ranked, iou_most), "crop-unequal")
-        left = settled(ranked, overlapping(ranked, iou_most))
+        left = greedy(named.drop("score").withColumnRenamed("__order", "score"), iou_most)
         return named.join(left, ["group", "box_id"], "left_semi").select(*rows.columns)
 
     within = suppressed(boxes, ["image_id", "crop"], F.col("score").cast("double"))

@@ -155,11 +155,11 @@ def suppress(pixels: DataFrame, scores: DataFrame, iou_most: float = 0.7, score_
 
 
 def greedy_boxes(boxes: DataFrame, iou_most: float = 0.7, tile: int = 64) -> DataFrame:
-    """Greedy suppression of boxes (image_id, box_id, x0, y0, x1, y1, score), image by image, in rounds of joins; see crops.settled."""
-    from gridloom.operators.crops import overlapping, settled, unequal
+    """Greedy suppression of boxes (image_id, box_id, x0, y0, x1, y1, score), image by image, in rounds of joins; see crops.greedy."""
+    from gridloom.operators.crops import greedy
 
-    rows = stage(unequal(boxes.select(F.col("image_id").alias("group"), "box_id", "x0", "y0", "x1", "y1", "score"), iou_most), "boxes")
-    kept = settled(rows, overlapping(rows, iou_most, tile))
+    rows = stage(boxes.select(F.col("image_id").alias("group"), "box_id", "x0", "y0", "x1", "y1", "score"), "boxes")
+    kept = greedy(rows, iou_most, tile)
     return rows.join(kept, ["group", "box_id"], "left_semi").select(F.col("group").alias("image_id"), "box_id", "score")
 
 

@@ -225,9 +225,10 @@ st AS (SELECT bx.* FROM bx JOIN cr USING (crop) WHERE NOT ((abs(x0-cx0) <= 1 AND
 SELECT image_id, crop, mask_id, x0, y0, x1, y1, area, score FROM fin""",
 )
 def c4(spark, d):
-    px = pixels(spark, d)
-    images = px.select("image_id").distinct().select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
-    grid = crops.crop_boxes(images, 1)
+    # A mask's pixels lie together, so that each task adds up most of a mask before its counts move.
+    px = stage(pixels(spark, d).repartition("image_id", "mask_id").distinct(), "crop-pixels")
+    images = stage(px.select("image_id").distinct().select("image_id", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height")), "crop-images")
+    grid = stage(crops.crop_boxes(images, 1), "crop-grid")
     seen = px.join(grid, "image_id").where("col >= x0 and col < x1 and row >= y0 and row < y1").select("image_id", "crop", "mask_id", (F.col("row") - F.col("y0")).alias("row"), (F.col("col") - F.col("x0")).alias("col"))
     scores = seen.groupBy("image_id", "crop", "mask_id").agg((F.count("*") / 64).alias("score"))
     return crops.assemble(seen, scores, images, 1, near=1.0)

@@ -59,6 +59,27 @@ def test_equal_boxes_stand_for_each_other(same, spark):
     assert sorted(r.box_id for r in crops.unequal(boxes, 0.7).collect()) == [0, 900, 901]
 
 
+def test_alike_boxes_go_without_pairs(spark, monkeypatch):
+    """Boxes around a few places: what rounds of buckets keep is what the pairs keep, and no pairs are made of the many that go."""
+    import random
+
+    from gridloom.operators import crops
+
+    rng, rows = random.Random(3), []
+    for n in range(120):
+        x, y = rng.choice([(0, 0), (40, 7), (-90, 60)])
+        x0, y0 = x + rng.uniform(-2, 2), y + rng.uniform(-2, 2)
+        rows.append((n % 2, n, x0, y0, x0 + rng.uniform(0, 25), y0 + rng.uniform(8, 12), float(rng.randint(0, 9))))
+    boxes = spark.createDataFrame(rows, "group int, box_id int, x0 double, y0 double, x1 double, y1 double, score double")
+    want = {tuple(r) for r in crops.settled(boxes, crops.overlapping(boxes, 0.6)).collect()}
+    assert len(want) < 90
+    seen = []
+    monkeypatch.setattr(crops, "FEW", 0)
+    monkeypatch.setattr(crops, "overlapping", lambda rows, *_: seen.append(rows.count()) or rows.select("group", rows["box_id"].alias("better"), rows["box_id"].alias("worse")))
+    assert {tuple(r) for r in crops.greedy(boxes, 0.6).collect()} == want
+    assert seen == [0]
+
+
 def test_words_of_pixels_reach_over_their_ends(same, spark):
     from gridloom.operators import mask
 
