@@ -62,37 +62,38 @@ def nearest(left: DataFrame, right: DataFrame, width: float, pid: str = "pid", c
     round's cells, since all rows that near are then among the 27 cells. Rounds end as the cells come to
     span the points; rows that are not finite have no neighbours. The k best are kept by rank,
     which Spark limits on each partition before it shuffles. Of right rows in one place only the k of least id
-    can be among the nearest, and the first width is no more than their density asks for.
+    can be among the nearest, left rows in one place have the same, and the first width is no more than their density asks for.
     """
     carried = carried or []
     ok = finite(*[F.col(a).cast("double") for a in AXES])
     place = W.partitionBy(*[F.col(a).cast("double") + F.lit(0.0) for a in AXES]).orderBy(pid)
     kept = right.where(ok).withColumn("__nth", F.row_number().over(place)).where(F.col("__nth") <= k)
     right = stage(kept.select(pid, *[a for a in AXES], *[c for c in carried if c not in (pid, *AXES)], "__nth"), "nearest-right")
-    todo, done, rounds = left.where(ok), None, 0
+    asked = stage(left.where(ok).select(F.col(pid).alias("__id"), *[(F.col(a).cast("double") + F.lit(0.0)).alias(a) for a in AXES]), "nearest-left")
+    todo = stage(asked.groupBy(*AXES).agg(F.min("__id").alias(pid)), "nearest-todo")
     radius = fitting_width(right.where("__nth = 1"), width, k)
     rows, open_ = right.count(), todo.count()
-    enough = min(k, rows)
-    by_distance = W.partitionBy("a_id").orderBy("distance", "b_id")
-
-    def best(met: DataFrame) -> DataFrame:
-        top = met.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-        return stage(top.select("a_id", (F.col("rank") - 1).alias("rank"), "b_id", "distance", *[F.col(f"b_{c}").alias(c) for c in carried]), "nearest")
-
+    enough, done = min(k, rows), []
+    at_a = W.partitionBy("a_id")
     while True:
-        top = best(radius_join(todo, right, radius, pid, carried, "left" if open_ < rows else "right"))
-        whole = top.groupBy("a_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("a_id")
-        whole = stage(whole, "nearest-done")
-        found = top.join(whole, "a_id", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        rest = stage(todo.join(whole, todo[pid] == whole["a_id"], "left_anti"), "nearest-todo")
-        if rounds:
-            discard(todo)
-        todo, rounds = rest, rounds + 1
-        open_ = todo.count()
+        met = radius_join(todo, right, radius, pid, carried, "left" if open_ < rows else "right")
+        top = met.withColumn("rank", F.row_number().over(at_a.orderBy("distance", "b_id"))).where(F.col("rank") <= k)
+        whole = top.withColumn("__n", F.count("*").over(at_a)).where(F.col("__n") >= enough)
+        found = stage(whole.select(*[F.col(f"a_{a}").alias(f"__{a}") for a in AXES], "a_id", (F.col("rank") - 1).alias("rank"), "b_id", "distance", *[F.col(f"b_{c}").alias(c) for c in carried]), "nearest")
+        done.append(found.drop("a_id"))
         if not enough or not open_:
-            return done
+            break
+        rest = stage(todo.join(found.where("rank = 0").select("a_id"), todo[pid] == F.col("a_id"), "left_anti"), "nearest-todo")
+        discard(todo)
+        todo, open_ = rest, rest.count()
+        if not open_:
+            break
         radius *= 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    here = asked.select(F.col("__id").alias("a_id"), *[F.col(a).alias(f"__{a}") for a in AXES])
+    return here.join(out, [f"__{a}" for a in AXES]).select("a_id", "rank", "b_id", "distance", *carried)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, bound: float, pid: str = "pid") -> DataFrame:

@@ -99,3 +99,39 @@ def test_copies_of_points(same):
     assert (same("C7_core_distances", customer=people)["core"] == 0).all()
     sellers = "select s.* replace ((s_suppkey + r * 100)::bigint as s_suppkey) from old_supplier s, range(4) t(r)"
     assert len(same("C7_spanning_tree", supplier=sellers)) == 39
+
+
+def pairs_met(monkeypatch, *modules):
+    """Counts of the pairs that radius joins make from now on."""
+    from gridloom.operators import spatial
+
+    made, join = [], spatial.radius_join
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        made.append(out.count())
+        return out
+
+    for m in modules:
+        monkeypatch.setattr(m, "radius_join", counted)
+    return made
+
+
+def test_places_meet_places(spark, monkeypatch):
+    """Copies of points cost no pairs, neither those that ask nor those that are met."""
+    from gridloom.operators import density, spatial
+
+    schema = "pid long, x double, y double, z double"
+    rows = [(100 * i + c, float(i * i % 17), float(i), -0.0 if c % 2 else 0.0) for i in range(20) for c in range(3)]
+    points, others = spark.createDataFrame(rows, schema), spark.createDataFrame([(i, x + 0.25, y, z) for i, x, y, z in rows], schema)
+    made = pairs_met(monkeypatch, density, spatial)
+    places = {r[1:]: 3 for r in rows if r[0] % 100 == 0}
+    far = lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) ** 0.5
+    cores = {r.id: r.core for r in density.core_distances(points, 5, 32.0).collect()}
+    assert cores == {i: pytest.approx(sorted(far(p, q) for q in places for _ in range(3))[4]) for i, *p in rows}
+    assert sum(made) <= 20 * 20 * len(made)
+    assert {r.core for r in density.core_distances(points, 3, 32.0).collect()} == {0.0}
+    made.clear()
+    got = sorted((r.a_id, r.rank, r.b_id) for r in spatial.nearest(points, others, 32.0, k=2).collect())
+    want = [(i, n, b) for i, *p in rows for n, (_, b) in enumerate(sorted((far(p, q), b) for b, *q in others.collect())[:2])]
+    assert got == sorted(want) and sum(made) <= 20 * 40 * len(made)
