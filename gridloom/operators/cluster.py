@@ -33,8 +33,10 @@ def dbscan(points: DataFrame, eps: float, min_points: int, pid: str = "pid") ->
 
 def fill_noise(points: DataFrame, labels: DataFrame, width: float, pid: str = "pid") -> DataFrame:
     """Give each noise point the label of the nearest labelled point."""
-    rows = points.join(labels, points[pid] == labels["id"])
-    got = nearest(rows.where("label < 0"), rows.where("label >= 0"), width, pid, ["label"])
+    # Labels may be long in the making: made once, and what the rounds read is a table.
+    labels = stage(labels, "noise-labels")
+    rows = stage(points.select(F.col(pid).alias("id"), "x", "y", "z").join(labels, "id"), "noise-rows")
+    got = nearest(rows.where("label < 0"), rows.where("label >= 0"), width, "id", ["label"])
     return rows.where("label >= 0").select("id", "label").unionByName(got.select(F.col("a_id").alias("id"), "label"))
 
 

@@ -135,3 +135,21 @@ def test_places_meet_places(spark, monkeypatch):
     got = sorted((r.a_id, r.rank, r.b_id) for r in spatial.nearest(points, others, 32.0, k=2).collect())
     want = [(i, n, b) for i, *p in rows for n, (_, b) in enumerate(sorted((far(p, q), b) for b, *q in others.collect())[:2])]
     assert got == sorted(want) and sum(made) <= 20 * 40 * len(made)
+
+
+def test_labels_of_noise_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import cluster
+
+    made = spark.sparkContext.accumulator(0)
+
+    def label(n):
+        made.add(1)
+        return n if n % 3 == 0 else -1
+
+    points = spark.range(30).select(F.col("id").alias("pid"), *[(F.col("id") * F.col("id") + n).cast("double").alias(a) for n, a in enumerate("xyz")])
+    labels = spark.range(30).select("id", F.udf(label, "int")("id").alias("label"))
+    got = {r.id: r.label for r in cluster.fill_noise(points, labels, 4.0).collect()}
+    assert got == {n: min((abs(m * m - n * n), m) for m in range(0, 30, 3))[1] for n in range(30)}
+    assert made.value == 30
