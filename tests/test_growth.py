@@ -161,3 +161,24 @@ def test_trees_come_to_the_driver_as_columns(spark, monkeypatch):
     points = spark.createDataFrame([(i, 1.0, 1.0, 1.0) for i in range(9)], "pid long, x double, y double, z double")
     monkeypatch.setattr(type(points), "toPandas", lambda *_: 1 / 0)
     assert {r.label for r in density.cluster(points, 3, 3, 4.0).collect()} == {-1}
+
+
+def blocks_made(monkeypatch, module):
+    """The staged blocks of masks that are made from now on."""
+    made, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: made.append((name, out := stage(df, name))) or out)
+    return lambda: [df for name, df in made if name == "mask-blocks" and "trow" in df.columns]
+
+
+def test_a_task_makes_few_blocks(same, monkeypatch):
+    """However many blocks there are, a task makes some and not all that fit into a shuffle partition."""
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import mask
+
+    monkeypatch.setattr(mask, "BLOCK_MASKS", 2)
+    made = blocks_made(monkeypatch, mask)
+    same("C1_mask_suppression", lineitem="select * from old_lineitem where l_orderkey < 300")
+    (blocks,) = made()
+    files = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) > 20 and max(files) <= 8
