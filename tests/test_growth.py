@@ -182,3 +182,15 @@ def test_a_task_makes_few_blocks(same, monkeypatch):
     (blocks,) = made()
     files = [r["count"] for r in blocks.groupBy(F.input_file_name()).count().collect()]
     assert sum(files) > 20 and max(files) <= 8
+
+
+def test_pairs_come_in_runs_of_equal_areas(spark):
+    """Rows of a mask's pairs are in order of the other's area, which then takes next to no room."""
+    from gridloom.operators import mask
+
+    rows = [(0, m, 0, c) for m in range(60) for c in range(1 + m * 37 % 60)]
+    got = mask.pair_overlaps(spark.createDataFrame(rows, "image_id long, mask_id long, row int, col int")).collect()
+    runs = {}
+    for r in got:
+        runs.setdefault((r.a, r.a < r.b), []).append(r.area_b)
+    assert len(got) == 60 * 59 // 2 and all(areas == sorted(areas) for areas in runs.values())
